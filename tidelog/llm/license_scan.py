@@ -55,13 +55,14 @@ def words_of(text: Column) -> Column:
 
 
 def _templates(spark: SparkSession, phrases: Mapping[str, str], notices: Mapping[str, str]) -> DataFrame:
-    rows = []
+    rows = []  # a notice that ends in its version counts only where the version stands too
     for i, (kind, (text, label)) in enumerate([("phrase", x) for x in phrases.items()] + [("notice", x) for x in notices.items()]):
         words = text.split()
         if len(words) < K:
             raise ValueError(f"a template needs {K} words at least: {text!r}")
-        rows += [(i, kind, label, len(words) - K + 1, at, words[at : at + K]) for at in range(len(words) - K + 1)]
-    frame = spark.createDataFrame(rows, "template int, kind string, label string, grams int, t_pos int, gram array<string>")
+        last = len(words) - K if words[-1].isdigit() else -1
+        rows += [(i, kind, label, len(words) - K + 1, last, at, words[at : at + K]) for at in range(len(words) - K + 1)]
+    frame = spark.createDataFrame(rows, "template int, kind string, label string, grams int, last int, t_pos int, gram array<string>")
     return frame.withColumn("hash", F.xxhash64(*[F.col("gram")[j] for j in range(K)]))
 
 
@@ -76,8 +77,8 @@ def votes(docs: DataFrame, templates: DataFrame) -> DataFrame:
     each = docs.select("id", "h", F.explode(_grams(words_of(F.col("text")))).alias("g")).where("g is not null")
     each = each.select("id", "h", "g.ws", F.posexplode("g.hs").alias("pos", "hash"))
     hit = each.join(F.broadcast(templates), "hash").where(F.expr(f"slice(ws, pos + 1, {K}) = gram"))
-    one = hit.select("id", "h", "template", "kind", "label", "grams", (F.col("pos") - F.col("t_pos")).alias("diagonal"), "t_pos")
-    return one.groupBy("id", "h", "template", "kind", "label", "grams", "diagonal").agg(
+    one = hit.select("id", "h", "template", "kind", "label", "grams", "last", (F.col("pos") - F.col("t_pos")).alias("diagonal"), "t_pos")
+    return one.groupBy("id", "h", "template", "kind", "label", "grams", "last", "diagonal").agg(
         F.collect_set("t_pos").alias("at"), F.min("t_pos").alias("lo"), F.max("t_pos").alias("hi")
     )
 
@@ -105,11 +106,11 @@ def scan_licenses(
     new = F.lag("diagonal").over(along).isNull() | (F.abs(F.col("diagonal") - F.lag("diagonal").over(along)) > DRIFT)
     new = new | (F.col("start") - F.max(F.col("diagonal") + F.col("hi")).over(along.rowsBetween(Window.unboundedPreceding, -1)) > GAP)
     spans = cast.withColumn("new", new.cast("int")).withColumn("span", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = spans.groupBy("id", "h", "template", "kind", "label", "grams", "span").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("covered"),
+    spans = spans.groupBy("id", "h", "template", "kind", "label", "grams", "last", "span").agg(
+        F.array_distinct(F.flatten(F.collect_list("at"))).alias("covered"),
         F.sort_array(F.collect_list(F.when((F.col("kind") == "phrase") & (F.size("at") == F.col("grams")), F.col("diagonal")))).alias("places"),
     )
-    share = F.col("covered") / F.col("grams")
+    share = F.when((F.col("last") < 0) | F.array_contains("covered", F.col("last")), F.size("covered") / F.col("grams")).otherwise(F.lit(0.0))
     found = spans.groupBy("id", "h").agg(
         F.sum(F.size("places")).cast("long").alias("n_base"),
         F.min(F.when(F.size("places") > 0, F.col("places")[0])).cast("long").alias("first_word"),
