@@ -189,3 +189,14 @@ def unpack_chunk(packed: bytes) -> list[tuple[bytes, bytes]]:
     if at != len(packed):
         raise InvalidArgument("a packed chunk has bytes behind its pairs")
     return out
+
+
+def unpacked(chunks: DataFrame, packed: str = "packed") -> DataFrame:
+    """The rows of `chunks` with one row per pair of their packed buffers: key and value beside the other columns."""
+
+    @F.udtf(returnType="key binary, value binary")
+    class Unpack:
+        def eval(self, buffer: bytes):
+            yield from unpack_chunk(bytes(buffer))
+
+    return chunks.lateralJoin(Unpack(F.col(packed).outer())).drop(packed)

@@ -254,6 +254,12 @@ def packed_chunks(spark, sf_dir):
     return reads.pack_chunk(s, "customer").select("customer", F.hex("packed").alias("packed_hex"))
 
 
+@query(f"SELECT substr(key, 1, 8) AS customer, key, value FROM {resolved(ORDERS)}")
+def unpacked_chunks(spark, sf_dir):
+    s = reads.scan(order_log(spark, sf_dir)).withColumn("customer", F.substring(F.col("key").cast("string"), 1, 8))
+    return readable(reads.unpacked(reads.pack_chunk(s, "customer")))
+
+
 @query(f"SELECT cf, hex(k) AS key_hex, seq, op, hex(v) AS value_hex FROM ({EVENTS})")
 def all_versions(spark, sf_dir):
     return reads.all_versions(event_log(spark, sf_dir))
