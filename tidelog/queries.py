@@ -690,9 +690,9 @@ def filled_store(spark, sf_dir) -> tuple[Store, int]:
     """The event log committed in two batches, with a snapshot held in between; the store and the snapshot."""
     store = Store.open(spark, f"{scratch(spark)}/store")
     log = event_log(spark, sf_dir)
-    store.write(log.where("seq <= 5000"), ["batch_id", "ordinal"])
+    store.write(log.where("seq <= 400"), ["batch_id", "ordinal"])
     snapshot = store.snapshot()
-    store.write(log.where("seq > 5000"), ["batch_id", "ordinal"])
+    store.write(log.where("seq > 400"), ["batch_id", "ordinal"])
     return store, snapshot
 
 
@@ -701,11 +701,11 @@ def store_scan(spark, sf_dir):
     return readable(filled_store(spark, sf_dir)[0].scan())
 
 
-@query(f"SELECT * FROM {resolved(where='seq <= 5000')}")
+@query(f"SELECT * FROM {resolved(where='seq <= 400')}")
 def store_snapshot_after_compaction(spark, sf_dir):
     store, snapshot = filled_store(spark, sf_dir)
     store.compact()
-    return readable(store.scan(read_seq=snapshot).drop("n_operands")).join(readable(plans.resolve(event_log(spark, sf_dir), 5000)).select("key", "n_operands"), "key").select(
+    return readable(store.scan(read_seq=snapshot).drop("n_operands")).join(readable(plans.resolve(event_log(spark, sf_dir), 400)).select("key", "n_operands"), "key").select(
         "cf", "key", "value", "seq", "n_operands"
     )
 

@@ -141,7 +141,7 @@ class Store:
             cfs, log = sorted(batch.keyspaces()), batch.frame(self.spark, self.version + 1, self.last_seq)
             last = self.last_seq + batch.count()
         else:
-            numbered = assign_sequence(batch.drop("seq"), list(order), self.last_seq)
+            numbered = assign_sequence(batch, list(order), self.last_seq)  # an own seq may be part of the order
             staged = f"{self.path}/runs/staged-{uuid.uuid4().hex[:8]}"
             as_log(numbered).write.parquet(staged)
             log = self.spark.read.schema(OP_LOG).parquet(staged)
