@@ -24,6 +24,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 from tidelog.llm.common import durable
 from tidelog.llm.pieces import slices
 
-SPAN, GRAM, BUFFER = 20, 8, 1_000_000
+SPAN, GRAM, BUFFER = 20, 8, 500_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _EMPTY = np.zeros(0, np.int64)
 
@@ -78,7 +79,10 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _anchor_rows(span: int, gram: int, buffer: int) -> Callable:
-    """(rid, text) to (key, rid, at, known): one row per anchor place; known where this task has seen it twice."""
+    """(rid, text) to (key, rid, at): one row per anchor place.
+
+    at is twice the place, plus 1 where this task has seen the anchor twice: rows are shuffled, so they are short.
+    """
 
     def flush(held: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         key = np.concatenate([h[1] for h in held])
@@ -92,7 +96,7 @@ def _anchor_rows(span: int, gram: int, buffer: int) -> Callable:
         # later places of a key are settled: they travel under a key of their own, not all to the key's one task
         own = _mixed(_mixed(rid.astype(np.uint64)) + at.astype(np.uint64))
         key = np.where(later, own, key)
-        return pa.RecordBatch.from_arrays([_signed(key), pa.array(rid), pa.array(at.astype(np.int32)), pa.array(known)], names=["key", "rid", "at", "known"])
+        return pa.RecordBatch.from_arrays([_signed(key), pa.array(rid), pa.array(at.astype(np.int64) * 2 + known)], names=["key", "rid", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -113,6 +117,20 @@ def _anchor_rows(span: int, gram: int, buffer: int) -> Callable:
     return run
 
 
+def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, text) with the text compressed: it is shuffled once, and makes up most of what is."""
+    codec = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        for part in slices(batch):
+            texts = [None if t is None else codec.compress(t) for t in part.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary())], names=["rid", "packed"])
+
+
+def _texts(column: pa.Array) -> list[bytes | None]:
+    codec = zstandard.ZstdDecompressor()
+    return [None if t is None else codec.decompress(t) for t in column.to_pylist()]
+
+
 def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last of each run of consecutive numbers in a sorted array."""
     if not len(at):
@@ -122,12 +140,13 @@ def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sequence_rows(span: int, gram: int, buffer: int) -> Callable:
-    """(rid, text, anchors) to (h1, h2, rid, lo, hi, known): first places in this task to be settled, repeats as runs."""
-    names = ["h1", "h2", "rid", "lo", "hi", "known"]
+    """(rid, packed, anchors) to (h1, h2, rid, run): first places in this task to be settled, repeats as runs.
+
+    run is the first start times 2**32, plus the number of starts in a run of settled repeats, else 0.
+    """
 
-    def batch_of(h1, h2, rid, lo, hi, known):
-        kinds = (_signed(h1), _signed(h2), pa.array(rid), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(np.full(len(lo), known)))
-        return pa.RecordBatch.from_arrays(list(kinds), names=names)
+    def batch_of(h1, h2, rid, lo, size):
+        return pa.RecordBatch.from_arrays([_signed(h1), _signed(h2), pa.array(rid), pa.array((lo << 32) | size)], names=["h1", "h2", "rid", "run"])
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
         held = sorted(held, key=lambda x: x[0])
@@ -139,17 +158,17 @@ def _sequence_rows(span: int, gram: int, buffer: int) -> Callable:
         h1, h2, place = h1[order], h2[order], place[order]
         later = np.concatenate([[False], (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])])
         first = place[~later]
-        yield batch_of(h1[~later], h2[~later], rids[first >> 32], first & 0xFFFFFFFF, first & 0xFFFFFFFF, False)
+        yield batch_of(h1[~later], h2[~later], rids[first >> 32], first & 0xFFFFFFFF, np.int64(0))
         lo, hi = _runs(np.sort(place[later]))
         if len(lo):
             own = _mixed(_mixed(rids[lo >> 32].astype(np.uint64)) + (lo & 0xFFFFFFFF).astype(np.uint64))
-            yield batch_of(own, _mixed(own), rids[lo >> 32], lo & 0xFFFFFFFF, hi & 0xFFFFFFFF, True)
+            yield batch_of(own, _mixed(own), rids[lo >> 32], lo & 0xFFFFFFFF, hi - lo + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for part in slices(batch):
-                for rid, text, anchors in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist(), strict=True):
+                for rid, text, anchors in zip(part.column(0).to_pylist(), _texts(part.column(1)), part.column(2).to_pylist(), strict=True):
                     doc = Parsed(text or b"", span, gram)
                     at = np.flatnonzero(np.isin(doc.anchor, np.array(anchors))) if doc.n else _EMPTY
                     if len(at):
@@ -165,30 +184,32 @@ def _sequence_rows(span: int, gram: int, buffer: int) -> Callable:
     return run
 
 
-def factors(n_words: int, spans: list[tuple[int, int]], span: int) -> np.ndarray:
+def factors(n_words: int, runs: list[int], span: int) -> np.ndarray:
     """Which of a document's words the greedy parse covers with factors of `span` words or more.
 
-    `spans` are runs (first, last) of starts whose sequence stands earlier; overlapping or touching factors merge.
+    `runs` are starts whose sequence stands earlier, packed as in `_sequence_rows`; overlapping or touching factors
+    merge.
     """
+    packed = np.array(runs, np.int64)
+    lo, size = packed >> 32, np.maximum(1, packed & 0xFFFFFFFF)
     edges = np.zeros(n_words + 1, np.int64)
-    for lo, hi in spans:
-        edges[lo] += 1
-        edges[min(n_words, hi + span)] -= 1
+    np.add.at(edges, lo, 1)
+    np.add.at(edges, np.minimum(n_words, lo + size - 1 + span), -1)
     return np.cumsum(edges)[:-1] > 0
 
 
 def _kept_rows(span: int, keep: str) -> Callable:
-    """(rid, text, spans) to n_words, n_removed and the kept text or its digest."""
+    """(rid, packed, spans) to n_words, n_removed and the kept text or its digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 n_words, n_removed, kept = [], [], []
-                for text, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    words = (text or "").encode().split()
+                for text, spans in zip(_texts(part.column(1)), part.column(2).to_pylist(), strict=True):
+                    words = (text or b"").split()
                     stay = words
                     if spans:
-                        gone = factors(len(words), [(s["lo"], s["hi"]) for s in spans], span)
+                        gone = factors(len(words), spans, span)
                         stay = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                     n_words.append(len(words))
                     n_removed.append(len(words) - len(stay))
@@ -196,7 +217,7 @@ def _kept_rows(span: int, keep: str) -> Callable:
                     if keep == "digest":
                         kept.append(hashlib.sha256(joined).hexdigest())
                     else:
-                        kept.append(joined.decode() if spans else text)
+                        kept.append(None if text is None else joined.decode() if spans else text.decode())
                 arrays = [part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["rid", "n_words", "n_removed", "kept"])
 
@@ -225,15 +246,25 @@ def _named(docs: DataFrame) -> DataFrame:
     return durable(marked.distinct().orderBy("id", "h").select("id", "h", F.monotonically_increasing_id().alias("rid")))
 
 
-def repeated_starts(rows: DataFrame, span: int = SPAN, gram: int = GRAM, buffer: int = BUFFER) -> DataFrame:
-    """(rid, spans): runs of starts in document `rid` whose sequence of `span` words stands earlier.  One row per rid."""
-    anchors = rows.mapInArrow(_anchor_rows(span, gram, buffer), "key long, rid long, at int, known boolean")
+def pack_texts(rows: DataFrame) -> DataFrame:
+    # rid is declared as never null, so that both joins by it ask for the very same shuffle
+    return rows.mapInArrow(_packed_rows, T.StructType([T.StructField("rid", T.LongType(), False), T.StructField("packed", T.BinaryType())]))
+
+
+def repeated_starts(rows: DataFrame, packed: DataFrame, span: int = SPAN, gram: int = GRAM, buffer: int = BUFFER) -> DataFrame:
+    """(rid, spans): packed runs of starts in document `rid` whose sequence of `span` words stands earlier.  One row per rid.
+
+    `rows` are (rid, text); `packed` the same from `pack_texts`, so that a caller's own join by rid can share its shuffle.
+    """
+    anchors = rows.mapInArrow(_anchor_rows(span, gram, buffer), "key long, rid long, at long")
     n = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    places = anchors.withColumn("n", n).where("known or n > 1").groupBy("rid").agg(F.collect_list("at").alias("anchors"))
-    asked = rows.join(places, "rid").select("rid", "text", "anchors")
-    found = asked.mapInArrow(_sequence_rows(span, gram, buffer), "h1 long, h2 long, rid long, lo int, hi int, known boolean")
-    turn = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("rid", "lo"))
-    return found.withColumn("turn", turn).where("known or turn > 1").groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    shared = anchors.withColumn("n", n).where("n > 1 or at % 2 = 1")
+    places = shared.groupBy("rid").agg(F.collect_list((F.shiftright("at", 1)).cast("int")).alias("anchors"))
+    asked = packed.join(places, "rid").select("rid", "packed", "anchors")
+    found = asked.mapInArrow(_sequence_rows(span, gram, buffer), "h1 long, h2 long, rid long, run long")
+    turn = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("rid", "run"))
+    repeats = found.withColumn("turn", turn).where("turn > 1 or run % 4294967296 > 0")
+    return repeats.groupBy("rid").agg(F.collect_list("run").alias("spans"))
 
 
 def substring_dedup(
@@ -250,8 +281,10 @@ def substring_dedup(
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows, names = _ordered(source)
-    spans = repeated_starts(rows if names is None else rows.dropDuplicates(["rid"]), span, gram, buffer)
-    joined = rows.join(spans, "rid", "left").select("rid", "text", "spans")
+    packed = pack_texts(rows)
+    once = rows if names is None else rows.dropDuplicates(["rid"])
+    spans = repeated_starts(once, packed if names is None else pack_texts(once), span, gram, buffer)
+    joined = packed.join(spans, "rid", "left").select("rid", "packed", "spans")
     out = joined.mapInArrow(_kept_rows(span, keep), "rid long, n_words long, n_removed long, kept string")
     if names is None:
         out = out.withColumn("id", F.col("rid").cast(source.schema["id"].dataType))
@@ -269,10 +302,11 @@ def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cou
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows, names = _ordered(source)
     if names is None:
-        spans = repeated_starts(rows, span)
+        spans = repeated_starts(rows, pack_texts(rows), span)
         marked = docs.withColumn("__rid", F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
     else:
-        spans = repeated_starts(rows.dropDuplicates(["rid"]), span)
+        once = rows.dropDuplicates(["rid"])
+        spans = repeated_starts(once, pack_texts(once), span)
         hashed = docs.withColumn("__h", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
         full = names.select(F.col("id").alias("__id"), F.col("h").alias("__nh"), F.col("rid").alias("__rid"))
         marked = hashed.join(full, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__nh")))
@@ -288,7 +322,7 @@ def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cou
                 for text, spans in zip(part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True):
                     if spans:
                         words = text.encode().split()
-                        gone = factors(len(words), [(s["lo"], s["hi"]) for s in spans], span).tolist()
+                        gone = factors(len(words), spans, span).tolist()
                         text = b" ".join([w for w, g in zip(words, gone, strict=True) if not g]).decode()
                     texts.append(text)
                 columns[at] = pa.array(texts, pa.string())
@@ -297,3 +331,17 @@ def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cou
                 yield pa.RecordBatch.from_arrays(columns, names=part.schema.names[:-1])
 
     return wanted.mapInArrow(run, docs.schema)
+
+
+#: The digest form in SQL: every sequence's first place by its whole text.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, p, array_to_string(ws[p:p + 19], ' ') AS seq FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS p FROM d)),
+r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY seq ORDER BY doc_id, p) AS turn FROM s),
+g AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS i FROM r WHERE turn > 1),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+k AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.i) AS kept FROM w ANTI JOIN g ON w.doc_id = g.doc_id AND w.i = g.i GROUP BY w.doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN k ON d.doc_id = k.doc_id
+"""
