@@ -17,7 +17,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import lower_ascii
+from tidelog.llm.common import LOWER, UPPER, lower_ascii
 
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 2
@@ -54,7 +54,7 @@ def words_of(text: Column) -> Column:
     return F.filter(split, lambda w: w != "")
 
 
-def _templates(spark: SparkSession, phrases: Mapping[str, str], notices: Mapping[str, str]) -> DataFrame:
+def _template_rows(phrases: Mapping[str, str], notices: Mapping[str, str]) -> list[tuple]:
     rows = []  # a notice that ends in its version counts only where the version stands too
     for i, (kind, (text, label)) in enumerate([("phrase", x) for x in phrases.items()] + [("notice", x) for x in notices.items()]):
         words = text.split()
@@ -62,7 +62,12 @@ def _templates(spark: SparkSession, phrases: Mapping[str, str], notices: Mapping
             raise ValueError(f"a template needs {K} words at least: {text!r}")
         last = len(words) - K if words[-1].isdigit() else -1
         rows += [(i, kind, label, len(words) - K + 1, last, at, words[at : at + K]) for at in range(len(words) - K + 1)]
-    frame = spark.createDataFrame(rows, "template int, kind string, label string, grams int, last int, t_pos int, gram array<string>")
+    return rows
+
+
+def _templates(spark: SparkSession, phrases: Mapping[str, str], notices: Mapping[str, str]) -> DataFrame:
+    """The templates' k-grams: a fixed list, so it may be broadcast."""
+    frame = spark.createDataFrame(_template_rows(phrases, notices), "template int, kind string, label string, grams int, last int, t_pos int, gram array<string>")
     return frame.withColumn("hash", F.xxhash64(*[F.col("gram")[j] for j in range(K)]))
 
 
@@ -134,3 +139,31 @@ def scan_licenses(
         F.array_join(F.array_sort(F.array_union(base, more)), ",").alias("labels"),
         F.coalesce("score", F.lit(0.0)).alias("score"),
     )
+
+
+def oracle(phrases: Mapping[str, str] = PHRASES, notices: Mapping[str, str] = NOTICES, least: float = LEAST) -> str:
+    """The same in SQL, by comparing the words of all k-grams."""
+    values = ", ".join(f"({i}, '{kind}', '{label}', {grams}, {last}, {at}, '{' '.join(gram)}')" for i, kind, label, grams, last, at, gram in _template_rows(phrases, notices))
+    gram = " || ' ' || ".join(f"ws[i + {j}]" if j else "ws[i]" for j in range(K))
+    along = "PARTITION BY doc_id, template ORDER BY start, diagonal"
+    return f"""
+WITH t(template, kind, label, grams, last, t_pos, gram) AS (VALUES {values}),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{BREAK}'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT doc_id, i - 1 AS pos, {gram} AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {K - 2})) AS i FROM d)),
+c AS (SELECT doc_id, template, kind, label, grams, last, pos - t_pos AS diagonal, list_distinct(list(t_pos)) AS spots, min(t_pos) AS lo, max(t_pos) AS hi
+  FROM g JOIN t ON g.gram = t.gram GROUP BY 1, 2, 3, 4, 5, 6, 7),
+n AS (SELECT *, diagonal + lo AS start FROM c),
+m AS (SELECT *, CASE WHEN lag(diagonal) OVER ({along}) IS NULL OR abs(diagonal - lag(diagonal) OVER ({along})) > {DRIFT}
+  OR start - max(diagonal + hi) OVER ({along} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > {GAP} THEN 1 ELSE 0 END AS new FROM n),
+p AS (SELECT *, sum(new) OVER ({along} ROWS UNBOUNDED PRECEDING) AS span FROM m),
+s AS (SELECT doc_id, kind, label, grams, last, list_distinct(flatten(list(spots))) AS covered, list(diagonal) FILTER (kind = 'phrase' AND len(spots) = grams) AS places
+  FROM p GROUP BY doc_id, template, kind, label, grams, last, span),
+f AS (SELECT doc_id, kind, label, places, CASE WHEN last < 0 OR list_contains(covered, last) THEN len(covered) / grams ELSE 0 END AS share FROM s),
+r AS (SELECT doc_id, sum(coalesce(len(places), 0)) AS n_base, min(list_min(places)) AS first_word, max(list_max(places)) AS last_word,
+  array_to_string(list_sort(list_distinct(list(label) FILTER (len(places) > 0))), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list(label) FILTER (len(places) > 0 OR (kind = 'notice' AND share >= {least})))), ',') AS labels,
+  max(CASE WHEN len(places) > 0 THEN 1 WHEN kind = 'notice' THEN share ELSE 0 END) AS score FROM f GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+"""

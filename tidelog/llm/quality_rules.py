@@ -37,7 +37,7 @@ class Band(NamedTuple):
 
 #: Bands by script, as Unicode names it; "" holds for any other.
 BANDS: Mapping[str, Band] = {
-    "LATIN": Band(1.3, 9.0, 0.25, 2.5),
+    "LATIN": Band(1.1, 9.0, 0.25, 2.5),
     "CYRILLIC": Band(1.0, 8.0, 0.35, 2.5),
     "GREEK": Band(0.6, 8.0, 0.60, 2.5),
     "CJK": Band(0.3, 4.0, 0.95, 2.5),
@@ -162,4 +162,3 @@ def drop_rejected(docs: DataFrame, text_col: str = "text", model: str | None = N
     return docs.mapInArrow(run, schema)
 
 
-ORACLE = None

@@ -60,4 +60,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE, "op10_url_filter": url_filter.oracle()}
+    return {
+        "op3_license_scan": license_scan.oracle(),
+        "op4_exact_dedup": exact_dedup.ORACLE,
+        "op7_substring_dedup": substring.ORACLE,
+        "op10_url_filter": url_filter.oracle(),
+    }
