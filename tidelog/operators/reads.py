@@ -15,6 +15,7 @@ from tidelog.functions.keys import binary, has_prefix, in_range
 from tidelog.functions.merge import MergeOperator
 from tidelog.plans.resolve import resolve, running, visible
 from tidelog.schema import DEFAULT_CF, DELETE_RANGE, InvalidArgument
+from tidelog.sources.durable import durable
 
 #: Up to so many requested keys become an IN list, which is pushed down; more are joined.
 IN_LIST = 200
@@ -127,12 +128,14 @@ def numbered_chunks(state: DataFrame, n: int) -> DataFrame:
 
     Rows are numbered by a count per range partition and a place within it, not by one global window.
     """
-    ordered = state.repartitionByRange("key").withColumn("part", F.spark_partition_id())
-    inside = ordered.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("key")) - 1)
-    sizes = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("size"))  # one row per partition
-    before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = inside.join(F.broadcast(before.select("part", "before")), "part")
-    return numbered.withColumn("chunk", F.floor((F.col("before") + F.col("place")) / n).cast("long")).drop("part", "place", "before")
+    ordered = state.repartitionByRange("key").withColumn("__part", F.spark_partition_id())
+    # read twice below, and a second sampling of the ranges might cut them elsewhere: so it is kept
+    placed = durable(ordered.withColumn("__place", F.row_number().over(Window.partitionBy("__part").orderBy("key")) - 1))
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))  # one row per partition
+    running = F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    before = sizes.select("__part", F.coalesce(running, F.lit(0)).alias("__before"))
+    numbered = placed.join(F.broadcast(before), "__part")
+    return numbered.withColumn("chunk", F.floor((F.col("__before") + F.col("__place")) / n).cast("long")).drop("__part", "__place", "__before")
 
 
 def all_versions(log: DataFrame, read_seq: int | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.schema import DEFAULT_CF, DELETE, DELETE_RANGE, MERGE, OP_LOG, PUT, SINGLE_DELETE, InvalidArgument
+from tidelog.sources.durable import durable
 
 
 class WriteBatch:
@@ -111,10 +112,12 @@ def assign_sequence(records: DataFrame, order: list[str], last_seq: int = 0) ->
     """
     if not order:
         raise InvalidArgument("records need an order to be numbered")
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
     ordered = records.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    sizes = ordered.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))  # one row per range
+    # read twice below, and a second sampling of the ranges might cut them elsewhere: so it is kept
+    placed = durable(ordered.withColumn("__place", inside))
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))  # one row per range
     running = F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     before = sizes.select("__part", F.coalesce(running, F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    numbered = ordered.withColumn("__place", inside).join(F.broadcast(before), "__part")
+    numbered = placed.join(F.broadcast(before), "__part")
     return numbered.withColumn("seq", (F.lit(last_seq) + F.col("__before") + F.col("__place")).cast("long")).drop("__part", "__before", "__place")
