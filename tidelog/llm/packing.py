@@ -30,11 +30,38 @@ from tidelog.llm.pieces import slices
 
 WINDOW, END_ID, BUCKETS = 2048, 1, 256
 SWEEPS, COLUMNS = 3, 400_000
-TABLE = 300_000
+TABLE = 400_000
 LONGEST = 48
 
-#: Words that fall into two tokens' worth of text whatever follows: precomposed letters, then marks without a quote.
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*$%&#()\[\]/\\+=-]*)")
+#: Characters that normalisation leaves alone but for their case, and whose kind is plain: white space, printable ASCII, precomposed letters.
+_PLAIN = re.compile(r"[\t-\r\x20-~À-ÖØ-öø-ÿ]*")
+#: What words of plain characters fall into, in lower case: contractions, letters, single digits, marks.
+_PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+_SPACE = re.compile(r"[\x20\x09-\x0D]+")
+_SHOWN = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
+#: Byte-level vocabularies write each byte as a visible character: itself, or the next one from 256 on.
+_VISIBLE = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
+class Table:
+    """A map of at most `size` entries that keeps what is in use: when full, entries not asked for since are dropped."""
+
+    def __init__(self, size: int):
+        self.half, self.now, self.before = size // 2, {}, {}
+
+    def known(self, keys: set[str]) -> dict[str, bytes]:
+        now, before = self.now, self.before
+        found = {k: now[k] for k in keys if k in now}
+        if before:
+            older = {k: before[k] for k in keys if k in before and k not in found}
+            now.update(older)
+            found.update(older)
+        return found
+
+    def add(self, entries: dict[str, bytes]) -> None:
+        self.now.update((k, v) for k, v in entries.items() if len(k) <= LONGEST)
+        if len(self.now) > self.half:
+            self.before, self.now = self.now, {}
 
 
 def default_vocabulary() -> str:
@@ -44,53 +71,68 @@ def default_vocabulary() -> str:
 
 
 class WordTokens:
-    """Ids of texts as little-endian unsigned 32-bit bytes, word by word.
+    """Ids of texts as little-endian unsigned 32-bit bytes, piece by piece.
 
-    The vocabulary drops white space and merges within words only, so a text's ids are those of its words in turn; a
-    word of letters with marks behind it is likewise its letters and its marks.  Known words are kept in a
-    table of at most TABLE entries, which starts afresh when full.
+    The vocabulary drops white space and merges within pieces only: contractions, runs of letters, digits, runs of
+    marks.  Texts of plain characters are cut into pieces here, and a piece that is not in the table goes straight to
+    the library's model.  Other texts are cut at white space; their words that are not plain take the library's
+    whole way.  All of this is tried on probes when a vocabulary is loaded; where it fails, whole texts are
+    encoded by the library.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, table: int = TABLE):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tokenizers
 
         self.library = tokenizers.Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.model = self.library.model
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.pieces, self.words = Table(table), Table(table // 4)
+        self.by_piece = True
+        probes = ["The Übung, ends! don't x|y l'été ß 12 $$$ ÀÉ. <b> a%b I'LL .'s'' 'tis", "\u00a0 ñandú?! \U0001f600 e\u0301x the", *self.special, ""]
+        self.by_piece = self.encode(probes) == self._ask(probes)
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch(texts, add_special_tokens=False)
         return [struct.pack(f"<{len(e)}I", *e.ids) for e in found]
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of each of the words."""
-        if len(self.words) > TABLE:
-            self.words = {}
-        if len(self.stems) > TABLE:
-            self.stems = {}
-        new = [w for w in words if w not in self.words]
-        cut = {w: (m[1].lower(), m[2]) if (m := _SIMPLE.fullmatch(w)) else (w,) for w in new}
-        stems, known = {s for parts in cut.values() for s in parts if s}, self.stems
-        ask = [s for s in stems if s not in known]
-        fresh = dict(zip(ask, self._ask(ask), strict=True))
-        known.update((s, v) for s, v in fresh.items() if len(s) <= LONGEST)
-        of = lambda s: known[s] if s in known else fresh[s] if s else b""
-        found = {w: b"".join(map(of, parts)) for w, parts in cut.items()}
-        self.words.update((w, v) for w, v in found.items() if len(w) <= LONGEST)
-        return {w: v for w, v in found.items() if len(w) > LONGEST}
+    def _piece(self, text: str) -> bytes:
+        shown = text if text.isascii() else text.encode().decode("latin-1").translate(_VISIBLE)
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _plain(self, text: str) -> bool:
+        return _PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
+
+    def _learn(self, wanted: set[str], table: Table, ask) -> dict[str, bytes]:
+        known = table.known(wanted)
+        new = [w for w in wanted if w not in known]
+        fresh = dict(zip(new, ask(new), strict=True))
+        table.add(fresh)
+        known |= fresh
+        return known
+
+    def _cut(self, text: str) -> list[str]:
+        """Pieces of a text; a word that is not plain stands whole, behind a NUL that no piece holds."""
+        if self._plain(text):
+            return _PIECE.findall(text.lower())
+        keys = []
+        for word in _SPACE.split(text):  # ASCII white space only: a part of what the vocabulary drops
+            keys += _PIECE.findall(word.lower()) if self._plain(word) else ["\0" + word]
+        return keys
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_piece:
+            return self._ask(texts)
         out: list[bytes] = []
-        for lo in range(0, len(texts), 64):
-            # ASCII white space only: a part of what the vocabulary drops, and never inside one of its words
-            split = [[w.decode() for w in t.encode().split()] for t in texts[lo : lo + 64]]
-            longer = self.learn(set().union(*split))
-            for words in split:
-                if longer:
-                    out.append(b"".join([self.words[w] if w in self.words else longer[w] for w in words]))
-                else:
-                    out.append(b"".join(map(self.words.__getitem__, words)))
+        for lo in range(0, len(texts), 128):
+            cut = [self._cut(t) for t in texts[lo : lo + 128]]
+            wanted = set().union(*cut)
+            odd = {w for w in wanted if w[0] == "\0"}
+            known = self._learn(wanted - odd, self.pieces, lambda new: map(self._piece, new))
+            if odd:
+                known |= self._learn(odd, self.words, lambda new: self._ask([w[1:] for w in new]))
+            out += [b"".join(map(known.__getitem__, keys)) for keys in cut]
         return out
 
 
