@@ -73,14 +73,12 @@ def exact_dedup(
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """The rows of `docs` that stay, with all their columns; of rows that repeat an id and its text, one stays."""
-    stay = exact_dedup(docs, id_col, text_col, salts).where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__digest"))
-    marked = docs.withColumn("__digest", sha256(normalised(F.col(text_col)))).withColumn("__id", F.col(id_col))
-    joined = marked.join(
-        stay.withColumnRenamed("__id", "__keep").withColumnRenamed("__digest", "__of"),
-        (F.col("__id").eqNullSafe(F.col("__keep"))) & (F.col("__digest") == F.col("__of")),
-        "left_semi",
-    )
-    return joined.dropDuplicates(["__id", "__digest"]).select(*docs.columns)
+    row = lambda id_, digest: F.concat_ws(":", digest, F.coalesce(id_.cast("string"), F.lit("null")))
+    stay = exact_dedup(docs, id_col, text_col, salts).where("kept").select(row(F.col(id_col), F.col("text_sha256")).alias("__keep"))
+    marked = docs.withColumn("__row", row(F.col(id_col), sha256(normalised(F.col(text_col)))))
+    # one shuffle of the documents, by one key: it serves the join and the removal of repeated rows
+    joined = marked.join(stay, F.col("__row") == F.col("__keep"), "left_semi")
+    return joined.dropDuplicates(["__row"]).select(*docs.columns)
 
 
 ORACLE = r"""
