@@ -24,7 +24,7 @@ from tidelog.sources.files import Files
 
 RUN_COLUMNS = """cf string, run_id long, level int, path string, n_entries long, size long, smallest_key binary,
 largest_key binary, min_seq long, max_seq long, n_merges long, n_ranges long"""
-DEFAULT_OPTIONS = {"merge": "string_append", "delimiter": ",", "ttl_kind": "disabled", "ttl_ms": 0, "trigger": compaction.TRIGGER}
+DEFAULT_OPTIONS = {"merge": "string_append", "delimiter": ",", "ttl_kind": "disabled", "ttl_ms": 0, "trigger": compaction.TRIGGER, "codec": "zstd"}
 
 
 class Conflict(RuntimeError):
@@ -114,7 +114,8 @@ class Store:
         name = f"{run_id:06}-{uuid.uuid4().hex[:8]}"
         path = f"{self.path}/runs/{name}"
         rows = log.select(*OP_LOG.names).repartitionByRange("key", F.desc("seq")).sortWithinPartitions("key", F.desc("seq"))
-        rows.write.option("parquet.bloom.filter.enabled#key", "true").parquet(path)
+        codec = self._manifest["cfs"][cf]["codec"]
+        rows.write.option("compression", codec).option("parquet.bloom.filter.enabled#key", "true").parquet(path)
         return self._entry(path, name, cf, run_id, level)
 
     def _entry(self, path: str, name: str, cf: str, run_id: int, level: int) -> list[dict]:
