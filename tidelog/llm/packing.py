@@ -16,7 +16,8 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator, Mapping
+from collections import ChainMap
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from typing import NamedTuple
 
 import numpy as np
@@ -44,22 +45,29 @@ _VISIBLE = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _
 
 
 class Table:
-    """A map of at most `size` entries that keeps what is in use: when full, entries not asked for since are dropped."""
+    """A map of about `size` entries at most that keeps what is in use.
+
+    `fill` makes sure that `now` has the wanted keys; `trim`, after use, lets go of long keys and, when half the size
+    is reached, of all entries that were not asked for since it last was.
+    """
 
     def __init__(self, size: int):
-        self.half, self.now, self.before = size // 2, {}, {}
+        self.half, self.now, self.before, self.long = size // 2, {}, {}, []
 
-    def known(self, keys: set[str]) -> dict[str, bytes]:
+    def fill(self, keys: set[str], ask: Callable[[list[str]], Iterable[bytes]]) -> dict[str, bytes]:
         now, before = self.now, self.before
-        found = {k: now[k] for k in keys if k in now}
+        new = [k for k in keys if k not in now]
         if before:
-            older = {k: before[k] for k in keys if k in before and k not in found}
-            now.update(older)
-            found.update(older)
-        return found
-
-    def add(self, entries: dict[str, bytes]) -> None:
-        self.now.update((k, v) for k, v in entries.items() if len(k) <= LONGEST)
+            now.update((k, before[k]) for k in new if k in before)
+            new = [k for k in new if k not in now]
+        now.update(zip(new, ask(new), strict=True))
+        self.long += [k for k in new if len(k) > LONGEST]
+        return now
+
+    def trim(self) -> None:
+        for k in self.long:
+            del self.now[k]
+        self.long = []
         if len(self.now) > self.half:
             self.before, self.now = self.now, {}
 
@@ -87,6 +95,7 @@ class WordTokens:
         self.library = tokenizers.Tokenizer.from_file(path)
         self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.ids = [struct.pack("<I", i) for i in range(self.library.get_vocab_size())]
         self.pieces, self.words = Table(table), Table(table // 4)
         self.by_piece = True
         probes = ["The Übung, ends! don't x|y l'été ß 12 $$$ ÀÉ. <b> a%b I'LL .'s'' 'tis", "\u00a0 ñandú?! \U0001f600 e\u0301x the", *self.special, ""]
@@ -98,20 +107,11 @@ class WordTokens:
 
     def _piece(self, text: str) -> bytes:
         shown = text if text.isascii() else text.encode().decode("latin-1").translate(_VISIBLE)
-        ids = [t.id for t in self.model.tokenize(shown)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join([self.ids[t.id] for t in self.model.tokenize(shown)])
 
     def _plain(self, text: str) -> bool:
         return _PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
 
-    def _learn(self, wanted: set[str], table: Table, ask) -> dict[str, bytes]:
-        known = table.known(wanted)
-        new = [w for w in wanted if w not in known]
-        fresh = dict(zip(new, ask(new), strict=True))
-        table.add(fresh)
-        known |= fresh
-        return known
-
     def _cut(self, text: str) -> list[str]:
         """Pieces of a text; a word that is not plain stands whole, behind a NUL that no piece holds."""
         if self._plain(text):
@@ -125,14 +125,17 @@ class WordTokens:
         if not self.by_piece:
             return self._ask(texts)
         out: list[bytes] = []
-        for lo in range(0, len(texts), 128):
-            cut = [self._cut(t) for t in texts[lo : lo + 128]]
+        for lo in range(0, len(texts), 256):
+            cut = [self._cut(t) for t in texts[lo : lo + 256]]
             wanted = set().union(*cut)
             odd = {w for w in wanted if w[0] == "\0"}
-            known = self._learn(wanted - odd, self.pieces, lambda new: map(self._piece, new))
+            known = self.pieces.fill(wanted - odd, lambda new: map(self._piece, new))
             if odd:
-                known |= self._learn(odd, self.words, lambda new: self._ask([w[1:] for w in new]))
+                words = self.words.fill(odd, lambda new: self._ask([w[1:] for w in new]))
+                known = ChainMap(words, known)
             out += [b"".join(map(known.__getitem__, keys)) for keys in cut]
+            self.pieces.trim()
+            self.words.trim()
         return out
 
 
