@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.filters import CHANGE, REMOVE, SKIP, CompactionFilter
 from tidelog.functions.merge import MergeOperator, string_append
-from tidelog.plans.resolve import hide_ranges
+from tidelog.plans.resolve import BROADCAST_RANGES, hide_ranges
 from tidelog.schema import DELETE, DELETE_RANGE, MERGE, PUT, SINGLE_DELETE
 
 TRIGGER = 4
@@ -48,7 +48,8 @@ def overlapping(runs: DataFrame) -> DataFrame:
 def covered_runs(runs: DataFrame, ranges: DataFrame) -> DataFrame:
     """Runs that lie wholly inside one of the half-open `ranges` (begin, end): what a file-level range drop deletes."""
     inside = (F.col("smallest_key") >= F.col("begin")) & (F.col("largest_key") < F.col("end"))
-    return runs.join(F.broadcast(ranges.limit(100_000)), inside, "left_semi") if ranges.limit(100_001).count() <= 100_000 else runs.join(ranges, inside, "left_semi")
+    few = ranges.limit(BROADCAST_RANGES + 1).count() <= BROADCAST_RANGES
+    return runs.join(F.broadcast(ranges) if few else ranges, inside, "left_semi")
 
 
 def retained(log: DataFrame, snapshots: Sequence[int] = ()) -> DataFrame:

@@ -88,12 +88,13 @@ def resolve(
         F.collect_list(F.when(is_merge, F.struct("seq", "value"))).alias("all"),
     )
     above = F.sort_array(F.filter("all", lambda x: x.seq > F.coalesce(F.col("b_seq"), F.lit(-1))))
-    state = state.select("cf", "key", "b", "b_seq", above.alias("operands"))
     base = F.when(F.col("b.op") == PUT, F.col("b.value"))
     values = F.transform("operands", lambda x: x.value)
     value = F.when(F.size("operands") > 0, merge.fold(base, values)).otherwise(base)
     newest = F.when(F.size("operands") > 0, F.element_at("operands", -1)["seq"]).otherwise(F.col("b_seq"))
-    return state.where((F.size("operands") > 0) | (F.col("b.op") == PUT)).select(
+    alive = (F.col("b.op") == PUT) | F.exists("all", lambda x: x.seq > F.coalesce(F.col("b_seq"), F.lit(-1)))
+    state = state.where(alive).select("cf", "key", "b", "b_seq", above.alias("operands"))
+    return state.select(
         "cf", "key", value.alias("value"), newest.alias("seq"), F.size("operands").alias("n_operands")
     )
 
