@@ -6,35 +6,21 @@ executor can read, so a lost executor costs a re-read and not a recomputation fr
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.sources.durable import checkpoint_dir, durable
+
+__all__ = ["LOWER", "UPPER", "WHITE", "Table", "checkpoint_dir", "documents", "durable", "durable_table", "held_out", "lower_ascii"]
+
 #: One run of the white space that separates words; Java, DuckDB and Python read it alike.
 WHITE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints; one of our own only where the session names none (as in tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    current = spark.sparkContext.getCheckpointDir()
-    if named and current is None:
-        spark.sparkContext.setCheckpointDir(named)
-    elif current is None:
-        named = tempfile.mkdtemp(prefix="tidelog-checkpoint-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named or current
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """`df`, computed now and kept in the shared checkpoint folder; its lineage is cut."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def durable_table(df: DataFrame) -> DataFrame:
     """Like `durable`, but as compressed Parquet: for intermediates whose bytes follow the corpus."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
@@ -54,3 +40,32 @@ def lower_ascii(column):
 def held_out(id_column):
     """True where crc32 of the id's decimal text is divisible by 5."""
     return F.crc32(id_column.cast("string").cast("binary")) % 5 == 0
+
+
+class Table:
+    """A worker's map of about `size` entries at most that keeps what is in use.
+
+    `fill` makes sure that `now` has the wanted keys; `trim`, after use, lets go of long keys and, when half the size
+    is reached, of all entries that were not asked for since it last was.
+    """
+
+    def __init__(self, size: int, longest: int = 64):
+        self.half, self.longest = size // 2, longest
+        self.now, self.before, self.long = {}, {}, []
+
+    def fill(self, keys: set[str], ask: Callable[[list[str]], Iterable]) -> dict:
+        now, before = self.now, self.before
+        new = [k for k in keys if k not in now]
+        if before:
+            now.update((k, before[k]) for k in new if k in before)
+            new = [k for k in new if k not in now]
+        now.update(zip(new, ask(new), strict=True))
+        self.long += [k for k in new if len(k) > self.longest]
+        return now
+
+    def trim(self) -> None:
+        for k in self.long:
+            del self.now[k]
+        self.long = []
+        if len(self.now) > self.half:
+            self.before, self.now = self.now, {}

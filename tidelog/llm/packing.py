@@ -17,7 +17,7 @@ import re
 import struct
 import zlib
 from collections import ChainMap
-from collections.abc import Callable, Iterable, Iterator, Mapping
+from collections.abc import Iterator, Mapping
 from typing import NamedTuple
 
 import numpy as np
@@ -26,13 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import durable
+from tidelog.llm.common import Table, durable
 from tidelog.llm.pieces import slices
 
 WINDOW, END_ID, BUCKETS = 2048, 1, 256
 SWEEPS, COLUMNS = 3, 400_000
 TABLE = 400_000
-LONGEST = 48
 
 #: Characters that normalisation leaves alone but for their case, and whose kind is plain: white space, printable ASCII, precomposed letters.
 _PLAIN = re.compile(r"[\t-\r\x20-~À-ÖØ-öø-ÿ]*")
@@ -44,34 +43,6 @@ _SHOWN = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xA
 _VISIBLE = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
-class Table:
-    """A map of about `size` entries at most that keeps what is in use.
-
-    `fill` makes sure that `now` has the wanted keys; `trim`, after use, lets go of long keys and, when half the size
-    is reached, of all entries that were not asked for since it last was.
-    """
-
-    def __init__(self, size: int):
-        self.half, self.now, self.before, self.long = size // 2, {}, {}, []
-
-    def fill(self, keys: set[str], ask: Callable[[list[str]], Iterable[bytes]]) -> dict[str, bytes]:
-        now, before = self.now, self.before
-        new = [k for k in keys if k not in now]
-        if before:
-            now.update((k, before[k]) for k in new if k in before)
-            new = [k for k in new if k not in now]
-        now.update(zip(new, ask(new), strict=True))
-        self.long += [k for k in new if len(k) > LONGEST]
-        return now
-
-    def trim(self) -> None:
-        for k in self.long:
-            del self.now[k]
-        self.long = []
-        if len(self.now) > self.half:
-            self.before, self.now = self.now, {}
-
-
 def default_vocabulary() -> str:
     import public_tokenizers
 

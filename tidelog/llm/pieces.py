@@ -2,8 +2,8 @@
 
 In the vocabulary no piece holds a white-space marker after another character, so no merge crosses the border in
 front of a marker.  A text is cut there into marked words ("chunks"), each distinct chunk is segmented once, and its
-ids are joined back by position.  The table of known chunks lives in the Python worker, holds at most `TABLE` chunks
-and starts afresh when full, so memory is bounded while every chunk of a batch is still segmented once.
+ids are joined back by position.  The table of known chunks lives in the Python worker, holds about `TABLE` chunks
+at most and drops those out of use, so memory is bounded while every chunk of a batch is still segmented once.
 
 `Pieces` checks the vocabulary when it loads; for a vocabulary with crossing pieces, or one that normalises texts, it
 falls back to segmenting whole texts.
@@ -13,18 +13,20 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelog.llm.common import Table
+
 MARK = "▁"
-TABLE = 200_000
-#: Longer chunks are segmented but not remembered.
-LONGEST = 64
+TABLE = 300_000
 
 
 def default_model() -> str:
@@ -39,13 +41,13 @@ class Pieces:
 
     def __init__(self, model: str, table: int = TABLE):
         self.library = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.limit, self.table = table, {}
+        self.table = Table(table)
         pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
         crosses = any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
         probe = "  ab  cd \n e fﬁ "
         self.by_chunk = not crosses and self.library.normalize(probe) == MARK + probe.replace(" ", MARK)
         self.ids_of = {p: i for i, p in enumerate(pieces)}
-        self.is_byte = [self.library.is_byte(i) for i in range(len(pieces))]
+        self.is_byte = np.array([self.library.is_byte(i) for i in range(len(pieces))])
         self.newline, self.tab = self.ids_of.get("<0x0A>", -1), self.ids_of.get("<0x09>", -1)
 
     def chunks(self, text: str) -> list[str]:
@@ -56,31 +58,24 @@ class Pieces:
         """Ids of chunks that begin with a marker: the library puts one marker in front of what it is given."""
         return self.library.encode([c[1:] for c in chunks], num_threads=1)
 
-    def learn(self, parts: Iterable[list[str]]) -> dict[str, list[int]]:
-        """The ids of all the distinct chunks in `parts`."""
-        if len(self.table) > self.limit:
-            self.table = {}
-        wanted = set().union(*parts)
-        new = [c for c in wanted if c not in self.table]
-        # a lone marker is what the library gives no ids for, as it is asked for the empty text
-        found = dict(zip(new, self._segment(new), strict=True))
-        if MARK in found:
-            found[MARK] = [self.ids_of[MARK]]
-        self.table.update((c, ids) for c, ids in found.items() if len(c) <= LONGEST)
-        return {c: self.table.get(c) or found[c] for c in wanted}
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks; a lone marker is what the library gives no ids for, as it is asked for the empty text."""
+        return [array("i", ids or [self.ids_of[MARK]]).tobytes() for ids in self._segment(chunks)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, as 32-bit integers."""
         if not self.by_chunk:
-            return self.library.encode(texts, num_threads=1)
-        out: list[list[int]] = []
-        for lo in range(0, len(texts), 64):
-            parts = [self.chunks(t) for t in texts[lo : lo + 64]]
-            known = self.learn(parts)
-            out += [[i for c in part for i in known[c]] for part in parts]
+            return [np.array(ids, np.int32) for ids in self.library.encode(texts, num_threads=1)]
+        out: list[np.ndarray] = []
+        for lo in range(0, len(texts), 256):
+            parts = [self.chunks(t) for t in texts[lo : lo + 256]]
+            known = self.table.fill(set().union(*parts), self._ids)
+            out += [np.frombuffer(b"".join(map(known.__getitem__, part)), np.int32) for part in parts]
+            self.table.trim()
         return out
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.library.decode(ids) if ids else []
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
+        return self.library.decode([x.tolist() for x in ids]) if ids else []
 
 
 _loaded: dict[str, Pieces] = {}
@@ -126,7 +121,7 @@ def _mapped(docs: DataFrame, id_col: str, text_col: str, model: str | None, dige
                 decoded = codec.decode(ids)
                 if digests:
                     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
-                    columns = [pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(",".join(map(str, x))) for x in ids]), pa.array([sha(x) for x in decoded])]
+                    columns = [pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(",".join(map(str, x.tolist()))) for x in ids]), pa.array([sha(x) for x in decoded])]
                 else:
                     names = [id_col, "ids", "decoded"]
                     columns = [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
