@@ -9,6 +9,7 @@ topic alone.  Texts of fewer than `BAND_TOKENS` ids are too short to measure and
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator, Mapping
@@ -48,16 +49,38 @@ BANDS: Mapping[str, Band] = {
 }
 
 
+def _window_keys(words: list[bytes]) -> np.ndarray:
+    """A number per window of WINDOW words, equal for equal windows only.
+
+    Words are numbered, and a window is their numbers as digits.  Where the text has too many different words for
+    that to fit into 64 bits, windows are numbered in turn.
+    """
+    n = len(words) - WINDOW + 1
+    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    if len(number) ** WINDOW >= 1 << 63:
+        turn: dict[tuple, int] = {}
+        return np.fromiter((turn.setdefault(w, len(turn)) for w in zip(*(words[i:] for i in range(WINDOW)))), np.int64, n)
+    digits = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    keys = digits[:n].copy()
+    for i in range(1, WINDOW):
+        keys *= len(number)
+        keys += digits[i : i + n]
+    return keys
+
+
 def repeated_words(words: list[bytes]) -> int:
     """Words that lie in a window of WINDOW words which the text holds more than once."""
     n = len(words) - WINDOW + 1
     if n < 2:
         return 0
-    windows = list(zip(*(words[i:] for i in range(WINDOW))))
-    counts = Counter(windows)
-    if len(counts) == n:
+    keys = _window_keys(words)
+    order = np.argsort(keys)
+    same = keys[order[1:]] == keys[order[:-1]]
+    if not same.any():
         return 0
-    again = np.fromiter((counts[w] > 1 for w in windows), np.int64, n)
+    again = np.zeros(n, np.int64)
+    again[order[1:][same]] = 1
+    again[order[:-1][same]] = 1
     edges = np.zeros(len(words) + 1, np.int64)
     edges[:n] += again
     edges[WINDOW:] -= again
@@ -76,6 +99,9 @@ def base_failed(n_words: int, n_repeat: int) -> bool:
     return n_words < LEAST_WORDS or 100 * n_repeat > REPEAT_PERCENT * n_words
 
 
+#: Letters below this code point are Latin.
+_LATIN_END = 0x2B0
+_LETTER = re.compile(r"[^\W\d_]")
 _scripts: dict[str, str] = {}
 
 
@@ -88,22 +114,24 @@ def _script_of(letter: str) -> str:
 
 def script(text: str) -> str:
     """The script of most of the letters of the whole text; empty where it has none."""
+    if text.isascii() or np.frombuffer(text.encode("utf-32-le"), np.uint32).max() < _LATIN_END:
+        return "LATIN" if _LETTER.search(text) else ""
     seen: Counter[str] = Counter()
     for letter in (letters := Counter(text)):
         if letter.isalpha():
-            seen["LATIN" if letter < "ʰ" else _script_of(letter)] += letters[letter]
+            seen["LATIN" if ord(letter) < _LATIN_END else _script_of(letter)] += letters[letter]
     return max(sorted(seen), key=seen.__getitem__) if seen else ""
 
 
-def fertility(text: str, ids: list[int], codec: Pieces) -> tuple[float, float, float]:
+def fertility(text: str, ids: np.ndarray, codec: Pieces) -> tuple[float, float, float]:
     """Characters a token, share of byte fallbacks, entropy of the ids in bits; zeros for no ids."""
-    if not ids:
+    if not len(ids):
         return 0.0, 0.0, 0.0
-    counts = Counter(ids)
-    p = np.fromiter(counts.values(), float, len(counts)) / len(ids)
-    fallback = sum(n for i, n in counts.items() if codec.is_byte[i])
-    fallback -= counts.get(codec.newline, 0) + counts.get(codec.tab, 0)  # white space that the vocabulary spells as a byte
-    return len(text) / len(ids), max(0, fallback) / len(ids), float(-(p * np.log2(p)).sum())
+    different, counts = np.unique(ids, return_counts=True)
+    p = counts / len(ids)
+    # white space that the vocabulary spells as a byte is no fallback
+    fallback = counts[codec.is_byte[different] & (different != codec.newline) & (different != codec.tab)].sum()
+    return len(text) / len(ids), float(fallback) / len(ids), float(-(p * np.log2(p)).sum())
 
 
 def within(measures: tuple[float, float, float], n_tokens: int, band: Band) -> bool:
