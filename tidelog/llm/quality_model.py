@@ -27,8 +27,10 @@ from tidelog.llm.quality_rules import repeated_words
 
 SAMPLE = 20_000
 SHRINK, FLOOR, TEMPER, CUT = 0.1, 1e-4, 0.35, 0.3
+#: Added to what shares are taken of, so that short texts have no extreme ones.
+SOFT = 10
 STATISTICS = (
-    "log_words", "word_length", "upper", "symbols", "exclaims", "digits", "marks", "distinct", "stutter", "again", "same_lines", "line_words", "ends",
+    "log_words", "word_length", "upper", "symbols", "exclaims", "digits", "marks", "distinct", "stutter", "again", "same_lines", "line_words",
 )
 
 _CLASS = np.zeros(256, np.int8)
@@ -40,28 +42,27 @@ _CLASS[0x80:] = 7
 def statistics(text: str | None) -> list[float]:
     """The transformed statistics of a whole text; defined for the empty one too."""
     raw = (text or "").encode()
-    size = max(1, len(raw))
+    size = len(raw)
     kinds = np.bincount(_CLASS[np.frombuffer(raw, np.uint8)], minlength=8)
     words = raw.split()
     n = max(1, len(words))
     lines = [x.strip() for x in raw.split(b"\n") if x.strip()]
     stutter = sum(map(bytes.__eq__, words, words[1:]))
-    letters = max(1, kinds[1] + kinds[2] + kinds[7])
+    letters = kinds[1] + kinds[2] + kinds[7]
     root = math.sqrt
     return [
         math.log1p(len(words)),
         math.log1p(len(raw) / n),
-        root(kinds[1] / letters),
-        root(kinds[3] / size),
-        root(kinds[4] / size),
-        root(kinds[5] / size),
-        root(kinds[6] / size),
+        root(kinds[1] / (letters + SOFT)),
+        root(kinds[3] / (size + SOFT)),
+        root(kinds[4] / (size + SOFT)),
+        root(kinds[5] / (size + SOFT)),
+        root(kinds[6] / (size + SOFT)),
         len(set(words)) / n ** 0.9,
-        root(stutter / n),
-        root(repeated_words(words) / n),
-        root(1 - len(set(lines)) / len(lines)) if lines else 0.0,
+        root(stutter / (n + SOFT)),
+        root(repeated_words(words) / (n + SOFT)),
+        root((len(lines) - len(set(lines))) / (len(lines) + SOFT / 2)),
         math.log1p(n / max(1, len(lines))),
-        root(sum(x.endswith((b".", b"!", b"?", b'"')) for x in lines) / max(1, len(lines))),
     ]
 
 
