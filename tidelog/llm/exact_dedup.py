@@ -54,7 +54,7 @@ def exact_dedup(
     per_digest = texts.groupBy("digest").agg(
         F.count(F.lit(1)).alias("n_texts"), F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")
     )
-    winners = durable(per_digest)
+    winners = durable(per_digest.hint("rebalance"))  # a few files by size, not one per shuffle partition
     rows = source.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("copies"))
     found = rows.join(winners.where("n_texts = 1").drop("n_texts"), "digest").select("id", "digest", "copies", "keep_id", "group_size")
     shared = winners.where("n_texts > 1").select("digest")
