@@ -99,6 +99,56 @@ def test_fertility_bands():
     assert (chars, entropy) == (0.5, 1.0) and quality_rules.fertility("", np.array([], int), codec) == (0.0, 0.0, 0.0) and share == 0
 
 
+def rules_verdict(text):
+    codec = pieces.pieces(MODEL)
+    ids = codec.encode([text])[0]
+    named = quality_rules.script(text)
+    return quality_rules.within(quality_rules.fertility(text, ids, codec), len(ids), quality_rules.BANDS.get(named, quality_rules.BANDS[""]))
+
+
+SHATTERED = {
+    "emoji": (0x1F300, 0x1F6FF), "private use": (0xE000, 0xF8FF), "mathematical": (0x1D400, 0x1D7FF), "braille": (0x2800, 0x2900), "Yi": (0xA000, 0xA48D),
+    "Latin": (0x1E00, 0x1F00), "Cyrillic": (0x460, 0x52F), "Greek": (0x1F00, 0x1FB0), "CJK": (0x4E00, 0x9FFF), "kana": (0x31F0, 0x3200), "Hangul": (0xAC00, 0xD7A0),
+    "Arabic": (0xFB50, 0xFBB0), "Hebrew": (0xFB1D, 0xFB50), "Thai": (0xE01, 0xE5B), "Devanagari": (0x900, 0x97F), "Gujarati": (0xA85, 0xAB9), "Ethiopic": (0x1200, 0x1249),
+}
+
+
+@pytest.mark.parametrize("named", sorted(SHATTERED))
+def test_shattered_text_fails_alone(named):
+    rng = random.Random(4)
+    words = ["".join(chr(rng.randrange(*SHATTERED[named])) for _ in range(rng.randrange(2, 9))) for _ in range(70)]
+    assert not rules_verdict(" ".join(words))
+    assert not quality_rules.base_failed(70, quality_rules.repeated_words(" ".join(words).encode().split()))
+
+
+def test_short_shattered_text_fails():
+    text = "one two three four five six seven eight \ue000\ue001 \ue002\ue003"
+    assert len(pieces.pieces(MODEL).encode([text])[0]) < quality_rules.BAND_TOKENS and not rules_verdict(text)
+    assert rules_verdict("one two three four five six seven eight nine ten") and rules_verdict("")
+
+
+PROSE = {
+    "French": "Les élèves de l'école ont visité le musée hier après-midi, où ils ont découvert des œuvres célèbres du dix-neuvième siècle.",
+    "Vietnamese": "Hôm qua chúng tôi đã đến thăm viện bảo tàng ở trung tâm thành phố và học được rất nhiều điều thú vị về lịch sử đất nước.",
+    "Russian": "Вчера вечером мы встретились с друзьями в маленьком кафе недалеко от центра города и долго говорили о планах на лето.",
+    "Greek": "Χθες το βράδυ συναντηθήκαμε με φίλους σε ένα μικρό καφέ κοντά στο κέντρο της πόλης και μιλήσαμε για τα σχέδια του καλοκαιριού.",
+    "Chinese": "昨天晚上我們和朋友在市中心附近的一家小咖啡館見面，談了很久關於明年夏天的計劃，大家都覺得非常高興，並決定一起去旅行。",
+    "Japanese": "昨日の夜、私たちは町の中心の近くにある小さな喫茶店で友達に会い、来年の夏の計画について長い間話しました。とても楽しかったです。",
+    "Korean": "어제 저녁 우리는 시내 중심가 근처의 작은 카페에서 친구들을 만나 내년 여름 계획에 대해 오랫동안 이야기를 나누었습니다.",
+    "Arabic": "التقينا مساء أمس مع الأصدقاء في مقهى صغير بالقرب من وسط المدينة وتحدثنا طويلا عن خطط الصيف القادم.",
+    "Hebrew": "אתמול בערב נפגשנו עם חברים בבית קפה קטן ליד מרכז העיר ודיברנו זמן רב על התוכניות לקיץ הבא.",
+    "Thai": "เมื่อวานตอนเย็นเราได้พบกับเพื่อน ๆ ที่ร้านกาแฟเล็ก ๆ ใกล้ใจกลางเมือง และพูดคุยกันเป็นเวลานานเกี่ยวกับแผนการสำหรับฤดูร้อนหน้า",
+    "Hindi": "कल शाम हम शहर के केंद्र के पास एक छोटे से कैफे में दोस्तों से मिले और अगली गर्मियों की योजनाओं के बारे में देर तक बातें कीं।",
+    "Amharic": "ትናንት ምሽት ከጓደኞቻችን ጋር በከተማው መሃል አቅራቢያ በሚገኝ ትንሽ ካፌ ተገናኝተን ስለ ክረምቱ ዕቅድ ረጅም ጊዜ ተነጋገርን።",
+    "Punjabi": "ਕੱਲ੍ਹ ਸ਼ਾਮ ਅਸੀਂ ਸ਼ਹਿਰ ਦੇ ਕੇਂਦਰ ਨੇੜੇ ਇੱਕ ਛੋਟੇ ਕੈਫੇ ਵਿੱਚ ਦੋਸਤਾਂ ਨੂੰ ਮਿਲੇ।",
+}
+
+
+@pytest.mark.parametrize("named", sorted(PROSE))
+def test_prose_of_each_script_stays(named):
+    assert rules_verdict(PROSE[named])
+
+
 def test_licenses_against_brute_force(spark):
     base = ["Under the MIT License", "Apache License, Version 2.0", "CC BY-NC 4.0", "under the mit\nlicensé", "cc by", "apache license version 20"]
     rows = corpus(5) + [(8000 + i, f"start {t} end {u}") for i, (t, u) in enumerate((t, u) for t in base for u in base)]
