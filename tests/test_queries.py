@@ -38,3 +38,10 @@ def test_query_matches_sql(spark, connection, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_whole_prefix_scan_gives_every_key(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet").collect()
+    wanted = {f"{r.o_custkey:08}:{r.o_orderkey:010}" for r in orders if f"{r.o_custkey:08}".startswith("000000")}
+    found = [r.key for r in entry.queries()["prefix_scan_whole"](spark, SF).collect()]
+    assert len(found) == len(wanted) and set(found) == wanted and any(not k.startswith("1:", 7) for k in found)

@@ -208,6 +208,12 @@ def prefix_scan(spark, sf_dir):
     return found.where("key like '00000%1:%'").select("key", "value")
 
 
+@query(f"SELECT key, value FROM {resolved(ORDERS)} WHERE starts_with(key, '000000')")
+def prefix_scan_whole(spark, sf_dir):
+    """Every key under the prefix."""
+    return readable(reads.prefix_scan(order_log(spark, sf_dir), b"000000").select("key", "value"))
+
+
 @query(f"SELECT key, value FROM {resolved(ORDERS)} WHERE key >= '00000050' AND key < '00000075:'")
 def range_scan(spark, sf_dir):
     return readable(reads.range_scan(order_log(spark, sf_dir), b"00000050", b"00000075:").select("key", "value"))
