@@ -257,6 +257,27 @@ def test_languages_on_held_out_rows(spark):
     assert langid.judge_language(table.limit(0)).count() == 0
 
 
+def test_no_letters_share_a_vector():
+    pairs = ["éç", "ñô", "üí", "ßù", "йі", "漢字", "かな", "אב"]
+    p = langid.Profiles()
+    for a, b in pairs:
+        assert abs(float(p.bundle(a * 3) @ p.bundle(b * 3))) < 0.9, (a, b)
+    letters = "".join(pairs) + "abcdefghijklmnopqrstuvwxyz "
+    assert len({langid._letter_vector(ord(x)).tobytes() for x in letters}) == len(letters)
+
+
+def test_trigram_table_is_bounded(monkeypatch):
+    rng = random.Random(12)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(300)) for _ in range(4)] + [prose(rng, 50), "a"]
+    wanted = [langid.Profiles().bundle(t) for t in texts]
+    monkeypatch.setattr(langid, "TABLE", 120)
+    monkeypatch.setattr(langid, "AT_ONCE", 100)
+    small = langid.Profiles()
+    for _ in range(2):
+        for text, v in zip(texts, wanted, strict=True):
+            assert np.array_equal(small.bundle(text), v) and len(small.keys) == len(small.rows) <= 120
+
+
 def check_packing(got, texts, window):
     """Every id of every row is in one piece, sequences are gapless and hold `window` at most; the share of padding."""
     want = sorted((str(i), tuple(WORDS.encode(t or "", add_special_tokens=False).ids + [1])) for i, t in texts)

@@ -1,6 +1,6 @@
 """Language ID with hyperdimensional profiles.
 
-Each letter has a random vector of +1 and -1.  A letter trigram is bound into one vector: the element-wise product of
+Each letter has a random vector of +1 and -1, drawn by its code point.  A letter trigram is bound into one vector: the element-wise product of
 its letters' vectors, permuted once and twice for the first two places.  A document bundles (adds up) its
 trigrams' vectors, a language's prototype bundles its documents' unit vectors, and a text is given the language
 whose prototype is nearest by cosine.  Prototypes are centred on their common mean, which holds what
@@ -13,8 +13,8 @@ bound.  Executors bundle; one row per task and language reaches the driver's sum
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,56 +25,63 @@ from pyspark.sql import types as T
 from tidelog.llm.common import held_out
 from tidelog.llm.pieces import slices
 
-DIMENSIONS, LETTERS, SAMPLE, SEED = 512, 48, 20_000, 7
+DIMENSIONS, SAMPLE, SEED = 2048, 20_000, 7
+#: A worker keeps so many trigrams' vectors at most, and bundles so many at once.
+TABLE, AT_ONCE = 20_000, 2_000
+#: Bits of a code point.
+POINT = 21
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _RUN = re.compile(r"[\W\d_]+")
 
 
-def _letter_vectors() -> np.ndarray:
-    return np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (LETTERS, DIMENSIONS))
+@lru_cache(4096)
+def _letter_vector(point: int) -> np.ndarray:
+    return np.random.default_rng((SEED, point)).choice(np.array([-1, 1], np.int8), DIMENSIONS)
 
 
-def _code(letter: str) -> int:
-    """0 is the gap between words, 1 to 26 are a to z; any other letter takes a code by its checksum."""
-    if "a" <= letter <= "z":
-        return ord(letter) - 96
-    return 0 if letter == " " else 27 + zlib.crc32(letter.encode()) % (LETTERS - 27)
+def _bind(grams: np.ndarray) -> np.ndarray:
+    """One vector per trigram; a trigram is three code points in one number."""
+    parts = np.concatenate([grams >> 2 * POINT, grams >> POINT & (1 << POINT) - 1, grams & (1 << POINT) - 1])
+    points, at = np.unique(parts, return_inverse=True)
+    letters = np.stack([_letter_vector(int(p)) for p in points])
+    first, second, third = at.reshape(3, -1)
+    return np.roll(letters, 2, axis=1)[first] * np.roll(letters, 1, axis=1)[second] * letters[third]
 
 
 class Profiles:
-    """Bundles texts; a trigram's vector is bound when it is first met and kept in a table of fixed size."""
+    """Bundles texts; a trigram's vector is bound when it is first met and kept in a table of bounded size."""
 
     def __init__(self):
-        letters = _letter_vectors()
-        self.first, self.second, self.third = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1), letters
-        self.bound = np.zeros((LETTERS**3, DIMENSIONS), np.int8)
-        self.known = np.zeros(LETTERS**3, bool)
-        self.codes: dict[int, int] = {}
-
-    def _coded(self, text: str) -> np.ndarray:
-        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        most = int(points.max()) if len(points) else 0
-        if most < 0x3000:  # a direct table; the letters of nearly all alphabets
-            if not hasattr(self, "direct"):
-                self.direct = np.array([_code(chr(i)) for i in range(0x3000)], np.int64)
-            return self.direct[points]
-        return np.fromiter((_code(c) for c in text), np.int64, len(text))
+        self.bound = np.zeros((TABLE, DIMENSIONS), np.int8)
+        self.keys = self.rows = np.zeros(0, np.int64)
+
+    def _vectors(self, grams: np.ndarray) -> np.ndarray:
+        """The vectors of sorted, different trigrams, `AT_ONCE` at most; a full table starts anew."""
+        at = np.searchsorted(self.keys, grams)
+        new = grams[np.append(self.keys, -1)[at] != grams]
+        if len(self.keys) + len(new) > TABLE:
+            self.keys = self.rows = np.zeros(0, np.int64)
+            new = grams
+        if len(new):
+            rows = np.arange(len(self.keys), len(self.keys) + len(new))
+            self.bound[rows] = _bind(new)
+            at = np.searchsorted(self.keys, new)
+            self.keys, self.rows = np.insert(self.keys, at, new), np.insert(self.rows, at, rows)
+        return self.bound[self.rows[np.searchsorted(self.keys, grams)]]
 
     def bundle(self, text: str | None) -> np.ndarray | None:
         """The unit vector of a whole text; None where it has no letter."""
         if not text or not _LETTER.search(text):
             return None
-        code = self._coded(" " + _RUN.sub(" ", text.lower()).strip() + " ")
+        code = np.frombuffer((" " + _RUN.sub(" ", text.lower()).strip() + " ").encode("utf-32-le"), np.uint32).astype(np.int64)
         if len(code) < 3:
             return None
-        grams, counts = np.unique((code[:-2] * LETTERS + code[1:-1]) * LETTERS + code[2:], return_counts=True)
-        new = grams[~self.known[grams]]
-        if len(new):
-            a, b, c = new // LETTERS**2, new // LETTERS % LETTERS, new % LETTERS
-            self.bound[new] = self.first[a] * self.second[b] * self.third[c]
-            self.known[new] = True
-        total = counts.astype(np.float32) @ self.bound[grams].astype(np.float32)
+        grams, counts = np.unique(code[:-2] << 2 * POINT | code[1:-1] << POINT | code[2:], return_counts=True)
+        total = np.zeros(DIMENSIONS, np.float32)
+        for lo in range(0, len(grams), AT_ONCE):
+            part = slice(lo, lo + AT_ONCE)
+            total += counts[part].astype(np.float32) @ self._vectors(grams[part]).astype(np.float32)
         length = float(np.linalg.norm(total))
         return total / length if length else None
 
