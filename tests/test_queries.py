@@ -45,3 +45,14 @@ def test_whole_prefix_scan_gives_every_key(spark):
     wanted = {f"{r.o_custkey:08}:{r.o_orderkey:010}" for r in orders if f"{r.o_custkey:08}".startswith("000000")}
     found = [r.key for r in entry.queries()["prefix_scan_whole"](spark, SF).collect()]
     assert len(found) == len(wanted) and set(found) == wanted and any(not k.startswith("1:", 7) for k in found)
+
+
+def test_probes_reach_the_end_of_the_log(spark):
+    last = spark.read.parquet(f"{SF}/events.parquet").count()
+    at = {r.at for r in entry.queries()["as_of_join_whole_log"](spark, SF).select("at").collect()}
+    assert min(at) == 0 and max(at) == last
+
+
+def test_varint_codes_of_all_lengths(spark):
+    found = entry.queries()["varint_codes_whole"](spark, SF).collect()
+    assert {len(r.code) // 2 for r in found} == set(range(1, 10)) and all(r.back == r.o_orderkey for r in found if r.kind == "key")

@@ -294,6 +294,18 @@ def as_of_join(spark, sf_dir):
     return readable(reads.as_of(probes, event_log(spark, sf_dir)))
 
 
+@query(f"""WITH s AS (SELECT *, lead(seq) OVER (PARTITION BY key ORDER BY seq) AS until FROM {RUNNING}),
+p AS (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS k, o_orderkey % (SELECT max(event_id) + 2 FROM events) AS t FROM orders)
+SELECT o_orderkey AS probe_id, k AS key, t AS at, s.value FROM p LEFT JOIN s ON s.key = k AND s.seq <= t AND (s.until IS NULL OR t < s.until)""")
+def as_of_join_whole_log(spark, sf_dir):
+    """Probe times from before the log's first record to its last."""
+    log = event_log(spark, sf_dir)
+    times = log.agg((F.max("seq") + 1).alias("times"))
+    o = table(spark, sf_dir, "orders").crossJoin(F.broadcast(times))
+    probes = o.select(F.col("o_orderkey").alias("probe_id"), F.col("o_custkey").cast("string").cast("binary").alias("key"), (F.col("o_orderkey") % F.col("times")).alias("at"))
+    return readable(reads.as_of(probes, log))
+
+
 @query(" UNION ALL ".join(f"SELECT cf, CAST({s} AS BIGINT) AS snapshot, key, value FROM {resolved(RANGED if False else EVENTS, where=f'seq <= {s}')}" for s in (1000, 5000, 9000)))
 def multi_snapshot(spark, sf_dir):
     return readable(reads.multi_snapshot(event_log(spark, sf_dir), (1000, 5000, 9000)))
@@ -643,6 +655,21 @@ def varint_codes(spark, sf_dir):
     return coded.select("o_orderkey", F.hex("c").alias("code"), scalar.decode_varint(F.col("c")).alias("back"))
 
 
+@query("""WITH n AS (SELECT o_orderkey, 'key' AS kind, o_orderkey AS v FROM orders
+UNION ALL SELECT o_orderkey, 'shifted', (o_orderkey % 127 + 1) << CAST(7 * (o_orderkey % 9) AS INTEGER) FROM orders),
+c AS (SELECT *, list_transform(range(0, 9), lambda i: v >> CAST(7 * i AS INTEGER)) AS rest FROM n)
+SELECT o_orderkey, kind, array_to_string(list_transform(list_filter(range(1, 10), lambda i: i = 1 OR rest[i] > 0),
+lambda i: lpad(hex(rest[i] % 128 + CASE WHEN i < 9 AND rest[i] >= 128 THEN 128 ELSE 0 END), 2, '0')), '') AS code, v AS back FROM c""")
+def varint_codes_whole(spark, sf_dir):
+    """Every order key as it is, and numbers of one to nine bytes."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select(k)
+    shifted = F.expr("shiftleft(o_orderkey % 127 + 1, cast(7 * (o_orderkey % 9) as int))")
+    v = o.select(k, F.lit("key").alias("kind"), k.alias("v")).unionByName(o.select(k, F.lit("shifted").alias("kind"), shifted.alias("v")))
+    coded = v.select("o_orderkey", "kind", scalar.encode_varint(F.col("v")).alias("c"))
+    return coded.select("o_orderkey", "kind", F.hex("c").alias("code"), scalar.decode_varint(F.col("c")).alias("back"))
+
+
 @query("SELECT s_suppkey, lpad(hex(strlen(s_name)), 2, '0') || hex(s_name) AS framed FROM supplier")
 def length_prefixed(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.hex(scalar.length_prefixed(F.col("s_name").cast("binary"))).alias("framed"))
