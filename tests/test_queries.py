@@ -4,8 +4,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tidelog.sources.store import Store
 
 SF = "/root/testdata/sf0.001"
 ORACLES = entry.oracle_sql()
@@ -56,3 +58,11 @@ def test_probes_reach_the_end_of_the_log(spark):
 def test_varint_codes_of_all_lengths(spark):
     found = entry.queries()["varint_codes_whole"](spark, SF).collect()
     assert {len(r.code) // 2 for r in found} == set(range(1, 10)) and all(r.back == r.o_orderkey for r in found if r.kind == "key")
+
+
+@pytest.mark.parametrize("name", ["store_snapshot_after_compaction", "store_scan_at_snapshot_after_compaction"])
+def test_keys_wrongly_shown_at_a_snapshot_are_seen(spark, monkeypatch, name):
+    scan = Store.scan
+    wrong = lambda self, **at: scan(self, **at).unionByName(scan(self, **at).limit(1).withColumn("key", F.lit(b"wrong")))
+    monkeypatch.setattr(Store, "scan", wrong)
+    assert "wrong" in {r.key for r in entry.queries()[name](spark, SF).collect()}

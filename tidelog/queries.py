@@ -738,9 +738,16 @@ def store_scan(spark, sf_dir):
 def store_snapshot_after_compaction(spark, sf_dir):
     store, snapshot = filled_store(spark, sf_dir)
     store.compact()
-    return readable(store.scan(read_seq=snapshot).drop("n_operands")).join(readable(plans.resolve(event_log(spark, sf_dir), 400)).select("key", "n_operands"), "key").select(
-        "cf", "key", "value", "seq", "n_operands"
-    )
+    plain = readable(plans.resolve(event_log(spark, sf_dir), 400)).select("key", "n_operands")
+    return readable(store.scan(read_seq=snapshot).drop("n_operands")).join(plain, "key", "left").select("cf", "key", "value", "seq", "n_operands")
+
+
+@query(f"SELECT cf, key, value, seq FROM {resolved(where='seq <= 400')}")
+def store_scan_at_snapshot_after_compaction(spark, sf_dir):
+    """The store's scan alone."""
+    store, snapshot = filled_store(spark, sf_dir)
+    store.compact()
+    return readable(store.scan(read_seq=snapshot).select("cf", "key", "value", "seq"))
 
 
 @query(f"SELECT cf, key, value FROM {resolved()} WHERE starts_with(key, '1')")
