@@ -85,10 +85,42 @@ def test_near_odd_rows(spark):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-@pytest.mark.parametrize("buffer", [40, 1_000_000])
-def test_substring_against_brute_force(spark, seed, buffer):
+@pytest.mark.parametrize("buffer,hot", [(40, 2), (1_000_000, 0), (1_000_000, 4_096)])
+def test_substring_against_brute_force(spark, seed, buffer, hot):
+    """With small and large buffers, and with some, all and none of the anchors spread."""
     rows = corpus(seed)
-    found = by_id(substring.substring_dedup(docs(spark, rows), keep="digest", buffer=buffer), "n_words", "n_removed", "kept_sha256")
+    found = by_id(substring.substring_dedup(docs(spark, rows), keep="digest", buffer=buffer, hot=hot), "n_words", "n_removed", "kept_sha256")
+    assert found == brute.substring(rows)
+
+
+@pytest.mark.parametrize("hot", [3, 4_096])
+def test_factors_name_earlier_places_of_the_same_words(spark, hot):
+    rows = corpus(4)
+    words = {i: brute.WORD.findall(t or "") for i, t in rows}
+    covered = {i: set() for i in words}
+    for r in substring.factors(docs(spark, rows), hot=hot, buffer=60).collect():
+        i, at, n = r["doc_id"], r["start"], r["length"]
+        assert n >= 20 and (r["source_id"], r["source_start"]) < (i, at)
+        assert words[i][at : at + n] == words[r["source_id"]][r["source_start"] : r["source_start"] + n]
+        covered[i] |= set(range(at, at + n))
+    assert {i: len(c) for i, c in covered.items()} == {i: x[1] for i, x in brute.substring(rows).items()}
+
+
+def test_the_parse_is_greedy():
+    """A block gives the longest factor that its earliest source allows, and asks again across the boundary."""
+    block = substring.Block(3)
+    assert block.parse(b"a b c d e", 1, 0) == [] and block.parse(b"x b c d e f", 2, 10) == [(11, 2, 1, 1)]
+    assert block.parse(b"a b c d e f", 3, 5) == [(5, 3, 1, 0), (8, 1, 2, 13)]
+    assert block.parse(b"a b c d e", 9, 7) == [(7, 3, 1, 0)] and block.parse(b"q r s", 9, 20) == []
+    assert substring.joined([{"at": 8 << 32 | 1, "from_rid": 1, "from_at": 3}, {"at": 5 << 32 | 3, "from_rid": 1, "from_at": 0}], 3) == [(5, 6, 1, 0)]
+
+
+def test_one_passage_in_most_rows(spark):
+    """Half of all rows hold one passage, and one phrase of ten words stands in all of them in different contexts."""
+    rng = random.Random(11)
+    passage, phrase = prose(rng, 40), prose(rng, 10)
+    rows = [(i, f"{prose(rng, 15)} {phrase} {prose(rng, 15)} " + (passage if i % 2 else prose(rng, 10))) for i in range(200)]
+    found = by_id(substring.substring_dedup(docs(spark, rows, 6), keep="digest", buffer=300, hot=5), "n_words", "n_removed", "kept_sha256")
     assert found == brute.substring(rows)
 
 
@@ -105,7 +137,9 @@ def test_substring_odd_rows(spark):
     rng = random.Random(4)
     passage, other = prose(rng, 30), prose(rng, 25)
     rows = [(7, passage), (7, passage), (3, "intro " + passage), (None, other), (9, "x " + other), (9, "y " + other), (1, None), (2, "")]
-    table = docs(spark, rows).withColumn("rid", F.lit(1)).withColumn("spans", F.lit(1))
+    table = docs(spark, rows)
+    for name in ("rid", "spans", "__rid", "__spans", "__of", "__h", "__id", "helper0", "HELPER_1"):
+        table = table.withColumn(name, F.lit(1))
     found = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept"]) for r in substring.substring_dedup(table).collect())
     assert found == sorted(
         [("None", 25, 0, other), ("1", 0, 0, None), ("2", 0, 0, ""), ("3", 31, 0, "intro " + passage), ("7", 30, 30, ""), ("7", 30, 30, ""), ("9", 26, 25, "x"), ("9", 26, 25, "y")],

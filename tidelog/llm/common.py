@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidelog.sources.durable import checkpoint_dir, durable
 
-__all__ = ["LOWER", "UPPER", "WHITE", "Table", "checkpoint_dir", "documents", "durable", "durable_table", "held_out", "lower_ascii"]
+__all__ = ["LOWER", "UPPER", "WHITE", "Table", "checkpoint_dir", "documents", "durable", "durable_table", "free_names", "held_out", "lower_ascii"]
 
 #: One run of the white space that separates words; Java, DuckDB and Python read it alike.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -28,6 +28,14 @@ def durable_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """`n` column names that `df` does not have, in any case."""
+    taken, stem = {c.lower() for c in df.columns}, "helper"
+    while any(c.startswith(stem) for c in taken):
+        stem += "_"
+    return [f"{stem}{i}" for i in range(n)]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

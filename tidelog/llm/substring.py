@@ -1,19 +1,24 @@
-"""Substring dedup by relative Lempel-Ziv parsing over an index in blocks.
-
-The reference that a document is parsed against is everything that starts before it.  Its index holds the 128-bit
-hash of every sequence of `SPAN` words that can matter, cut by hash into blocks (the shuffle's partitions); each block
-knows the first place (document, start) of each of its sequences.  A document asks every block that could hold one of
-its sequences, at every start, so the greedy parse needs no second look-up: a factor goes on while the
-sequence at the next start is known from an earlier place too, and the starts around the seam of two factors have
-been asked for like all others.  Factors of `SPAN` words or more become duplicate spans and are removed.
-
-What can matter is found first, on a small share of the data.  Of the `SPAN - GRAM + 1` word k-grams in a sequence the
-one with the smallest hash is its anchor; equal sequences have equal anchors.  Only sequences whose anchor stands at
-two places or more enter the index, which unique text does not.
-
-Skew: a task combines its own occurrences before they are shuffled, so a hash reaches a block once per task and
-buffer (`BUFFER` entries) however often it stands there; all but the first of them are known as repeats on the spot and
-travel as runs, straight to their document.  No step gathers a group.
+"""Substring dedup by relative Lempel-Ziv parsing against an indexed reference that is held in blocks.
+
+The reference of a document is all that starts before it.  The greedy parse asks at each start for a factor: the
+place of the earliest equal run of `SPAN` words, made longer word by word as far as source and document agree.  The
+next factor is asked for at the first start that the last one does not hold whole, so the sequences across a factor's
+boundary are checked like all others.  Factors of `SPAN` words or more become duplicate spans, shorter ones are
+literals.  Words are compared as they are; hashes only decide which block is asked.
+
+Blocks: of the `SPAN - GRAM + 1` word k-grams in a sequence the one with the smallest hash is its anchor.  Equal
+sequences have equal anchors, so a text is cut into pieces, one per run of starts that share an anchor's place
+(`2 * SPAN - GRAM` words at most), and a piece can only match pieces of its own anchor.  Pieces whose anchor stands at one
+place in the corpus are literals and stay at home.  The others are shuffled by anchor: a partition is a reference
+block, sorted by anchor and place, and indexes each distinct sequence of an anchor with its first place as
+the parse goes through it.  A document asks every block that could hold one of its sequences; asking blocks that
+cannot would grow with the square of the corpus.  Factors that go on from piece to piece are joined afterwards.
+
+Skew: a task parses its own pieces against each other first, so equal pieces leave it once per buffer however often they
+stand there.  An anchor with more than `HOT` places would make a large group of pieces that differ around it; its
+pieces are cut into single sequences and shuffled by those, which spreads them and loses no match.  Hot
+anchors are named by a bit table of fixed size (`TABLE_BITS`), so every task decides alike; a bit shared by two
+anchors only means that both are spread.
 """
 
 from __future__ import annotations
@@ -29,12 +34,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import durable
+from tidelog.llm.common import durable, durable_table, free_names
 from tidelog.llm.pieces import slices
 
-SPAN, GRAM, BUFFER = 20, 8, 500_000
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_EMPTY = np.zeros(0, np.int64)
+SPAN, GRAM = 20, 8
+#: Anchors that a task holds at once; of pieces it holds `PIECE_BYTES` times as many bytes.
+BUFFER, PIECE_BYTES = 500_000, 100
+HOT, TABLE_BITS = 4_096, 20
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -46,68 +53,60 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _rolled(h: np.ndarray, n: int, factor: np.uint64) -> np.ndarray:
-    """The hash of each run of n entries, as a polynomial in `factor`."""
-    size = len(h) - n + 1
-    out = h[:size].copy()
-    for k in range(1, n):
-        out *= factor
-        out += h[k : k + size]
-    return _mixed(out)
-
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.astype(np.uint64).view(np.int64))
 
-class Parsed:
-    """A text's words, the hashes of its sequences and their anchors."""
 
-    def __init__(self, text: bytes, span: int, gram: int):
-        self.words = text.split()
-        self.n = max(0, len(self.words) - span + 1)
-        if self.n:
-            self.span = span
-            self.lanes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, self.words)), "<u8").reshape(-1, 2)
-            self.grams = _rolled(np.ascontiguousarray(self.lanes[:, 0]), gram, _M1)
-            sliding = np.lib.stride_tricks.sliding_window_view(self.grams, span - gram + 1)
-            self.anchor = np.arange(self.n) + sliding.argmin(axis=1)
+def _own(rid: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A key of its own for a place, to spread what needs no block."""
+    return _mixed(_mixed(rid.astype(np.uint64)) + at.astype(np.uint64))
 
-    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        first, second = (np.ascontiguousarray(self.lanes[:, i]) for i in (0, 1))
-        return _rolled(first, self.span, _M2), _rolled(second, self.span, _M1)
 
-
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.astype(np.uint64).view(np.int64))
+def anchors(words: list[bytes], span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, first start and number of starts of each run of sequences that share an anchor's place."""
+    n = len(words) - span + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), "<u8")
+    size = len(words) - gram + 1
+    grams = h[:size].copy()
+    for k in range(1, gram):
+        grams *= _FACTOR
+        grams += h[k : k + size]
+    grams = _mixed(grams)
+    # of equal hashes the first counts, so the places never go back and each one's starts are a run
+    place = np.arange(n) + np.lib.stride_tricks.sliding_window_view(grams, span - gram + 1).argmin(axis=1)
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    return grams[place[first]], first, np.diff(first, append=n)
 
 
 def _anchor_rows(span: int, gram: int, buffer: int) -> Callable:
-    """(rid, text) to (key, rid, at): one row per anchor place.
+    """(rid, text) to (way, key, rid, at, n): one row per piece; at is its first start times 2**32 plus its starts.
 
-    at is twice the place, plus 1 where this task has seen the anchor twice: rows are shuffled, so they are short.
+    Of the pieces of one key that a task holds, the first travels by the key with their number n.  The others are
+    known to be shared; their n is 0, and they travel by a way of their own, not all to the key's one task.
     """
 
     def flush(held: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        key = np.concatenate([h[1] for h in held])
-        at = np.concatenate([h[2] for h in held])
+        key, at = (np.concatenate([h[i] for h in held]) for i in (1, 2))
         rid = np.repeat(np.array([h[0] for h in held], np.int64), [len(h[1]) for h in held])
         order = np.argsort(key, kind="stable")
         key, at, rid = key[order], at[order], rid[order]
-        same = key[1:] == key[:-1]
-        later = np.concatenate([[False], same])
-        known = later | np.concatenate([same, [False]])
-        # later places of a key are settled: they travel under a key of their own, not all to the key's one task
-        own = _mixed(_mixed(rid.astype(np.uint64)) + at.astype(np.uint64))
-        key = np.where(later, own, key)
-        return pa.RecordBatch.from_arrays([_signed(key), pa.array(rid), pa.array(at.astype(np.int64) * 2 + known)], names=["key", "rid", "at"])
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n = np.zeros(len(key), np.int32)
+        n[first] = np.diff(first, append=len(key))
+        way = np.where(n > 0, key, _own(rid, at))
+        return pa.RecordBatch.from_arrays([_signed(way), _signed(key), pa.array(rid), pa.array(at), pa.array(n)], names=["way", "key", "rid", "at", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for part in slices(batch):
                 for rid, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                    doc = Parsed(text or b"", span, gram)
-                    if doc.n:
-                        places = np.unique(doc.anchor)
-                        held.append((rid, doc.grams[places], places))
-                        size += len(places)
+                    key, start, starts = anchors((text or b"").split(), span, gram)
+                    if len(key):
+                        held.append((rid, key, (start << 32) | starts))
+                        size += len(key)
                         if size >= buffer:
                             yield flush(held)
                             held, size = [], 0
@@ -131,51 +130,105 @@ def _texts(column: pa.Array) -> list[bytes | None]:
     return [None if t is None else codec.decompress(t) for t in column.to_pylist()]
 
 
-def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last of each run of consecutive numbers in a sorted array."""
-    if not len(at):
-        return _EMPTY, _EMPTY
-    cut = np.flatnonzero(np.diff(at) != 1)
-    return at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])]
-
-
-def _sequence_rows(span: int, gram: int, buffer: int) -> Callable:
-    """(rid, packed, anchors) to (h1, h2, rid, run): first places in this task to be settled, repeats as runs.
-
-    run is the first start times 2**32, plus the number of starts in a run of settled repeats, else 0.
-    """
-
-    def batch_of(h1, h2, rid, lo, size):
-        return pa.RecordBatch.from_arrays([_signed(h1), _signed(h2), pa.array(rid), pa.array((lo << 32) | size)], names=["h1", "h2", "rid", "run"])
-
-    def flush(held: list) -> Iterator[pa.RecordBatch]:
-        held = sorted(held, key=lambda x: x[0])
-        rids = np.array([h[0] for h in held], np.int64)
-        doc = np.repeat(np.arange(len(held)), [len(h[1]) for h in held])
-        at, h1, h2 = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
-        place = (doc.astype(np.int64) << 32) | at
-        order = np.lexsort((place, h2, h1))
-        h1, h2, place = h1[order], h2[order], place[order]
-        later = np.concatenate([[False], (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])])
-        first = place[~later]
-        yield batch_of(h1[~later], h2[~later], rids[first >> 32], first & 0xFFFFFFFF, np.int64(0))
-        lo, hi = _runs(np.sort(place[later]))
-        if len(lo):
-            own = _mixed(_mixed(rids[lo >> 32].astype(np.uint64)) + (lo & 0xFFFFFFFF).astype(np.uint64))
-            yield batch_of(own, _mixed(own), rids[lo >> 32], lo & 0xFFFFFFFF, hi - lo + 1)
+class Block:
+    """The index of one anchor's part of the reference: it parses pieces in the order of their places and takes them in."""
+
+    def __init__(self, span: int):
+        self.span = span
+        self.whole: dict[bytes, tuple[int, int]] = {}  # a piece's text to its first place
+        self.waiting: list[tuple[bytes, int, int]] = []  # pieces that nothing has been held against so far
+        self.known: list[tuple[list[bytes], int, int]] = []
+        self.first: dict[bytes, tuple[int, int]] = {}  # a sequence to the piece and word where it stands first
+
+    def _sequence(self, words: list[bytes], j: int) -> bytes:
+        return b" ".join(words[j : j + self.span])
+
+    def _take(self, words: list[bytes], rid: int, start: int, starts: list[int]) -> None:
+        self.first.update((self._sequence(words, j), (len(self.known), j)) for j in starts)
+        self.known.append((words, rid, start))
+
+    def parse(self, text: bytes, rid: int, start: int) -> list[tuple[int, int, int, int]]:
+        """The piece's factors: first start, number of starts, and the place of the source (document, word)."""
+        if source := self.whole.get(text):
+            return [(start, text.count(b" ") + 2 - self.span, *source)]
+        self.whole[text] = rid, start
+        if not self.known and not self.waiting:
+            self.waiting.append((text, rid, start))
+            return []
+        for other, r, s in self.waiting:
+            words = other.split(b" ")
+            self._take(words, r, s, list(range(len(words) - self.span + 1)))
+        self.waiting.clear()
+        words, span, factors, literals = text.split(b" "), self.span, [], []
+        j, n = 0, len(words)
+        while j + span <= n:
+            hit = self.first.get(self._sequence(words, j))
+            if hit is None:
+                literals.append(j)
+                j += 1
+                continue
+            source, at = self.known[hit[0]], hit[1]
+            end, on = j + span, at + span
+            while end < n and on < len(source[0]) and words[end] == source[0][on]:
+                end, on = end + 1, on + 1
+            factors.append((start + j, end - j - span + 1, source[1], source[2] + at))
+            j = end - span + 1  # the first sequence that crosses the factor's boundary
+        self._take(words, rid, start, literals)
+        return factors
+
+
+PIECES = "key long, rid long, at long, words binary, from_rid long, from_at long"
+FACTORS = "rid long, at long, from_rid long, from_at long"
+
+
+def _piece_rows(span: int, held_bytes: int, hot: bytes) -> Callable:
+    """(rid, packed, places) to PIECES: a row with words is a piece for its block, one without is a factor found here."""
+    bits = np.frombuffer(hot, np.uint8)
+
+    def flush(held: list[tuple[int, int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        held.sort(key=lambda p: p[:2])
+        first: dict[bytes, tuple[int, int]] = {}
+        out, done = [], []
+        for rid, start, starts, key, text in held:
+            source = first.setdefault(text, (rid, start))
+            if source == (rid, start):
+                out.append((key, rid, (start << 32) | starts, text))
+                continue
+            last = done[-1] if done else None
+            if last and last[0] == rid and last[1] + last[2] == start and last[3] == source[0] and last[4] + last[2] == source[1]:
+                last[2] += starts
+            else:
+                done.append([rid, start, starts, *source])
+        none = pa.nulls(len(out), pa.int64())
+        key, rid, at, text = zip(*out, strict=True)
+        longs = lambda x: pa.array(list(x), pa.int64())
+        yield pa.RecordBatch.from_arrays([longs(key), longs(rid), longs(at), pa.array(text, pa.binary()), none, none], names=["key", "rid", "at", "words", "from_rid", "from_at"])
+        if done:
+            rid, start, starts, from_rid, from_at = (np.array(c, np.int64) for c in zip(*done, strict=True))
+            at = (start << 32) | starts
+            arrays = [_signed(_own(rid, at)), pa.array(rid), pa.array(at), pa.nulls(len(done), pa.binary()), pa.array(from_rid), pa.array(from_at)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "rid", "at", "words", "from_rid", "from_at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for part in slices(batch):
-                for rid, text, anchors in zip(part.column(0).to_pylist(), _texts(part.column(1)), part.column(2).to_pylist(), strict=True):
-                    doc = Parsed(text or b"", span, gram)
-                    at = np.flatnonzero(np.isin(doc.anchor, np.array(anchors))) if doc.n else _EMPTY
-                    if len(at):
-                        h1, h2 = doc.hashes()
-                        held.append((rid, at, h1[at], h2[at]))
-                        size += len(at)
-                        if size >= buffer:
+                for rid, text, places in zip(part.column(0).to_pylist(), _texts(part.column(1)), part.column(2), strict=True):
+                    words = (text or b"").split()
+                    keys, ats = (places.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                    spread = bits[keys & ((1 << TABLE_BITS) - 1)]
+                    for key, at, alone in zip(keys.tolist(), ats.tolist(), spread.tolist(), strict=True):
+                        start, starts = at >> 32, at & 0xFFFFFFFF
+                        if alone:
+                            for j in range(start, start + starts):
+                                sequence = b" ".join(words[j : j + span])
+                                held.append((rid, j, 1, xxhash.xxh3_64_intdigest(sequence) - (1 << 63), sequence))
+                                size += len(sequence) + 200
+                        else:
+                            piece = b" ".join(words[start : start + starts + span - 1])
+                            held.append((rid, start, starts, key, piece))
+                            size += len(piece) + 200
+                        if size >= held_bytes:
                             yield from flush(held)
                             held, size = [], 0
         if held:
@@ -184,18 +237,48 @@ def _sequence_rows(span: int, gram: int, buffer: int) -> Callable:
     return run
 
 
-def factors(n_words: int, runs: list[int], span: int) -> np.ndarray:
-    """Which of a document's words the greedy parse covers with factors of `span` words or more.
+def _block_rows(span: int) -> Callable:
+    """PIECES, sorted by key and place, to FACTORS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block = None, Block(span)
+        for batch in batches:
+            out = []
+            for key, rid, at, words, from_rid, from_at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if words is None:
+                    out.append((rid, at, from_rid, from_at))
+                    continue
+                if key != now:
+                    now, block = key, Block(span)
+                out += [(rid, (start << 32) | starts, *source) for start, starts, *source in block.parse(words, rid, at >> 32)]
+            columns = zip(*out, strict=True) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["rid", "at", "from_rid", "from_at"])
+
+    return run
+
+
+def joined(found: list[dict], span: int) -> list[tuple[int, int, int, int]]:
+    """A document's factors in order: start, length in words, source document and word.
 
-    `runs` are starts whose sequence stands earlier, packed as in `_sequence_rows`; overlapping or touching factors
-    merge.
+    Factors of neighbouring pieces that go on along the same source are one.
     """
-    packed = np.array(runs, np.int64)
-    lo, size = packed >> 32, np.maximum(1, packed & 0xFFFFFFFF)
-    edges = np.zeros(n_words + 1, np.int64)
-    np.add.at(edges, lo, 1)
-    np.add.at(edges, np.minimum(n_words, lo + size - 1 + span), -1)
-    return np.cumsum(edges)[:-1] > 0
+    out: list[list[int]] = []
+    for at, rid, word in sorted((f["at"], f["from_rid"], f["from_at"]) for f in found):
+        start, starts = at >> 32, at & 0xFFFFFFFF
+        last = out[-1] if out else None
+        if last and last[2] == rid and start - last[0] == word - last[3] and start <= last[0] + last[1] - span + 1:
+            last[1] = max(last[1], start - last[0] + starts + span - 1)
+        else:
+            out.append([start, starts + span - 1, rid, word])
+    return [tuple(f) for f in out]
+
+
+def covered(n_words: int, found: list[dict], span: int) -> np.ndarray:
+    """Which of a document's words its factors cover."""
+    gone = np.zeros(n_words, bool)
+    for start, length, *_ in joined(found, span):
+        gone[start : start + length] = True
+    return gone
 
 
 def _kept_rows(span: int, keep: str) -> Callable:
@@ -209,15 +292,15 @@ def _kept_rows(span: int, keep: str) -> Callable:
                     words = (text or b"").split()
                     stay = words
                     if spans:
-                        gone = factors(len(words), spans, span)
+                        gone = covered(len(words), spans, span)
                         stay = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                     n_words.append(len(words))
                     n_removed.append(len(words) - len(stay))
-                    joined = b" ".join(stay)
+                    text_now = b" ".join(stay)
                     if keep == "digest":
-                        kept.append(hashlib.sha256(joined).hexdigest())
+                        kept.append(hashlib.sha256(text_now).hexdigest())
                     else:
-                        kept.append(None if text is None else joined.decode() if spans else text.decode())
+                        kept.append(None if text is None else text_now.decode() if spans else text.decode())
                 arrays = [part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["rid", "n_words", "n_removed", "kept"])
 
@@ -236,8 +319,8 @@ def _ordered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     marked = docs.withColumn("h", F.sha2(F.coalesce("text", F.lit("")), 256))
     names = _named(docs)
     other = names.select(F.col("id").alias("n_id"), F.col("h").alias("n_h"), "rid")
-    joined = marked.join(other, F.col("id").eqNullSafe(F.col("n_id")) & (F.col("h") == F.col("n_h")))
-    return joined.select("rid", "text"), names
+    with_rid = marked.join(other, F.col("id").eqNullSafe(F.col("n_id")) & (F.col("h") == F.col("n_h")))
+    return with_rid.select("rid", "text"), names
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -251,30 +334,44 @@ def pack_texts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(_packed_rows, T.StructType([T.StructField("rid", T.LongType(), False), T.StructField("packed", T.BinaryType())]))
 
 
-def repeated_starts(rows: DataFrame, packed: DataFrame, span: int = SPAN, gram: int = GRAM, buffer: int = BUFFER) -> DataFrame:
-    """(rid, spans): packed runs of starts in document `rid` whose sequence of `span` words stands earlier.  One row per rid.
+def _hot_bits(shared: DataFrame, hot: int) -> bytes:
+    """One byte per value of a key's low `TABLE_BITS` bits: 1 where a key with more than `hot` places has that value."""
+    low = F.col("key").bitwiseAND(F.lit((1 << TABLE_BITS) - 1)).cast("int")
+    found = shared.where(F.col("total") > hot).select(low.alias("low")).distinct().collect()  # as many as the table has entries, at most
+    bits = np.zeros(1 << TABLE_BITS, np.uint8)
+    bits[[r.low for r in found]] = 1
+    return bits.tobytes()
+
+
+def parse(rows: DataFrame, packed: DataFrame, span: int = SPAN, gram: int = GRAM, buffer: int = BUFFER, hot: int = HOT) -> DataFrame:
+    """FACTORS of all documents, piece by piece: runs of starts whose sequence of `span` words stands earlier, with a source.
 
     `rows` are (rid, text); `packed` the same from `pack_texts`, so that a caller's own join by rid can share its shuffle.
     """
-    anchors = rows.mapInArrow(_anchor_rows(span, gram, buffer), "key long, rid long, at long")
-    n = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    shared = anchors.withColumn("n", n).where("n > 1 or at % 2 = 1")
-    places = shared.groupBy("rid").agg(F.collect_list((F.shiftright("at", 1)).cast("int")).alias("anchors"))
-    asked = packed.join(places, "rid").select("rid", "packed", "anchors")
-    found = asked.mapInArrow(_sequence_rows(span, gram, buffer), "h1 long, h2 long, rid long, run long")
-    turn = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("rid", "run"))
-    repeats = found.withColumn("turn", turn).where("turn > 1 or run % 4294967296 > 0")
-    return repeats.groupBy("rid").agg(F.collect_list("run").alias("spans"))
+    found = rows.mapInArrow(_anchor_rows(span, gram, buffer), "way long, key long, rid long, at long, n int")
+    total = F.sum("n").over(Window.partitionBy("way"))
+    # kept, since it is read twice: for the hot anchors, and for the places
+    shared = durable_table(found.withColumn("total", total).where("total > 1 or n = 0").select("key", "rid", "at", "total"))
+    places = shared.groupBy("rid").agg(F.collect_list(F.struct("key", "at")).alias("places"))
+    asked = packed.join(places, "rid").select("rid", "packed", "places")
+    pieces = asked.mapInArrow(_piece_rows(span, buffer * PIECE_BYTES, _hot_bits(shared, hot)), PIECES)
+    return pieces.repartition("key").sortWithinPartitions("key", "rid", "at").mapInArrow(_block_rows(span), FACTORS)
+
+
+def _spans(factors: DataFrame) -> DataFrame:
+    """(rid, spans): one row per document with factors."""
+    return factors.groupBy("rid").agg(F.collect_list(F.struct("at", "from_rid", "from_at")).alias("spans"))
 
 
 def substring_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, buffer: int = BUFFER, keep: str = "text"
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, buffer: int = BUFFER, keep: str = "text", hot: int = HOT
 ) -> DataFrame:
     """One row per input row: `id_col`, n_words, n_removed, and kept (the text) or kept_sha256 if `keep` is "digest".
 
     A word goes if a run of `span` words that covers it also starts earlier: in a document with a smaller id, or in
     the same one at an earlier word.  Runs are judged on the input.  kept joins the words that stay by one space;
     with `keep` "text" an untouched text comes back as it was.  Null and empty texts have no words (null stays null).
+    Very long texts are read whole; one task holds one such text at a time.
     Rows that repeat id and text are one document and get the same result each.  Of different texts with one id the
     one with the smaller SHA-256 comes first; null ids come before all others.  Other columns are not read; an empty
     table gives an empty result.
@@ -283,9 +380,9 @@ def substring_dedup(
     rows, names = _ordered(source)
     packed = pack_texts(rows)
     once = rows if names is None else rows.dropDuplicates(["rid"])
-    spans = repeated_starts(once, packed if names is None else pack_texts(once), span, gram, buffer)
-    joined = packed.join(spans, "rid", "left").select("rid", "packed", "spans")
-    out = joined.mapInArrow(_kept_rows(span, keep), "rid long, n_words long, n_removed long, kept string")
+    spans = _spans(parse(once, packed if names is None else pack_texts(once), span, gram, buffer, hot))
+    out = packed.join(spans, "rid", "left").select("rid", "packed", "spans")
+    out = out.mapInArrow(_kept_rows(span, keep), "rid long, n_words long, n_removed long, kept string")
     if names is None:
         out = out.withColumn("id", F.col("rid").cast(source.schema["id"].dataType))
     else:
@@ -293,25 +390,48 @@ def substring_dedup(
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", F.col("kept").alias("kept_sha256" if keep == "digest" else "kept"))
 
 
+def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, buffer: int = BUFFER, hot: int = HOT) -> DataFrame:
+    """The parse itself, one row per factor of `span` words or more: `id_col`, start, length, source_id, source_start.
+
+    The source starts earlier and holds the same words.  Integer ids that are unique and not null are asked for;
+    texts as in `substring_dedup`.
+    """
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows, names = _ordered(source)
+    if names is not None:
+        raise ValueError(f"{id_col} must be unique integers")
+    spans = _spans(parse(rows, pack_texts(rows), span, gram, buffer, hot))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(rid, *f) for rid, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for f in joined(found, span)]
+            columns = zip(*out, strict=True) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=[id_col, "start", "length", "source_id", "source_start"])
+
+    return spans.mapInArrow(run, T.StructType([T.StructField(n, T.LongType()) for n in (id_col, "start", "length", "source_id", "source_start")]))
+
+
 def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars", span: int = SPAN) -> DataFrame:
     """`docs` with repeated passages taken out of the text column, and `count_col` (if there) set to its new length.
 
-    Every row stays, even one that loses all its words.  Rows come back as they were where nothing repeats.  Rows that
-    repeat an id, or have none, take the general path: their texts are replaced by id and text.
+    Every row stays, even one that loses all its words.  Rows come back as they were where nothing repeats; null and
+    empty texts stay as they are.  Rows that repeat an id, or have none, take the general path of `substring_dedup`.
+    All columns come back whatever their names; an empty table gives an empty result.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows, names = _ordered(source)
+    c_rid, c_of, c_spans, c_h, c_id, c_nh = free_names(docs, 6)
     if names is None:
-        spans = repeated_starts(rows, pack_texts(rows), span)
-        marked = docs.withColumn("__rid", F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
+        spans = _spans(parse(rows, pack_texts(rows), span))
+        marked = docs.withColumn(c_rid, F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
     else:
         once = rows.dropDuplicates(["rid"])
-        spans = repeated_starts(once, pack_texts(once), span)
-        hashed = docs.withColumn("__h", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-        full = names.select(F.col("id").alias("__id"), F.col("h").alias("__nh"), F.col("rid").alias("__rid"))
-        marked = hashed.join(full, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__nh")))
-    joined = marked.join(spans.withColumnRenamed("rid", "__of").withColumnRenamed("spans", "__spans"), F.col("__rid") == F.col("__of"), "left")
-    wanted = joined.select(*docs.columns, "__spans")
+        spans = _spans(parse(once, pack_texts(once), span))
+        hashed = docs.withColumn(c_h, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+        full = names.select(F.col("id").alias(c_id), F.col("h").alias(c_nh), F.col("rid").alias(c_rid))
+        marked = hashed.join(full, F.col(id_col).eqNullSafe(F.col(c_id)) & (F.col(c_h) == F.col(c_nh)))
+    found = marked.join(spans.select(F.col("rid").alias(c_of), F.col("spans").alias(c_spans)), F.col(c_rid) == F.col(c_of), "left")
+    wanted = found.select(*docs.columns, c_spans)
     at, out_at = docs.columns.index(text_col), docs.columns.index(count_col) if count_col in docs.columns else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +442,7 @@ def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cou
                 for text, spans in zip(part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True):
                     if spans:
                         words = text.encode().split()
-                        gone = factors(len(words), spans, span).tolist()
+                        gone = covered(len(words), spans, span).tolist()
                         text = b" ".join([w for w, g in zip(words, gone, strict=True) if not g]).decode()
                     texts.append(text)
                 columns[at] = pa.array(texts, pa.string())
