@@ -27,6 +27,17 @@ def prose(rng, n, vocabulary=400):
     return " ".join(word(rng.randrange(vocabulary)) + rng.choice(["", "", ".", ","]) for _ in range(n))
 
 
+def varied(rng, n, vocabulary=4000):
+    """Like `prose`, of hundreds of syllables: its tokens are as many and as mixed as a language's."""
+    onsets, vowels, codas = "b c d f g h j l m n p r s t v st pl tr".split(), "a e i o u ea ou".split(), ["", "n", "r", "s", "t", "l"]
+
+    def word(k):
+        own = random.Random(k)
+        return "".join(own.choice(onsets) + own.choice(vowels) + own.choice(codas) for _ in range(own.randrange(1, 4)))
+
+    return " ".join(word(int(vocabulary * rng.random() ** 2)) + rng.choice(["", "", "", ".", ","]) for _ in range(n))
+
+
 def corpus(seed=1, n=60):
     """(id, text) with copies, near copies, shared passages, white space of all kinds, empty, null and long texts."""
     rng = random.Random(seed)

@@ -5,14 +5,14 @@ import pytest
 pipeline = pytest.importorskip("corpus_pipeline")
 
 from tests.llm import brute  # noqa: E402
-from tests.llm.fixtures import corpus, docs, prose  # noqa: E402
+from tests.llm.fixtures import corpus, docs, varied  # noqa: E402
 from tests.llm.test_text import check_packing  # noqa: E402
 
 
 def test_stages_in_turn(spark, tmp_path):
     rng = random.Random(1)
-    shared = prose(rng, 60, 5000)
-    rows = corpus(7, 80) + [(5000 + i, prose(rng, 30, 5000) + " " + shared) for i in range(5)]
+    shared = varied(rng, 60)
+    rows = corpus(7, 80) + [(5000 + i, varied(rng, 30) + " " + shared) for i in range(5)]
     docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     now = spark.read.parquet(str(tmp_path / "documents.parquet"))
     columns, held = now.columns, dict(rows)
