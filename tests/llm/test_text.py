@@ -1,24 +1,31 @@
+import base64
 import hashlib
 import math
 import random
+import re
 import struct
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 import sentencepiece
+import tiktoken
 import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tests.llm.fixtures import by_id, corpus, docs, prose
+from tests.llm.fixtures import by_id, corpus, docs, prose, varied
 from tidelog.llm import langid, license_scan, packing, pieces, quality_model, quality_rules, url_filter
+from tidelog.llm.common import hot_keys, salted_join
 
 MODEL, VOCABULARY = pieces.default_model(), packing.default_vocabulary()
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=MODEL)
 WORDS = tokenizers.Tokenizer.from_file(VOCABULARY)
+RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(quality_rules.default_bytes(), "rb"))}
+BYTES = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 ALPHABET = st.text(alphabet=st.sampled_from(list("aAbés.!' \n\t▁漢\u00a0ﬁ\u0301Σσ09<|>$ÜßÿÀ\U0001f600\x00\x1c")), max_size=40)
 
 
@@ -82,28 +89,60 @@ def test_repeated_words_in_long_texts():
         assert quality_rules.repeated_words(text.encode().split()) == brute.rule_counts(text)[4]
 
 
-def test_fertility_bands():
-    codec = pieces.pieces(MODEL)
+def rules_row(text):
+    return dict(zip([f.split()[0] for f in quality_rules.FIELDS.replace("\n", " ").split(", ")], quality_rules.Judge(MODEL).rows([text])[0], strict=True))
+
+
+def rules_verdict(text):
+    """The method's verdict alone, whatever the base rules say."""
+    r = rules_row(text)
+    n = len(pieces.pieces(MODEL).encode([text])[0])
+    measures = quality_rules.Measures(r["chars_per_token"], r["byte_share"], r["token_entropy"], r["entropy_deficit"])
+    return quality_rules.within(measures, n, quality_rules.BANDS.get(r["script"], quality_rules.BANDS[""]))
 
-    def verdict(text):
-        ids = codec.encode([text])[0]
-        return quality_rules.within(quality_rules.fertility(text, ids, codec), len(ids), quality_rules.BANDS[quality_rules.script(text)])
 
+def test_fertility_bands():
     rng = random.Random(2)
-    assert verdict("The quick brown fox jumps over the lazy dog while seven wizards brew a strange potion near the old harbour wall. " * 2)
-    assert verdict("Im Frühling blühen die Bäume, und die Kinder spielen wieder draußen im Garten hinter dem alten Haus, bis es dunkel wird.")
-    assert not verdict("aaaa " + "".join(chr(rng.randrange(0x300, 0x36F)) + chr(rng.randrange(0x1D400, 0x1D7FF)) for _ in range(200)) + "latin letters " * 40)
-    assert not verdict("la " * 60)
+    assert rules_verdict("The quick brown fox jumps over the lazy dog while seven wizards brew a strange potion near the old harbour wall. " * 2)
+    assert rules_verdict("Im Frühling blühen die Bäume, und die Kinder spielen wieder draußen im Garten hinter dem alten Haus, bis es dunkel wird.")
+    assert not rules_verdict("aaaa " + "".join(chr(rng.randrange(0x300, 0x36F)) + chr(rng.randrange(0x1D400, 0x1D7FF)) for _ in range(200)) + "latin letters " * 40)
+    assert not rules_verdict("la " * 60)
     assert quality_rules.script("привет мир") == "CYRILLIC" and quality_rules.script("12 !") == "" and quality_rules.script("漢字 かな 漢字") == "CJK"
-    chars, share, entropy = quality_rules.fertility("ab", np.array([500, 500, 600, 600]), codec)
-    assert (chars, entropy) == (0.5, 1.0) and quality_rules.fertility("", np.array([], int), codec) == (0.0, 0.0, 0.0) and share == 0
 
 
-def rules_verdict(text):
-    codec = pieces.pieces(MODEL)
-    ids = codec.encode([text])[0]
-    named = quality_rules.script(text)
-    return quality_rules.within(quality_rules.fertility(text, ids, codec), len(ids), quality_rules.BANDS.get(named, quality_rules.BANDS[""]))
+@settings(max_examples=100, deadline=None)
+@given(st.one_of(ALPHABET, st.text(min_size=1, max_size=30)))
+def test_measures_against_brute_force(text):
+    """Each measure from the libraries' ids, by its definition."""
+
+    def bits(ids):
+        return -sum(ids.count(i) / len(ids) * math.log2(ids.count(i) / len(ids)) for i in set(ids))
+
+    def curve(n, a, b, c):
+        x = min(math.log2(n), -b / (2 * c))
+        return a + b * x + c * x * x
+
+    r, ids, more = rules_row(text), LIBRARY.encode(text), BYTES.encode_ordinary(text)
+    if not ids:
+        assert r["chars_per_token"] == r["token_entropy"] == r["entropy_deficit"] == 0
+        return
+    spelt = [i for i in ids if LIBRARY.is_byte(i) and LIBRARY.id_to_piece(i) not in ("<0x0A>", "<0x09>")]
+    deficit = (curve(len(ids), 0.395, 1.110, -0.048) - bits(ids) + curve(len(more), 0.437, 1.104, -0.047) - bits(more)) / 2
+    for got, wanted in (("chars_per_token", len(text) / len(ids)), ("byte_share", len(spelt) / len(ids)), ("token_entropy", bits(ids)), ("entropy_deficit", deficit)):
+        assert math.isclose(r[got], wanted, abs_tol=1e-9)
+
+
+def test_marks_between_words_fail(spark):
+    """Prose stays; the same prose with a mark after each word goes, by the method alone, at every length."""
+    rng = random.Random(21)
+    clean = [(i, varied(rng, n, 250)) for i, n in enumerate([12, 40, 150, 700, 4000, 20_000])]
+    strewn = [(100 + i, " ".join(w + rng.choice(["%%%", "***", "$$$", "###"]) for w in t.split())) for i, t in clean[1:]]
+    found = by_id(quality_rules.judge(docs(spark, clean + strewn)), "base_failed", "kept")
+    assert found == {i: (False, True) for i, _ in clean} | {i: (False, False) for i, _ in strewn}
+
+
+def test_an_unbroken_run_is_judged():
+    assert not rules_row("x" * 300_000)["kept"] and not rules_row("word " * 60_000)["kept"]
 
 
 SHATTERED = {
@@ -123,7 +162,7 @@ def test_shattered_text_fails_alone(named):
 
 def test_short_shattered_text_fails():
     text = "one two three four five six seven eight \ue000\ue001 \ue002\ue003"
-    assert len(pieces.pieces(MODEL).encode([text])[0]) < quality_rules.BAND_TOKENS and not rules_verdict(text)
+    assert len(pieces.pieces(MODEL).encode([text])[0]) < 32 and not rules_verdict(text)
     assert rules_verdict("one two three four five six seven eight nine ten") and rules_verdict("")
 
 
@@ -202,14 +241,60 @@ def test_urls(spark):
     assert {r["verdict"] for r in url_filter.filter_urls(pages, [], default="block").collect()} == {"block"}
 
 
-@pytest.mark.parametrize("pattern,tokens", [("||a.com/x/", ["a", "com", "x"]), ("/ads", []), ("/ads/*.gif|", ["ads", "gif"]), ("banner", []), ("|http", []), ("a^b^", ["b"])])
+@pytest.mark.parametrize("pattern,tokens", [("||a.com/x/", ["a", "com", "x"]), ("/ads", []), ("/ads/*.gif|", ["ads", "gif"]), ("banner", []), ("|http", []), ("a^b^", ["b"]), ("~casino", ["casino"]), ("~adult-education", ["adult", "education"])])
 def test_rule_tokens_stand_whole(pattern, tokens):
     assert url_filter.compile_rule(pattern)[1] == tokens
 
 
-def test_rule_lists_are_bounded(spark):
-    with pytest.raises(ValueError):
-        url_filter._rules_frame(spark, [url_filter.Rule("/x/", "block")] * (url_filter.MAX_RULES + 1))
+def brute_urls(urls, rules, default="allow"):
+    """Every rule on every address, by Python's own expressions."""
+    out = {}
+    for i, url in urls:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        head = re.match(r"[^/?#]*", rest)[0]
+        host, path = head.translate(brute.LOWER), re.match(r"[^?#]*", rest[len(head) :])[0]
+        hits = [(r.rank, len(r.name or r.pattern), r.verdict == "block", -k, r) for k, r in enumerate(rules) if re.search(url_filter.compile_rule(r.pattern)[0], host + path)]
+        best = max(hits, default=None, key=lambda h: h[:4])
+        out[i] = (host, path, best and best[4].name, best[4].verdict if best else default)
+    return out
+
+
+def test_rules_against_brute_force_urls(spark):
+    """Random addresses, half of them the same one; with the index broadcast and joined."""
+    rng = random.Random(31)
+    hosts = ["casino-win.example.com", "m.free-bets.a.net", "betsy.a.net", "www.adult-education.org", "adult-x.a.net", "spam.a.net", "my-spam-filter.a.net", "a.net", "ADS.b.com", "xads.b.com"]
+    parts = ["", "/", "/en/1", "/login", "/loginpage", "/help/search", "/x/search/y", "/casino", "/a.jpg", "/feed", "/feeds", "/de/1", "/" + "long/" * 2000]
+    urls = [(i, "broken" if i % 2 else f"http://{rng.choice(hosts)}{rng.choice(parts)}{rng.choice(['', '?q=1', '#top'])}") for i in range(400)]
+    pages, rules = spark.createDataFrame(urls, "page_id long, url string"), url_filter.BASE_RULES + url_filter.METHOD_RULES
+    wanted = brute_urls(urls, rules)
+    assert len({v[3] for v in wanted.values()}) == 2 and wanted == brute_urls(urls, rules)
+    for most in (0, url_filter.MAX_RULES):
+        got = url_filter.filter_urls(pages, rules, most_broadcast=most).collect()
+        assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in got} == wanted
+
+
+def test_method_rules_judge_hosts_by_whole_words():
+    verdict = lambda url: brute_urls([(0, url)], url_filter.METHOD_RULES)[0][3]
+    assert [verdict(f"x://{h}/en/1") for h in ("casino-win.a.com", "m.ads-track.a.com", "free-bets.com", "spam", "b.cheap-pills.a.com")] == ["block"] * 5
+    assert [verdict(f"x://{h}/en/1") for h in ("casinowin.com", "loads.com", "alphabets.com", "adult-education.org", "a.com/casino")] == ["allow"] * 5
+
+
+def test_one_key_in_most_rows(spark):
+    """A key of two thirds of all rows is spread over many tasks; none gets more than a small share."""
+    rows = spark.range(6000).select("id", F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"))
+    sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    hot = hot_keys(sizes, ["k"], "n", 100)
+    assert [r["k"] for r in hot.collect()] == ["hot"]
+    for name, value in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.shuffle.partitions", "32")):
+        spark.conf.set(name, value)
+    try:
+        joined = salted_join(rows, sizes, ["k"], hot, "id").withColumn("part", F.spark_partition_id())
+        assert joined.count() == 6000 and joined.where("(k = 'hot') <> (n = 4000)").count() == 0
+        assert max(r["count"] for r in joined.groupBy("part").count().collect()) < 0.15 * 6000
+    finally:
+        for name in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(name)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_quality_on_held_out_rows(spark):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidelog.sources.durable import checkpoint_dir, durable
 
-__all__ = ["LOWER", "UPPER", "WHITE", "Table", "checkpoint_dir", "documents", "durable", "durable_table", "free_names", "held_out", "lower_ascii"]
+__all__ = ["LOWER", "UPPER", "WHITE", "Table", "checkpoint_dir", "documents", "durable", "durable_table", "free_names", "held_out", "hot_keys", "lower_ascii", "salted_join"]
 
 #: One run of the white space that separates words; Java, DuckDB and Python read it alike.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -28,14 +28,41 @@ def durable_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def free_names(df: DataFrame, n: int) -> list[str]:
-    """`n` column names that `df` does not have, in any case."""
-    taken, stem = {c.lower() for c in df.columns}, "helper"
+def free_names(df: DataFrame, n: int, *others: DataFrame) -> list[str]:
+    """`n` column names that neither `df` nor `others` have, in any case."""
+    taken, stem = {c.lower() for x in (df, *others) for c in x.columns}, "helper"
     while any(c.startswith(stem) for c in taken):
         stem += "_"
     return [f"{stem}{i}" for i in range(n)]
 
 
+#: Keys that hold more than one in `HOT_KEYS` of all rows are hot; there cannot be more of them than that.
+HOT_KEYS, SALTS = 4_096, 64
+
+
+def hot_keys(sizes: DataFrame, on: list[str], n: str, one_in: int = HOT_KEYS) -> DataFrame:
+    """The keys `on` that hold more than one in `one_in` of all rows; fewer than `one_in` of them, so they may be broadcast.
+
+    `sizes` has one row per key and its number of rows in column `n`; it is read twice, so it should be durable.
+    """
+    total = sizes.agg(F.sum(n)).first()[0] or 0
+    return sizes.where(F.col(n) * one_in > total).select(*on)
+
+
+def salted_join(rows: DataFrame, table: DataFrame, on: list[str], hot: DataFrame, spread: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """`rows` joined with `table`, which has one row per key `on` at most, so that no hot key meets in one task.
+
+    `hot` are keys from `hot_keys`.  Rows of a hot key are spread over `salts` tasks by a hash of column `spread`, and
+    the table's rows of hot keys are repeated for each of them.  Keys are never null.
+    """
+    mark, salt = free_names(rows, 2, table)
+    marked = F.broadcast(hot.withColumn(mark, F.lit(True)))
+    salted = rows.join(marked, on, "left").withColumn(salt, F.when(F.col(mark), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)).drop(mark)
+    each = F.when(F.col(mark), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copies = table.join(marked, on, "left").withColumn(salt, F.explode(each)).drop(mark)
+    return salted.join(copies, [*on, salt], how).drop(salt)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -1,13 +1,17 @@
 """URL filter: pattern rules indexed by their rarest literal token, with DataFrame functions only.
 
-Rules are written like filter lists: ``||`` anchors at a host or a subdomain of it, ``|`` at the start (or end) of
-the address, ``*`` is any run, ``^`` a separator or the end.  Each rule becomes one regular expression and the list
+Rules are written like filter lists: ``||`` anchors at a host or a subdomain of it, ``~`` at a word of the host
+(between dots and hyphens, and whole), ``|`` at the start (or end) of the address, ``*`` is any run, ``^`` a separator
+or the end.  Each rule becomes one regular expression and the list
 of literal tokens (runs of a-z, 0-9) that every address it matches must hold whole.  A rule is filed under the one
 of those tokens that the fewest distinct addresses hold, counted over the whole table.  An address fetches only
 the rules filed under its own tokens and runs only their expressions.  A rule without such a token is filed under
 the empty token, which every address has.
 
-The rule list is the operator's fixed configuration: `MAX_RULES` bounds it, so the index may be broadcast.
+The rule list is the operator's configuration: up to `MAX_RULES` rules the index is broadcast, longer lists are joined.
+
+Addresses are judged once each.  Rows look the verdict up by their address; addresses that very many rows share,
+such as the empty one of malformed rows, are salted for that.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import lower_ascii
+from tidelog.llm.common import durable, hot_keys, lower_ascii, salted_join
 
 MAX_RULES = 50_000
 TOKEN_BREAK = r"[^a-z0-9]+"
@@ -46,15 +50,19 @@ BASE_RULES = (
     host_rule("com", "/fr/", "allow"),
     host_rule("com", "/de/", "block"),
 )
-#: Addresses that seldom lead to prose.
+#: Words of hosts and parts of paths that seldom lead to prose.
 METHOD_RULES = (
+    Rule("~casino", "block"), Rule("~casinos", "block"), Rule("~bet", "block"), Rule("~bets", "block"), Rule("~betting", "block"), Rule("~poker", "block"),
+    Rule("~gambling", "block"), Rule("~slots", "block"), Rule("~lottery", "block"), Rule("~pills", "block"), Rule("~viagra", "block"),
+    Rule("~adult", "block"), Rule("~adult-education", "allow"), Rule("~porn", "block"), Rule("~xxx", "block"), Rule("~escorts", "block"),
+    Rule("~spam", "block"), Rule("~spam-filter", "allow"), Rule("~warez", "block"), Rule("~phishing", "block"), Rule("~malware", "block"),
+    Rule("~ads", "block"), Rule("~adserver", "block"), Rule("~tracker", "block"), Rule("~track", "block"), Rule("~clicks", "block"),
     Rule("/wp-admin/", "block"), Rule("/wp-login", "block"), Rule("/login^", "block"), Rule("/signin^", "block"),
     Rule("/signup^", "block"), Rule("/register^", "block"), Rule("/logout^", "block"), Rule("/cart^", "block"),
     Rule("/checkout^", "block"), Rule("/cgi-bin/", "block"), Rule("/search^", "block"), Rule("/tag/", "block"),
     Rule("/ads/", "block"), Rule("/banner/", "block"), Rule("/feed|", "block"), Rule("/rss|", "block"),
     Rule(".zip|", "block"), Rule(".exe|", "block"), Rule(".jpg|", "block"), Rule(".png|", "block"), Rule(".css|", "block"),
-    Rule(".js|", "block"), Rule("||ads.", "block"), Rule("||tracker.", "block"), Rule("||casino.", "block"),
-    Rule("/help/search^", "allow"),
+    Rule(".js|", "block"), Rule("/help/search^", "allow"),
 )
 
 
@@ -68,6 +76,8 @@ def compile_rule(pattern: str) -> tuple[str, list[str]]:
     body, head, tail = pattern, "", ""
     if body.startswith("||"):
         body, head = body[2:], r"^(?:[^/]*\.)?"
+    elif body.startswith("~"):
+        body, head, tail = body[1:], r"^(?:[^/]*[.-])?", r"(?:[-.:/]|$)"
     elif body.startswith("|"):
         body, head = body[1:], "^"
     if body.endswith("|"):
@@ -91,8 +101,6 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 
 def _rules_frame(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; the index is broadcast and holds at most {MAX_RULES}")
     rows = []
     for i, r in enumerate(rules):
         regex, tokens = compile_rule(r.pattern)
@@ -100,36 +108,39 @@ def _rules_frame(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
     return spark.createDataFrame(rows, "rule_id int, regex string, verdict string, rank int, size int, name string, tokens array<string>")
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def filter_urls(
+    pages: DataFrame, rules: Sequence[Rule], default: str = "allow", id_col: str = "page_id", url_col: str = "url", most_broadcast: int = MAX_RULES
+) -> DataFrame:
     """One row per input row: `id_col`, host, path, rule (name of the winning named rule, else null), verdict.
 
     Null, empty and malformed addresses have an empty host and path, match only rules that match the empty string,
-    and otherwise get `default`.  Repeated rows and equal addresses get equal verdicts.  Of several rules the
-    highest rank wins, then the longest, then block before allow, then the order of the list.  An empty table gives
-    an empty result; other columns are not read.
+    and otherwise get `default`.  Very long addresses are matched whole.  Repeated rows and equal addresses get equal
+    verdicts.  Of several rules the highest rank wins, then the longest, then block before allow, then the order of
+    the list.  An empty table gives an empty result; other columns are not read, so their names cannot clash.
     """
-    spark = pages.sparkSession
+    small = F.broadcast if len(rules) <= most_broadcast else (lambda df: df)
     host, path = split_url(F.col("url"))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select("id", host.alias("host"), path.alias("path"))
-    places = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n_rows"))
+    places = durable(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n_rows")).hint("rebalance"))
     held = F.array_distinct(F.split(lower_ascii(F.concat_ws("", "host", "path")), TOKEN_BREAK))
     tokens = places.select("host", "path", F.explode(F.array_union(held, F.array(F.lit("")))).alias("token"))
 
-    table = _rules_frame(spark, rules)
+    table = _rules_frame(pages.sparkSession, rules)
     wanted = table.select("rule_id", F.explode("tokens").alias("token"))
-    counts = tokens.join(F.broadcast(wanted.select("token").distinct()), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    counts = tokens.join(small(wanted.select("token").distinct()), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     rarest = (
-        wanted.join(F.broadcast(counts), "token", "left")
+        wanted.join(small(counts), "token", "left")
         .groupBy("rule_id")
         .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))["token"].alias("token"))
     )
-    index = table.join(F.broadcast(rarest), "rule_id", "left").select(
+    index = table.join(small(rarest), "rule_id", "left").select(
         "rule_id", "regex", "verdict", "rank", "size", "name", F.coalesce("token", F.lit("")).alias("token")
     )
-    fetched = tokens.join(F.broadcast(index), "token").where(F.expr("regexp_like(concat(host, path), regex)"))
+    fetched = tokens.join(small(index), "token").where(F.expr("regexp_like(concat(host, path), regex)"))
     order = F.struct("rank", "size", (F.col("verdict") == "block").alias("blocks"), (-F.col("rule_id")).alias("turn"))
     best = fetched.groupBy("host", "path").agg(F.max_by(F.struct("name", "verdict"), order).alias("best"))
-    return rows.join(best, ["host", "path"], "left").select(
+    judged = salted_join(rows, best, ["host", "path"], hot_keys(places, ["host", "path"], "n_rows"), "id", "left")
+    return judged.select(
         F.col("id").alias(id_col), "host", "path", F.col("best.name").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
     )
 
