@@ -40,12 +40,13 @@ def free_names(df: DataFrame, n: int, *others: DataFrame) -> list[str]:
 HOT_KEYS, SALTS = 4_096, 64
 
 
-def hot_keys(sizes: DataFrame, on: list[str], n: str, one_in: int = HOT_KEYS) -> DataFrame:
+def hot_keys(sizes: DataFrame, on: list[str], n: str, one_in: int = HOT_KEYS, total: int | None = None) -> DataFrame:
     """The keys `on` that hold more than one in `one_in` of all rows; fewer than `one_in` of them, so they may be broadcast.
 
     `sizes` has one row per key and its number of rows in column `n`; it is read twice, so it should be durable.
+    `total` is the sum of those, where it is known.
     """
-    total = sizes.agg(F.sum(n)).first()[0] or 0
+    total = (sizes.agg(F.sum(n)).first()[0] or 0) if total is None else total
     return sizes.where(F.col(n) * one_in > total).select(*on)
 
 

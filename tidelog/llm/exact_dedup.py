@@ -8,7 +8,7 @@ two different texts:
 2. the partitions' winners meet by (digest, text, salt), so copies of one text spread over `salts` tasks;
 3. the salt winners, at most `salts` rows a text, meet by digest.
 
-Documents then look their winner up by digest.  A digest that stands for several texts (never seen with SHA-256,
+Documents then look their winner up by digest; digests of very many rows are salted for that.  A digest that stands for several texts (never seen with SHA-256,
 but handled) is looked up by the full text too; that second look-up runs only where such a digest exists.
 """
 
@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import WHITE, durable
+from tidelog.llm.common import WHITE, durable, free_names, hot_keys, salted_join
 
 
 def normalised(text: Column) -> Column:
@@ -45,7 +45,7 @@ def exact_dedup(
 
     Of equal texts the row with the smallest id stays.  A null text counts as empty.  A null id is an id of its own
     that never wins over another; rows that repeat an id and its text are copies, and exactly one of them is kept.
-    Ties cannot arise beyond that.  An empty table gives an empty result.  Other columns of `docs` are not read, so
+    Ties cannot arise beyond that.  Very long texts are compared whole.  An empty table gives an empty result.  Other columns of `docs` are not read, so
     their names cannot clash.  `digest` is replaceable to test collisions.
     """
     body = normalised(F.col(text_col))
@@ -56,7 +56,8 @@ def exact_dedup(
     )
     winners = durable(per_digest.hint("rebalance"))  # a few files by size, not one per shuffle partition
     rows = source.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("copies"))
-    found = rows.join(winners.where("n_texts = 1").drop("n_texts"), "digest").select("id", "digest", "copies", "keep_id", "group_size")
+    hot = hot_keys(winners, ["digest"], "group_size")
+    found = salted_join(rows, winners.where("n_texts = 1").drop("n_texts"), ["digest"], hot, "id").select("id", "digest", "copies", "keep_id", "group_size")
     shared = winners.where("n_texts > 1").select("digest")
     if not shared.isEmpty():  # those documents are compared by their full text
         exact = source.join(texts.join(shared, "digest", "left_semi"), ["digest", "body"]).groupBy("id", "body", "digest", "keep_id", "group_size")
@@ -72,13 +73,17 @@ def exact_dedup(
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns; of rows that repeat an id and its text, one stays."""
+    """The rows of `docs` that stay, with all their columns whatever their names; of rows that repeat an id and its text, one stays.
+
+    Null, empty and very long texts, null ids, ties and empty tables are treated as `exact_dedup` says.
+    """
+    c_row, c_keep = free_names(docs, 2)
     row = lambda id_, digest: F.concat_ws(":", digest, F.coalesce(id_.cast("string"), F.lit("null")))
-    stay = exact_dedup(docs, id_col, text_col, salts).where("kept").select(row(F.col(id_col), F.col("text_sha256")).alias("__keep"))
-    marked = docs.withColumn("__row", row(F.col(id_col), sha256(normalised(F.col(text_col)))))
+    stay = exact_dedup(docs, id_col, text_col, salts).where("kept").select(row(F.col(id_col), F.col("text_sha256")).alias(c_keep))
+    marked = docs.withColumn(c_row, row(F.col(id_col), sha256(normalised(F.col(text_col)))))
     # one shuffle of the documents, by one key: it serves the join and the removal of repeated rows
-    joined = marked.join(stay, F.col("__row") == F.col("__keep"), "left_semi")
-    return joined.dropDuplicates(["__row"]).select(*docs.columns)
+    joined = marked.join(stay, F.col(c_row) == F.col(c_keep), "left_semi")
+    return joined.dropDuplicates([c_row]).select(*docs.columns)
 
 
 ORACLE = r"""
