@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import durable
+from tidelog.llm.common import durable, free_names, hot_keys, salted_join
 from tidelog.llm.graph import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -88,8 +88,8 @@ def links(prints: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """Links (u, v) between distinct prints (column print) whose closure joins all pairs within RADIUS bits."""
     keys = F.array(*[F.struct(F.lit(i).cast("byte").alias("table"), F.col("print").bitwiseAND(F.lit(m)).alias("bucket")) for i, m in enumerate(_masks(RADIUS))])
     filed = prints.select("print", F.explode(keys).alias("k")).select("k.table", "k.bucket", "print")
-    sizes = filed.groupBy("table", "bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = durable(filed.join(sizes, ["table", "bucket"]))
+    sizes = durable(filed.groupBy("table", "bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").hint("rebalance"))
+    shared = durable(salted_join(filed, sizes, ["table", "bucket"], hot_keys(sizes, ["table", "bucket"], "size"), "print"))
     one = shared.where(F.col("size") <= crowded).select("table", "bucket", "print")
     close = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS
     pairs = one.withColumnRenamed("print", "u").join(one.withColumnRenamed("print", "v"), ["table", "bucket"]).where((F.col("u") < F.col("v")) & close)
@@ -105,19 +105,21 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     not read; an empty table gives an empty result.  All texts are read whole.
     """
     prints = durable(fingerprints(docs, id_col, text_col))
-    classes = prints.groupBy("print").agg(F.min("id").alias("first"))
-    roots = components(links(durable(classes.select("print")), crowded))
+    classes = durable(prints.groupBy("print").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")))
+    roots = components(links(classes.select("print"), crowded))
     rooted = classes.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("print", "component_id")
-    return prints.join(named, "print").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    return salted_join(prints, named, ["print"], hot_keys(classes, ["print"], "n"), "id").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose id is the smallest of their group, with all their columns.
+    """The rows of `docs` whose id is the smallest of their group, with all their columns whatever their names.
 
-    Rows with a null id stay: nothing tells which of them is the first.
+    Rows with a null id stay: nothing tells which of them is the first.  Null, empty and very long texts, repeated ids
+    and empty tables are treated as `near_dedup` says.
     """
-    stay = near_dedup(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep")).distinct()
-    named = docs.join(stay, F.col(id_col) == F.col("__keep"), "left_semi")
+    (c_keep,) = free_names(docs, 1)
+    stay = near_dedup(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(c_keep)).distinct()
+    named = docs.join(stay, F.col(id_col) == F.col(c_keep), "left_semi")
     return named.unionByName(docs.where(F.col(id_col).isNull()))
