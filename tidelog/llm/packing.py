@@ -2,12 +2,12 @@
 
 A worker tokenises each document and cuts it into full windows and one rest.  Only the histogram of piece lengths (as
 many numbers as a window has tokens) reaches the driver, whatever the corpus holds.  There the combinations of two
-or three lengths that fill a window exactly are the columns of a system whose rows are the lengths; non-negative least
-squares gives each column a repeat count, which is rounded down.  What is left is packed greedily, largest first,
-again as patterns with repeat counts.
+or three lengths that fill a window exactly are the columns of a system whose rows are the lengths, all of them; non-negative
+least squares, solved until no repeat count would move by more than a tolerance, gives each column a repeat count, which is
+rounded down.  What is left is packed greedily, largest first, again as patterns with repeat counts.
 
 Pieces then take their places: a piece's rank among those of its length (rank within a hash bucket plus the count in
-the buckets before, so no length gathers in one task) picks the pattern, the sequence and the offset.
+the buckets before; there are as many buckets as pieces ask for, so no length gathers in one task) picks the pattern, the sequence and the offset.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ import os
 import re
 import struct
 import zlib
-from collections import ChainMap
-from collections.abc import Iterator, Mapping
+from collections import ChainMap, Counter
+from collections.abc import Iterable, Iterator, Mapping
 from typing import NamedTuple
 
 import numpy as np
@@ -29,8 +29,13 @@ from pyspark.sql import types as T
 from tidelog.llm.common import Table, durable
 from tidelog.llm.pieces import slices
 
-WINDOW, END_ID, BUCKETS = 2048, 1, 256
-SWEEPS, COLUMNS = 3, 400_000
+WINDOW, END_ID = 2048, 1
+#: Pieces of one length are ranked in buckets of about so many.
+BUCKET_ROWS = 100_000
+#: Repeat counts are solved to this, or to this share of the largest count.
+TOLERANCE, SHARE = 0.05, 1e-4
+#: Columns that join the working set at once, and sweeps over it before all columns are priced again.
+JOINING, SWEEPS = 3_000, 20
 TABLE = 400_000
 
 #: Characters that normalisation leaves alone but for their case, and whose kind is plain: white space, printable ASCII, precomposed letters.
@@ -155,42 +160,65 @@ class Place(NamedTuple):
     offset: int
 
 
-def combinations_filling(lengths: list[int], window: int, most: int = COLUMNS) -> list[tuple[int, ...]]:
-    """Pairs, then triples of present lengths that add up to `window`; triples stop at `most` columns.
+def combinations_filling(lengths: Iterable[int], window: int) -> np.ndarray:
+    """All pairs and triples of present lengths that add up to `window`, largest first; a pair's third length is 0."""
+    present = np.zeros(window + 1, bool)
+    present[[k for k in lengths if 0 < k < window]] = True
+    sizes = np.flatnonzero(present)
+    second = sizes[(2 * sizes <= window) & present[window - sizes]]
+    parts = [np.stack([window - second, second, np.zeros_like(second)], axis=1)]
+    for first in sizes[3 * sizes >= window]:
+        second = sizes[(sizes <= first) & (2 * sizes >= window - first) & (sizes < window - first)]
+        second = second[present[window - first - second]]
+        parts.append(np.stack([np.full(len(second), first), second, window - first - second], axis=1))
+    return np.concatenate(parts)
 
-    The bound is on the columns of a fixed-size system (a window's lengths), not on documents: all that no column
-    takes is packed greedily.
+
+def column_norms(columns: np.ndarray) -> np.ndarray:
+    """The squared norm of each column: the squares of how often it holds its lengths."""
+    a, b, c = columns.T
+    same = (a == b).astype(int) + (b == c)  # lengths fall, so equal ones are neighbours
+    return np.where(c == 0, np.where(a == b, 4.0, 2.0), np.array([3.0, 5.0, 9.0])[same])
+
+
+def repeat_counts(histogram: Mapping[int, int], columns: np.ndarray, tolerance: float | None = None) -> np.ndarray:
+    """Non-negative least squares: x >= 0 with the columns times x closest to the histogram.
+
+    Coordinate descent over a working set: the columns in use, and those whose count would move most.  All columns are
+    priced after each pass over it; it ends when none of them would move by more than `tolerance`.
     """
-    present, columns = set(lengths), []
-    columns += [(a, window - a) for a in sorted(present) if a <= window - a and window - a in present]
-    order = sorted(present, reverse=True)
-    for a in order:
-        if 3 * a < window or len(columns) >= most:
-            break
-        for b in order:
-            c = window - a - b
-            if b <= a and c <= b:
-                if 2 * b < window - a:
-                    break
-                if c > 0 and c in present:
-                    columns.append((a, b, c))
-    return columns
-
-
-def repeat_counts(histogram: Mapping[int, int], columns: list[tuple[int, ...]], sweeps: int = SWEEPS) -> list[float]:
-    """Non-negative least squares by coordinate descent: x >= 0 with the columns' lengths times x close to the histogram."""
-    rest = {k: float(v) for k, v in histogram.items()}
-    x = [0.0] * len(columns)
-    norms = [sum(c.count(v) ** 2 for v in set(c)) for c in columns]
-    for _ in range(sweeps):
-        for j, c in enumerate(columns):
-            step = sum(rest[v] for v in c) / norms[j]
-            step = max(step, -x[j])
-            if step > 1e-9 or step < -1e-9:
+    rest = np.zeros(1 + max([int(columns.max(initial=0)), *histogram]), float)
+    for k, v in histogram.items():
+        rest[k] = v
+    tolerance = max(TOLERANCE, SHARE * rest.max()) if tolerance is None else tolerance
+    a, b, c = columns.T
+    norms, x = column_norms(columns), np.zeros(len(columns))
+    while True:
+        rest[0] = 0
+        step = np.maximum((rest[a] + rest[b] + rest[c]) / norms, -x)
+        moving = np.flatnonzero(np.abs(step) > tolerance)
+        if not len(moving):
+            return x
+        if len(moving) > JOINING:
+            moving = moving[np.argpartition(-np.abs(step[moving]), JOINING)[:JOINING]]
+        work = np.union1d(moving, np.flatnonzero(x > 0))
+        x[work], rest = _descend(rest.tolist(), x[work].tolist(), columns[work].tolist(), norms[work].tolist(), tolerance / 2)
+
+
+def _descend(rest: list[float], x: list[float], columns: list[list[int]], norms: list[float], tolerance: float) -> tuple[list[float], np.ndarray]:
+    for _ in range(SWEEPS):
+        largest = 0.0
+        for j, (i, k, m) in enumerate(columns):
+            step = max((rest[i] + rest[k] + (rest[m] if m else 0.0)) / norms[j], -x[j])
+            if step:
                 x[j] += step
-                for v in c:
-                    rest[v] -= step
-    return x
+                rest[i] -= step
+                rest[k] -= step
+                rest[m] -= step
+                largest = max(largest, abs(step))
+        if largest <= tolerance:
+            break
+    return x, np.array(rest)
 
 
 def plan(histogram: Mapping[int, int], window: int = WINDOW) -> list[Place]:
@@ -212,13 +240,12 @@ def plan(histogram: Mapping[int, int], window: int = WINDOW) -> list[Place]:
 
     if left.get(window):
         take({window: 1}, left[window])
-    columns = combinations_filling([k for k in left if k < window], window)
+    columns = combinations_filling(left, window)
     x = repeat_counts({k: v for k, v in left.items() if k < window}, columns)
-    for j in sorted(range(len(columns)), key=lambda j: (-x[j], columns[j])):
-        if x[j] < 1:
-            break
-        pattern = {v: columns[j].count(v) for v in columns[j]}
-        if times := min(int(x[j]), *(left[v] // n for v, n in pattern.items())):
+    whole = np.flatnonzero(x >= 1)
+    for count, *lengths in sorted(zip((-x[whole]).tolist(), *columns[whole].T.tolist(), strict=True)):
+        pattern = Counter(v for v in lengths if v)
+        if times := min(int(-count), *(left[v] // n for v, n in pattern.items())):
             take(pattern, times)
     order = sorted((k for k, v in left.items() if v > 0), reverse=True)
     while order:
@@ -267,16 +294,17 @@ def _seated(places: list[Place]):
 
 
 def pack(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, window: int = WINDOW, buckets: int = BUCKETS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, window: int = WINDOW, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
     """One row per piece: `id_col`, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is one piece with the end id alone.  Rows that repeat an id are packed each by itself; equal
     pieces tie and may trade places.  A document of any length is cut into full windows.  Other columns are not
-    read; an empty table gives an empty result.
+    read, so their names cannot clash; an empty table gives an empty result.
     """
     pieces = durable(cut_documents(docs, id_col, text_col, vocabulary, window))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # a window's lengths at most
+    buckets = 1 + max(histogram.values(), default=0) // bucket_rows
     ranked = _ranked(pieces, buckets).select("id", "start", "length", "ids_crc32", "doc_tokens", "rank")
     kind = T.StructField("id", pieces.schema["id"].dataType)
     more = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
