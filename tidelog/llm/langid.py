@@ -12,7 +12,6 @@ bound.  Executors bundle; one row per task and language reaches the driver's sum
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,8 +30,20 @@ TABLE, AT_ONCE = 20_000, 2_000
 #: Bits of a code point.
 POINT = 21
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
-_RUN = re.compile(r"[\W\d_]+")
+SPACE = 32
+
+
+@lru_cache(1)
+def _letters() -> np.ndarray:
+    """By code point, what is a letter."""
+    return np.array([chr(i).isalpha() for i in range(0x110000)])
+
+
+def letter_runs(text: str) -> np.ndarray:
+    """The code points of a text's letters in lower case, one space in front of, between and behind its runs of them."""
+    code = np.frombuffer(f" {text.lower()} ".encode("utf-32-le"), np.uint32).astype(np.int64)
+    code = np.where(_letters()[code], code, SPACE)
+    return code[np.concatenate([[True], (code[1:] != SPACE) | (code[:-1] != SPACE)])]
 
 
 @lru_cache(4096)
@@ -72,11 +83,9 @@ class Profiles:
 
     def bundle(self, text: str | None) -> np.ndarray | None:
         """The unit vector of a whole text; None where it has no letter."""
-        if not text or not _LETTER.search(text):
-            return None
-        code = np.frombuffer((" " + _RUN.sub(" ", text.lower()).strip() + " ").encode("utf-32-le"), np.uint32).astype(np.int64)
-        if len(code) < 3:
+        if not text or not any(map(str.isalpha, text)):
             return None
+        code = letter_runs(text)
         grams, counts = np.unique(code[:-2] << 2 * POINT | code[1:-1] << POINT | code[2:], return_counts=True)
         total = np.zeros(DIMENSIONS, np.float32)
         for lo in range(0, len(grams), AT_ONCE):
@@ -119,21 +128,22 @@ def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     return [r.lang for r in found], (centred / np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def training_rows(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """text and lang of at most `sample` documents outside the held-out fold; the chosen ids are broadcast.
 
     Ids that repeat or are null are left out of the choice.
     """
-    known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("__id"))
-    chosen = known.agg(F.min("lang").alias("__lang"), F.count(F.lit(1)).alias("__n")).where("__n = 1").orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    joined = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
-    return joined.select("text", F.col("__lang").alias("lang"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    known = rows.where(F.col("lang").isNotNull() & ~held_out(F.col("id"))).groupBy(F.col("id").alias("c_id"))
+    chosen = known.agg(F.min("lang").alias("c_lang"), F.count(F.lit(1)).alias("n")).where("n = 1").orderBy(F.xxhash64("c_id"), "c_id").limit(sample)
+    return rows.join(F.broadcast(chosen), F.col("id") == F.col("c_id")).select("text", F.col("c_lang").alias("lang"))
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: `id_col`, lang_pred, score (the cosine moved to 0 to 1).
 
-    A null text, one without a letter, and any text where no language was learned give `und` and score 0.  Ties go to
+    A null text, one without a letter, and any text where no language was learned give `und` and score 0.  Very long
+    texts are bundled whole, `AT_ONCE` different trigrams at a time.  Ties go to
     the first language by name.  Other columns are not read; an empty table gives an empty result.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -155,7 +165,11 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     return source.mapInArrow(run, T.StructType([T.StructField(id_col, kind), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
-def judge_language(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every document; learns outside the held-out fold.  A null id is not held out."""
-    found = identify(docs, fit(training_rows(docs, sample)))
-    return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
+def judge_language(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """`id_col`, held_out, lang_pred, score of every document; learns outside the held-out fold.
+
+    A null id is not held out.  Rows that repeat are judged alike.  Null, empty and very long texts, other columns and
+    empty tables are treated as `identify` says.
+    """
+    found = identify(docs, fit(training_rows(docs, sample, id_col, text_col, lang_col)), id_col, text_col)
+    return found.select(id_col, F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), "lang_pred", "score")
