@@ -1,7 +1,8 @@
 """Quality classifier: regularised quadratic discriminant analysis over transformed document statistics.
 
 Each text becomes `STATISTICS`, shares and logarithms that do not depend on its language.  Per class the model keeps
-the mean, and the Cholesky factor of a covariance shrunk towards the pooled diagonal.  A score is the posterior of
+the mean, and of the Cholesky factor of a covariance shrunk towards the pooled diagonal the inverse, which is triangular too and
+makes a squared Mahalanobis distance one product.  A score is the posterior of
 label 1 from the difference of the classes' log densities, each a squared Mahalanobis distance plus a log
 determinant, tempered because the densities' tails overstate certainty.
 
@@ -69,12 +70,22 @@ def statistics(text: str | None) -> list[float]:
 class Model(NamedTuple):
     priors: np.ndarray
     means: np.ndarray
-    #: Lower Cholesky factors of the inverse covariances' inverses, one per class.
-    factors: np.ndarray
+    #: Inverses of the covariances' lower Cholesky factors, one per class.
+    whiteners: np.ndarray
     log_dets: np.ndarray
     scale: np.ndarray
 
 
+def inverse_of_lower(factor: np.ndarray) -> np.ndarray:
+    """The inverse of a lower triangular matrix, by forward substitution."""
+    out = np.zeros_like(factor)
+    for i, row in enumerate(factor):
+        out[i] = -row[:i] @ out[:i]
+        out[i, i] += 1
+        out[i] /= row[i]
+    return out
+
+
 def fit_moments(moments: dict[int, tuple[float, np.ndarray, np.ndarray]]) -> Model:
     """The model from each class's count, sum and sum of outer products; a class without rows takes the other's."""
     d = len(STATISTICS)
@@ -85,7 +96,7 @@ def fit_moments(moments: dict[int, tuple[float, np.ndarray, np.ndarray]]) -> Mod
     pooled_mean = sum(m[1] for m in known.values()) / total
     pooled = sum(m[2] for m in known.values()) / total - np.outer(pooled_mean, pooled_mean)
     scale = np.sqrt(np.maximum(np.diag(pooled), FLOOR))
-    means, factors, log_dets, priors = [], [], [], []
+    means, whiteners, log_dets, priors = [], [], [], []
     for c in (0, 1):
         n, first, second = known.get(c) or next(iter(known.values()))
         mean = first / n
@@ -93,18 +104,18 @@ def fit_moments(moments: dict[int, tuple[float, np.ndarray, np.ndarray]]) -> Mod
         cov = (1 - SHRINK) * cov + SHRINK * np.eye(d)
         factor = np.linalg.cholesky(cov)
         means.append(mean)
-        factors.append(factor)
+        whiteners.append(inverse_of_lower(factor))
         log_dets.append(2 * np.log(np.diag(factor)).sum())
         priors.append((moments.get(c, (0,))[0] + 1) / (total + 2))
-    return Model(np.array(priors), np.array(means), np.array(factors), np.array(log_dets), scale)
+    return Model(np.array(priors), np.array(means), np.array(whiteners), np.array(log_dets), scale)
 
 
 def scores(model: Model, x: np.ndarray) -> np.ndarray:
     """The probability of class 1 for each row of x."""
     log = np.zeros((len(x), 2))
     for c in (0, 1):
-        z = np.linalg.solve(model.factors[c], ((x - model.means[c]) / model.scale).T)
-        log[:, c] = -0.5 * ((z**2).sum(axis=0) + model.log_dets[c])
+        z = (x - model.means[c]) / model.scale @ model.whiteners[c].T
+        log[:, c] = -0.5 * ((z**2).sum(axis=1) + model.log_dets[c])
     margin = TEMPER * (log[:, 1] - log[:, 0]) + math.log(model.priors[1] / model.priors[0])
     return 1 / (1 + np.exp(-np.clip(margin, -60, 60)))
 
@@ -154,24 +165,29 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     return source.mapInArrow(run, T.StructType([T.StructField(id_col, kind), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
-    """text and label of at most `sample` labelled documents outside the held-out fold.
+def training_rows(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE, text_col: str = "text"
+) -> DataFrame:
+    """text and label of at most `sample` labelled documents outside the held-out fold, as `text_col` and `label_col`.
 
     Rows are taken by the smallest hash of their id; the chosen ids, at most `sample` of them, are broadcast.
     Ids that repeat or are null, and null labels, are left out of the choice.
     """
-    known = labels.where(F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("__id"))
-    chosen = known.agg(F.min(label_col).alias("__label"), F.count(F.lit(1)).alias("__n")).where("__n = 1").orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    joined = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id"))
-    return joined.select("text", F.col("__label").alias(label_col))
+    marks = labels.select(F.col(id_col).alias("c_id"), F.col(label_col).alias("label"))
+    known = marks.where(F.col("label").isNotNull() & ~held_out(F.col("c_id"))).groupBy("c_id")
+    chosen = known.agg(F.min("label").alias("c_label"), F.count(F.lit(1)).alias("n")).where("n = 1").orderBy(F.xxhash64("c_id"), "c_id").limit(sample)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    joined = rows.join(F.broadcast(chosen), F.col("id") == F.col("c_id"))
+    return joined.select(F.col("text").alias(text_col), F.col("c_label").alias(label_col))
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document; learns from `labels` outside the held-out fold.
+def judge_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """`id_col`, held_out, score, predicted of every document; learns from `labels` outside the held-out fold.
 
-    A null id is never held out (held_out is null-safe false).  Empty tables give empty results; without labels every
-    score is one half.
+    A null id is never held out (held_out is null-safe false).  Null texts count as empty, very long ones are read
+    whole, and rows that repeat get equal scores.  Other columns are not read, so their names cannot clash.  Empty tables give
+    empty results; without labels every score is one half.
     """
-    model = fit(training_rows(docs, labels, sample=sample))
-    scored = score_documents(docs, model)
-    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+    model = fit(training_rows(docs, labels, id_col, label_col, sample, text_col), text_col, label_col)
+    scored = score_documents(docs, model, id_col, text_col)
+    return scored.select(id_col, F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), "score", "predicted")
