@@ -26,21 +26,24 @@ def test_exact_with_colliding_digests(spark):
 
 def test_exact_odd_rows(spark):
     table = docs(spark, [(1, "a"), (1, "a"), (2, "a"), (None, "b"), (None, "b"), (5, None), (6, "")])
-    clashing = table.withColumn("keep_id", F.lit(0)).withColumn("digest", F.lit("x")).withColumn("body", F.lit(1))
+    clashing = table.withColumn("keep_id", F.lit(0)).withColumn("digest", F.lit("x")).withColumn("body", F.lit(1)).withColumn("__row", F.lit("r"))
+    clashing = clashing.withColumn("__keep", F.lit("k")).withColumn("helper0", F.lit(1)).withColumn("Helper_1", F.lit(2))
     found = exact_dedup.exact_dedup(clashing).collect()
     assert len(found) == 7
     assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["kept"]) for r in found) == [
         ("1", "1", 3, False), ("1", "1", 3, True), ("2", "1", 3, False), ("5", "5", 2, True), ("6", "5", 2, False), ("None", "None", 2, False), ("None", "None", 2, True),
     ]
     left = exact_dedup.drop_exact_copies(clashing)
-    assert left.columns == clashing.columns and sorted(str(r["doc_id"]) for r in left.collect()) == ["1", "5", "None"]
+    assert left.columns == clashing.columns and {(r["__row"], r["__keep"], r["helper0"], r["Helper_1"]) for r in left.collect()} == {("r", "k", 1, 2)}
+    assert sorted(str(r["doc_id"]) for r in left.collect()) == ["1", "5", "None"]
     assert exact_dedup.exact_dedup(table.limit(0)).count() == 0 == exact_dedup.drop_exact_copies(table.limit(0)).count()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("salt_from", [0, graph.SALT_FROM])
+def test_components(spark, salt_from):
     rng = random.Random(5)
     pairs = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(200, i) for i in range(201, 260)] + [(7, 7)]
-    found = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    found = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(pairs, "u long, v long"), salt_from).collect()}
     nodes = {x for p in pairs if p[0] != p[1] for x in p}
     assert found == brute.components([p for p in pairs if p[0] != p[1]], nodes)
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
@@ -76,6 +79,7 @@ def test_links_join_all_close_prints(spark, crowded):
 
 def test_near_odd_rows(spark):
     table = docs(spark, [(None, "a b c"), (4, "a b c"), (4, "a b c"), (2, None), (9, " \n"), (8, "A B\tC")]).withColumn("print", F.lit(1)).withColumn("root", F.lit(1))
+    table = table.withColumn("__keep", F.lit(1)).withColumn("helper0", F.lit(1)).withColumn("n", F.lit(1))
     found = sorted((str(r["doc_id"]), r["fingerprint"], r["component_id"]) for r in simhash.near_dedup(table).collect())
     same, none = f"{brute.simhash('a b c'):016x}", "0" * 16
     assert found == [("2", none, 2), ("4", same, 4), ("4", same, 4), ("8", same, 4), ("9", none, 2), ("None", same, 4)]
@@ -159,5 +163,13 @@ def test_rewrite_leaves_the_rest(spark):
     assert left == {1: (rows[0][1], len(rows[0][1]), "en"), 2: (passage, len(passage), "en"), 3: ("a b c", 5, "en")}
 
 
+def test_most_rows_are_copies_of_one_text(spark):
+    """Two thirds of all rows are one text, a third of them empty: groups are whole, one row of each stays."""
+    rows = [(i, ["the same text here", "", f"own text number {i}"][i % 3]) for i in range(600)]
+    table = docs(spark, rows, 7)
+    assert by_id(exact_dedup.exact_dedup(table), "keep_id", "group_size", "kept", "text_sha256") == brute.exact(rows)
+    assert by_id(simhash.near_dedup(table), "fingerprint", "component_id") == brute.near(rows)
+
+
 def test_checkpoints_go_where_the_session_says(spark):
     assert checkpoint_dir(spark) in (spark.conf.get("spark.checkpoint.dir"), spark.sparkContext.getCheckpointDir())

@@ -316,6 +316,30 @@ def test_quality_on_held_out_rows(spark):
     assert quality_model.judge_quality(table.limit(0), marks.limit(0)).count() == 0
 
 
+def test_quality_against_brute_force(spark):
+    rng = random.Random(18)
+    texts = [prose(rng, rng.randrange(1, 80)) if i % 3 else prose(rng, 30).replace(" ", rng.choice(["$$$ ", "\n", " the the ", "! "])) for i in range(150)]
+    texts += ["", None, "Ünï 12:30 (a) \\ {x}\n\n a\na\r\n", "word " * 30_000, texts[0], texts[0]]
+    rows = list(enumerate(texts))
+    marks = [(i, int(i % 3 > 0)) for i in range(150)]
+    train = [(texts[i], c) for i, c in marks if zlib.crc32(str(i).encode()) % 5]
+    wanted = brute.quality_scores(train, texts, quality_model.SHRINK, quality_model.TEMPER, quality_model.FLOOR)
+    found = by_id(quality_model.judge_quality(docs(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int")), "score", "held_out")
+    for i, _ in rows:
+        assert math.isclose(found[i][0], wanted[i], abs_tol=1e-7) and found[i][1] == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_other_ids_and_columns(spark):
+    """String ids, other names, and columns that bear the operators' own names."""
+    rng = random.Random(28)
+    rows = [(f"k{i}", varied(rng, 20) if i % 2 else "buy!!! " * 20, i % 2, ["aa", "bb"][i % 2]) for i in range(60)]
+    table = spark.createDataFrame([(*r, 1, 2, 3, 4, 5) for r in rows], "key string, body string, good int, tongue string, id int, text int, n int, c_id int, score int")
+    got = quality_model.judge_quality(table, table.select("key", "good"), id_col="key", text_col="body", label_col="good").collect()
+    assert {r["key"]: r["predicted"] for r in got} == {r[0]: r[2] for r in rows}
+    got = langid.judge_language(table, id_col="key", text_col="body", lang_col="tongue").collect()
+    assert {r["key"]: r["lang_pred"] for r in got} == {r[0]: r[3] for r in rows}
+
+
 def test_discriminant_by_hand():
     """One class only, or none, still gives a model."""
     d = len(quality_model.STATISTICS)
@@ -342,6 +366,20 @@ def test_languages_on_held_out_rows(spark):
     assert langid.judge_language(table.limit(0)).count() == 0
 
 
+def test_languages_against_brute_force(spark):
+    rng = random.Random(19)
+    sounds = {"aa": ["ka", "no", "ri"], "bb": ["sch", "ung", "über"], "cc": ["при", "вет", "мир"]}
+    rows = [(i, " ".join("".join(rng.choices(sounds[lang], k=2)) for _ in range(6)), lang) for i in range(45) for lang in [list(sounds)[i % 3]]]
+    rows += [(100, "", "aa"), (101, None, "aa"), (102, "²", "aa"), (103, "½ Ⅷ ٣", "bb"), (104, "a", None), (105, "ªb", "bb"), (106, "नमस्ते दुनिया", "cc"), (107, "ka" * 9_000, "aa"), (107, "ka", "aa")]
+    train = [(t, lang) for i, t, lang in rows if lang and i != 107 and zlib.crc32(str(i).encode()) % 5]
+    wanted = brute.languages(train, [t for _, t, _ in rows], langid._letter_vector)
+    got = langid.judge_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(got) == len(rows)
+    for (i, _, _), (lang, score) in zip(rows, wanted, strict=True):
+        assert any(r["doc_id"] == i and r["lang_pred"] == lang and math.isclose(r["score"], score, abs_tol=1e-5) for r in got), i
+    assert [x[0] for x in wanted[45:49]] == ["und"] * 4
+
+
 def test_no_letters_share_a_vector():
     pairs = ["éç", "ñô", "üí", "ßù", "йі", "漢字", "かな", "אב"]
     p = langid.Profiles()
@@ -392,8 +430,8 @@ def check_packing(got, texts, window):
 
 def test_packing(spark):
     rows = corpus(6, 150)
-    for window, buckets in ((64, 3), (2048, 256)):
-        got = packing.pack(docs(spark, rows).withColumn("rank", F.lit(1)), window=window, buckets=buckets).collect()
+    for window, bucket_rows in ((64, 20), (2048, 100_000)):
+        got = packing.pack(docs(spark, rows).withColumn("rank", F.lit(1)), window=window, bucket_rows=bucket_rows).collect()
         share = check_packing(got, rows, window)
         assert share < 0.05
     table = docs(spark, [(1, "a"), (1, "a"), (2, None), (None, "b c")])
@@ -422,6 +460,34 @@ def test_plans_seat_every_piece_once(histogram):
 
 
 def test_repeat_counts_solve_the_system():
-    columns = [(20, 12), (16, 16), (10, 10, 12)]
-    x = packing.repeat_counts({20: 5, 12: 9, 16: 6, 10: 8}, columns, sweeps=400)
+    columns = np.array([(20, 12, 0), (16, 16, 0), (12, 10, 10)])
+    x = packing.repeat_counts({20: 5, 12: 9, 16: 6, 10: 8}, columns, tolerance=1e-9)
     assert [round(v, 2) for v in x] == [5, 3, 4]
+
+
+@pytest.mark.parametrize("window,seed", [(32, 1), (257, 2), (2048, 3)])
+def test_repeat_counts_are_optimal(window, seed):
+    """With production parameters: all columns are there, and no count would gain by moving (the conditions of an optimum)."""
+    rng = random.Random(seed)
+    histogram = {k: rng.randrange(100) for k in range(1, window) if rng.random() < 0.9}
+    columns = packing.combinations_filling(histogram, window)
+    if window < 300:
+        wanted = {(a, b, 0) for a in histogram for b in histogram if a >= b and a + b == window}
+        wanted |= {(a, b, window - a - b) for a in histogram for b in histogram if a >= b >= window - a - b > 0 and window - a - b in histogram}
+        assert sorted(wanted) == sorted(map(tuple, columns.tolist())) and len(wanted) == len(columns)
+    x = packing.repeat_counts(histogram, columns)
+    rest = np.zeros(window)
+    for k, v in histogram.items():
+        rest[k] = v
+    for row, count in zip(columns.tolist(), x.tolist(), strict=True):
+        for v in row:
+            rest[v] -= count * (v > 0)
+    gain = rest[columns].sum(axis=1) / packing.column_norms(columns)
+    assert (x >= 0).all() and (gain <= 0.051).all() and (np.abs(gain[x > 0.06]) <= 0.051).all()
+
+
+def test_one_length_in_most_pieces(spark):
+    """Most documents have one length; its pieces are ranked in many buckets and still get one place each."""
+    rows = [(i, "one two three" if i % 4 else f"w {i} " * (i % 9)) for i in range(400)]
+    got = packing.pack(docs(spark, rows, 5), window=64, bucket_rows=10).collect()
+    assert check_packing(got, rows, 64) < 0.1
