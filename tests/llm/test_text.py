@@ -48,6 +48,15 @@ def test_words_equal_the_library(text):
     assert codec.encode([text])[0] == struct.pack(f"<{len(ids)}I", *ids)
 
 
+def test_normaliser_settings_are_read_from_the_model():
+    model = open(MODEL, "rb").read()
+    assert pieces.only_marks(model)
+    settings = lambda number, *fields: bytes([number << 3 | 2, sum(map(len, fields))]) + b"".join(fields)
+    assert pieces.only_marks(settings(3, b"\x20\x00")) and not pieces.only_marks(b"")
+    assert not pieces.only_marks(model + settings(3, b"\x20\x01")) and not pieces.only_marks(settings(3, b"\x20\x00", b"\x12\x01x"))
+    assert not pieces.only_marks(settings(3, b"\x20\x00", b"\x18\x00")) and not pieces.only_marks(settings(3, b"\x20\x00") + settings(2, b"\xc0\x01\x01"))
+
+
 def test_tables_stay_small():
     small = pieces.Pieces(MODEL, table=50)
     words = packing.WordTokens(VOCABULARY, table=50)
@@ -203,12 +212,18 @@ def test_license_notices_with_edits(spark):
         (4, None),
         (5, "Apache"),
         (6, "Licensed under the Apache License, Version 2.0"),
+        (7, "licensed under the GNU general public licence version 3"),
+        (8, "x All rights reserved. y"),
+        (9, "all rights of ours reserved"),
+        (11, "licensed under the gnu affero general public license version 3, or licensed under cc by nc 4.0"),
+        (10, "word " * 60_000 + "licensed under cc by sa 4.0 " + "word " * 60_000),
     ]
     table = docs(spark, rows + [(6, rows[5][1]), (None, rows[5][1])]).withColumn("h", F.lit(1)).withColumn("hash", F.lit(1))
     got = license_scan.scan_licenses(table).collect()
     found = {r["doc_id"]: (r["base_labels"], r["labels"], r["n_base"]) for r in got}
     assert found[1] == ("", "gpl-3", 0) and found[2] == ("", "mit", 0) and found[3] == ("", "", 0) and found[4] == ("", "", 0) and found[5] == ("", "", 0)
-    assert found[6] == ("apache-2", "apache-2", 1) == found[None] and len(got) == 8
+    assert found[6] == ("apache-2", "apache-2", 1) == found[None] and len(got) == 13
+    assert [found[i][1] for i in (7, 8, 9, 10, 11)] == ["gpl-3", "all-rights-reserved", "", "cc-by-sa", "agpl-3,cc-by-nc"]
     assert all(0 <= r["score"] <= 1 for r in got)
     assert license_scan.scan_licenses(table.limit(0)).count() == 0
 

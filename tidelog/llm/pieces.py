@@ -5,8 +5,8 @@ front of a marker.  A text is cut there into marked words ("chunks"), each disti
 ids are joined back by position.  The table of known chunks lives in the Python worker, holds about `TABLE` chunks
 at most and drops those out of use, so memory is bounded while every chunk of a batch is still segmented once.
 
-`Pieces` checks the vocabulary when it loads; for a vocabulary with crossing pieces, or one that normalises texts, it
-falls back to segmenting whole texts.
+`Pieces` reads from the model file how it normalises and looks through its pieces when it loads; for a vocabulary with
+crossing pieces, or one that changes texts otherwise than by markers, it falls back to segmenting whole texts.
 """
 
 from __future__ import annotations
@@ -36,6 +36,47 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _fields(message: bytes) -> dict[int, list]:
+    """The fields of a serialised protocol buffer message by number: integers, or the bytes of everything else."""
+    out: dict[int, list] = {}
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = message[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(message):
+        tag = number()
+        if tag & 7 == 0:
+            value = number()
+        else:
+            size = {1: 8, 5: 4}.get(tag & 7) or number()
+            value, at = message[at : at + size], at + size
+        out.setdefault(tag >> 3, []).append(value)
+    return out
+
+
+def only_marks(model: bytes) -> bool:
+    """Whether a model changes a text only by writing markers for spaces, one more of them in front.
+
+    Fixed values: numbers of the published message format. The model's training settings are field 2 (24 there: markers
+    behind words), its normaliser's are field 3: 2 the character map, 3 a marker in front, 4 no repeated spaces, 5 markers for
+    spaces; 3 to 5 hold where they are not set.
+    """
+    fields = _fields(model)
+    training, normaliser = (_fields(fields[n][-1]) if n in fields else {} for n in (2, 3))
+    last = lambda settings, n, default: settings.get(n, [default])[-1]
+    plain = not last(normaliser, 2, b"") and last(normaliser, 3, 1) and not last(normaliser, 4, 1) and last(normaliser, 5, 1)
+    return bool(plain and not last(training, 24, 0))
+
+
 class Pieces:
     """Encoder and decoder for one model file; equal to the library's encode(text) and decode(ids)."""
 
@@ -44,8 +85,8 @@ class Pieces:
         self.table = Table(table)
         pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
         crosses = any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
-        probe = "  ab  cd \n e fﬁ "
-        self.by_chunk = not crosses and self.library.normalize(probe) == MARK + probe.replace(" ", MARK)
+        with open(model, "rb") as f:
+            self.by_chunk = not crosses and only_marks(f.read())
         self.ids_of = {p: i for i, p in enumerate(pieces)}
         self.is_byte = np.array([self.library.is_byte(i) for i in range(len(pieces))])
         self.newline, self.tab = self.ids_of.get("<0x0A>", -1), self.ids_of.get("<0x09>", -1)
@@ -96,8 +137,8 @@ def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
     """One row per input row: `id_col`, ids (array of int), decoded (string).
 
-    A null or empty text has no ids and decodes to the empty string.  Repeated rows give repeated results.  Other
-    columns are not read; an empty table gives an empty result.
+    A null or empty text has no ids and decodes to the empty string.  Very long texts are encoded whole.  Repeated rows
+    give repeated results.  Other columns are not read, so their names cannot clash; an empty table gives an empty result.
     """
     return _mapped(docs, id_col, text_col, model, digests=False)
 
