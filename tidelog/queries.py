@@ -6,8 +6,6 @@ merges), split into keyspaces, runs or with range deletes where an operator need
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +16,7 @@ from tidelog.operators import compaction, reads, state, stats, writes
 from tidelog.plans import resolve as plans
 from tidelog.schema import DEFAULT_CF, DELETE_RANGE
 from tidelog.sources import filenames
+from tidelog.sources.durable import scratch
 from tidelog.sources.store import Store
 from tidelog.streaming import ingest
 from tidelog.streaming.state import STORE_PROVIDER, Appender, Counter, Fields, keep_state
@@ -713,12 +712,6 @@ def parse_file_names(spark, sf_dir):
 # -- stores -------------------------------------------------------------------------------------------------------
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share: beside the session's checkpoints, or a temporary one without such."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/tidelog-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tidelog-")
-
-
 def filled_store(spark, sf_dir) -> tuple[Store, int]:
     """The event log committed in two batches, with a snapshot held in between; the store and the snapshot."""
     store = Store.open(spark, f"{scratch(spark)}/store")
