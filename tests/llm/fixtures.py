@@ -38,14 +38,14 @@ def varied(rng, n, vocabulary=4000):
     return " ".join(word(int(vocabulary * rng.random() ** 2)) + rng.choice(["", "", "", ".", ","]) for _ in range(n))
 
 
-def corpus(seed=1, n=60):
+def corpus(seed=1, n=60, words_of=prose):
     """(id, text) with copies, near copies, shared passages, white space of all kinds, empty, null and long texts."""
     rng = random.Random(seed)
-    passage = prose(rng, 35)
+    passage = words_of(rng, 35)
     rows = []
     for i in range(n):
         kind = rng.randrange(9)
-        text = prose(rng, rng.randrange(1, 160))
+        text = words_of(rng, rng.randrange(1, 160))
         if kind == 0 and rows:
             text = rng.choice(rows)[1] or ""
         elif kind == 1 and rows:
@@ -62,7 +62,7 @@ def corpus(seed=1, n=60):
             text = text + " " + text
         rows.append((i * 3 + 1, text))
     rows.append((n * 3 + 1, None))
-    rows.append((n * 3 + 2, prose(rng, 6000)))
+    rows.append((n * 3 + 2, words_of(rng, 6000)))
     rows.append((n * 3 + 3, "x" * 30_000))
     rows.append((n * 3 + 4, "a " * 3000))
     return rows

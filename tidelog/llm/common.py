@@ -7,24 +7,52 @@ executor can read, so a lost executor costs a re-read and not a recomputation fr
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.sources.durable import checkpoint_dir, durable
+from tidelog.sources.files import Files
 
-__all__ = ["LOWER", "UPPER", "WHITE", "Table", "checkpoint_dir", "documents", "durable", "durable_table", "free_names", "held_out", "hot_keys", "lower_ascii", "salted_join"]
+__all__ = ["LOWER", "UPPER", "WHITE", "Table", "checkpoint_dir", "documents", "drop_tables", "durable", "durable_table", "free_names", "held_out", "hot_keys", "lower_ascii", "salted_join", "tables_made"]
 
 #: One run of the white space that separates words; Java, DuckDB and Python read it alike.
 WHITE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def tables_made() -> Iterator[list[str]]:
+    """The paths that `durable_table` writes inside the block, in their order."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(token)
+
+
+def drop_tables(spark: SparkSession, paths: Iterable[str]) -> None:
+    files = Files(spark)
+    for path in paths:
+        files.delete(path)
+
+
 def durable_table(df: DataFrame) -> DataFrame:
-    """Like `durable`, but as compressed Parquet: for intermediates whose bytes follow the corpus."""
+    """Like `durable`, but as compressed Parquet: for intermediates whose bytes follow the corpus.
+
+    The table stays until `drop_tables`, or the clean-up of the shared folder.
+    """
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
