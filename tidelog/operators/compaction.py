@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidelog.functions.filters import CHANGE, REMOVE, SKIP, CompactionFilter
 from tidelog.functions.merge import MergeOperator, string_append
 from tidelog.plans.resolve import BROADCAST_RANGES, hide_ranges
-from tidelog.schema import DELETE, DELETE_RANGE, MERGE, PUT, SINGLE_DELETE
+from tidelog.schema import DEFAULT_CF, DELETE, DELETE_RANGE, MERGE, PUT, SINGLE_DELETE
 
 TRIGGER = 4
 
@@ -30,15 +30,26 @@ def pick_oldest(n_runs: int, trigger: int = TRIGGER, batch: int | None = None) -
 def pick(runs: Sequence[dict], triggers: dict[str, int] | None = None) -> dict | None:
     """The first keyspace (by name) with enough level-0 runs: all of those and the level-1 runs they overlap."""
     for cf in sorted({r["cf"] for r in runs}):
-        own = [r for r in runs if r["cf"] == cf]
-        fresh = [r for r in own if r["level"] == 0]
+        fresh = [r for r in runs if r["cf"] == cf and r["level"] == 0]
         if fresh and len(fresh) >= (triggers or {}).get(cf, TRIGGER):
-            lo, hi = min(bytes(r["smallest_key"]) for r in fresh), max(bytes(r["largest_key"]) for r in fresh)
-            below = [r for r in own if r["level"] == 1 and bytes(r["largest_key"]) >= lo and bytes(r["smallest_key"]) <= hi]
-            return {"cf": cf, "runs": [r["run_id"] for r in fresh + below]}
+            return {"cf": cf, "runs": [r["run_id"] for r in with_overlaps([r for r in runs if r["cf"] == cf])]}
     return None
 
 
+def with_overlaps(runs: Sequence[dict]) -> list[dict]:
+    """Of one keyspace's runs those of level 0 and the level-1 runs whose keys they overlap."""
+    fresh = [r for r in runs if r["level"] == 0]
+    return [*fresh, *(r for r in runs if r["level"] > 0 and overlaps(r, fresh))]
+
+
+def overlaps(run: dict, others: Sequence[dict]) -> bool:
+    """Whether a run's keys lie between the smallest and the largest of `others`."""
+    if not others:
+        return False
+    lo, hi = min(bytes(r["smallest_key"]) for r in others), max(bytes(r["largest_key"]) for r in others)
+    return bytes(run["largest_key"]) >= lo and bytes(run["smallest_key"]) <= hi
+
+
 def overlapping(runs: DataFrame) -> DataFrame:
     """The level-1 runs that some level-0 run of their keyspace overlaps: cf, run_id."""
     fresh = runs.where("level = 0").groupBy("cf").agg(F.min("smallest_key").alias("lo"), F.max("largest_key").alias("hi"))
@@ -46,8 +57,13 @@ def overlapping(runs: DataFrame) -> DataFrame:
 
 
 def covered_runs(runs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Runs that lie wholly inside one of the half-open `ranges` (begin, end): what a file-level range drop deletes."""
-    inside = (F.col("smallest_key") >= F.col("begin")) & (F.col("largest_key") < F.col("end"))
+    """Runs that lie wholly inside one of the half-open `ranges` (cf, begin, end) of their keyspace: what a file-level range drop deletes.
+
+    Ranges without a column cf are those of the default keyspace.
+    """
+    named = ranges if "cf" in ranges.columns else ranges.withColumn("cf", F.lit(DEFAULT_CF))
+    ranges = named.select(F.col("cf").alias("r_cf"), "begin", "end")
+    inside = (F.col("cf") == F.col("r_cf")) & (F.col("smallest_key") >= F.col("begin")) & (F.col("largest_key") < F.col("end"))
     few = ranges.limit(BROADCAST_RANGES + 1).count() <= BROADCAST_RANGES
     return runs.join(F.broadcast(ranges) if few else ranges, inside, "left_semi")
 
@@ -78,7 +94,8 @@ def compact(
     The snapshots cut the sequence numbers into bands; reads can only stand at a band's upper end.  Within a band
     the newest barrier hides what is below it and the operands above it are folded, onto a put where there is
     one.  If `bottom` (no older runs exist) the lowest band loses its deletes and turns chains without a base
-    into puts.  Filters see what is left of the lowest band only, and above it when there are no snapshots.
+    into puts.  Filters see folded values of the highest band only, which no snapshot reads; where an older record of the
+    key may be left below, what they remove becomes a delete.
     """
     merge = merge or string_append()
     points = log.where(F.col("op") != DELETE_RANGE).select("cf", "key", "seq", "op", "value", "ts")
@@ -110,9 +127,8 @@ def compact(
     out = F.when(chain & (based | lowest), F.array(folded)).when(chain, kept_ops).otherwise(F.array(whole))
     rows = state.select("cf", "key", "band", F.explode(out).alias("r")).select("cf", "key", "band", "r.seq", "r.op", "r.value", "r.ts")
     top = len(set(snapshots))
-    reach = F.col("band") == 0
     for f in filters:
-        rows = _filtered(rows, f, reach)
+        rows = _filtered(rows, f, F.col("band") == top, whole=bottom and not top)
     if bottom:
         rows = rows.where(~((F.col("band") == 0) & F.col("op").isin(DELETE, SINGLE_DELETE)))
     rows = rows.select("cf", "key", "seq", "op", "value", "ts", F.lit(None).cast("binary").alias("end_key"))
@@ -125,21 +141,34 @@ def compact(
     return rows
 
 
-def _filtered(rows: DataFrame, f: CompactionFilter, reach) -> DataFrame:
-    """`rows` after one filter.  It decides on the newest put of a key within `reach`, a folded value in any case."""
+def _filtered(rows: DataFrame, f: CompactionFilter, reach, whole: bool) -> DataFrame:
+    """`rows` after one filter.  It decides on the newest put of a key within `reach`, a folded value in any case.
+
+    What it removes is gone if `rows` are the `whole` history of their keys, and else is a delete over what is below.
+    """
     asked = reach & (F.col("op") == PUT)
     decided = rows.withColumn("decision", F.when(asked, f.decide(F.col("key"), F.col("value"), F.col("ts"))))
     if f.change is not None:
         changed = F.when(F.col("decision") == CHANGE, f.change(F.col("key"), F.col("value"), F.col("ts"))).otherwise(F.col("value"))
         decided = decided.withColumn("value", changed)
     if f.skip_until is not None:
-        # each skip removes its key and all up to the bound: the same as a range that covers them
+        # each skip removes the puts from its key up to the bound: as a range over what the filter sees
         skips = decided.where(F.col("decision") == SKIP).select(
-            "cf", "key", f.skip_until(F.col("key"), F.col("value")).alias("end_key"), (F.col("seq") + (1 << 60)).alias("seq")
+            "cf", "key", f.skip_until(F.col("key"), F.col("value")).alias("end_key"), F.lit(1 << 60).alias("seq")
         )
-        low, rest = decided.where(reach & (F.col("decision") != SKIP)), decided.where(~reach)
-        decided = hide_ranges(low, skips).unionByName(rest)
-    return decided.where(F.coalesce(F.col("decision") != REMOVE, F.lit(True))).drop("decision")
+        seen = F.coalesce(asked, F.lit(False))
+        left = hide_ranges(decided.where(seen), skips)
+        if whole:
+            decided = left.unionByName(decided.where(~seen))
+        else:
+            stay = left.select("cf", "key", "band").withColumn("stays", F.lit(True))
+            marked = decided.join(stay, ["cf", "key", "band"], "left")
+            decided = marked.withColumn("decision", F.when(seen & F.col("stays").isNull(), REMOVE).otherwise(F.col("decision"))).drop("stays")
+    gone = F.coalesce(F.col("decision").isin(REMOVE, SKIP), F.lit(False))
+    if whole:
+        return decided.where(~gone).drop("decision")
+    null = lambda c: F.when(~gone, F.col(c))
+    return decided.withColumn("op", F.when(gone, DELETE).otherwise(F.col("op"))).withColumn("value", null("value")).drop("decision")
 
 
 def ttl_view(state: DataFrame, f: CompactionFilter) -> DataFrame:

@@ -7,47 +7,59 @@ since their own key is not the key that they hide.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions.keys import binary, has_prefix, in_range
 from tidelog.functions.merge import MergeOperator
-from tidelog.plans.resolve import resolve, running, visible
+from tidelog.operators.writes import numbered
+from tidelog.plans.resolve import resolve, states_at, visible
 from tidelog.schema import DEFAULT_CF, DELETE_RANGE, InvalidArgument
-from tidelog.sources.durable import durable
 
 #: Up to so many requested keys become an IN list, which is pushed down; more are joined.
 IN_LIST = 200
 
 
-def _at(log: DataFrame, cf: str | None, keys, read_seq, merge, last_seq) -> DataFrame:
+class Known(NamedTuple):
+    """What is known of a log before it is read, such as from a store's manifest; plans leave out what is not there."""
+
+    has_merges: bool = True
+    has_ranges: bool = True
+
+
+def _at(log: DataFrame, cf: str | None, keys, read_seq, merge, last_seq, known: Known = Known()) -> DataFrame:  # noqa: B008
     """Resolve the part of `log` that `keys` (a predicate, or None) selects in keyspace `cf` (None: all)."""
     own = log if cf is None else log.where(F.col("cf") == cf)
     ranges = own.where(F.col("op") == DELETE_RANGE)
     points = own.where(F.col("op") != DELETE_RANGE)
-    return resolve(points if keys is None else points.where(keys), read_seq, merge, ranges, last_seq=last_seq)
+    return resolve(points if keys is None else points.where(keys), read_seq, merge, ranges, known.has_merges, last_seq, known.has_ranges)
 
 
-def scan(log: DataFrame, cf: str | None = DEFAULT_CF, read_seq: int | None = None, merge: MergeOperator | None = None, last_seq: int | None = None) -> DataFrame:
+def scan(log: DataFrame, cf: str | None = DEFAULT_CF, read_seq: int | None = None, merge: MergeOperator | None = None, last_seq: int | None = None, known: Known = Known()) -> DataFrame:  # noqa: B008
     """All live keys of a keyspace, or of all keyspaces for None.  Unordered; sort where an order is wanted."""
-    return _at(log, cf, None, read_seq, merge, last_seq)
+    return _at(log, cf, None, read_seq, merge, last_seq, known)
 
 
-def get(log: DataFrame, key: bytes, cf: str = DEFAULT_CF, read_seq: int | None = None, merge: MergeOperator | None = None, last_seq: int | None = None) -> DataFrame:
+def get(log: DataFrame, key: bytes, cf: str = DEFAULT_CF, read_seq: int | None = None, merge: MergeOperator | None = None, last_seq: int | None = None, known: Known = Known()) -> DataFrame:  # noqa: B008
     """No row, or the key's one."""
-    return _at(log, cf, F.col("key") == binary(key), read_seq, merge, last_seq)
+    return _at(log, cf, F.col("key") == binary(key), read_seq, merge, last_seq, known)
 
 
 def range_scan(
-    log: DataFrame, lower: bytes | None, upper: bytes | None, cf: str = DEFAULT_CF, read_seq: int | None = None, merge: MergeOperator | None = None
-) -> DataFrame:
+    log: DataFrame, lower: bytes | None, upper: bytes | None, cf: str = DEFAULT_CF, read_seq: int | None = None, merge: MergeOperator | None = None,
+    last_seq: int | None = None, known: Known = Known(),  # noqa: B008
+) -> DataFrame:
     """Live keys with lower <= key < upper."""
-    return _at(log, cf, in_range(F.col("key"), lower, upper), read_seq, merge, None)
+    return _at(log, cf, in_range(F.col("key"), lower, upper), read_seq, merge, last_seq, known)
 
 
-def prefix_scan(log: DataFrame, prefix: bytes, cf: str = DEFAULT_CF, read_seq: int | None = None, merge: MergeOperator | None = None) -> DataFrame:
-    return _at(log, cf, has_prefix(F.col("key"), prefix), read_seq, merge, None)
+def prefix_scan(
+    log: DataFrame, prefix: bytes, cf: str = DEFAULT_CF, read_seq: int | None = None, merge: MergeOperator | None = None,
+    last_seq: int | None = None, known: Known = Known(),  # noqa: B008
+) -> DataFrame:
+    return _at(log, cf, has_prefix(F.col("key"), prefix), read_seq, merge, last_seq, known)
 
 
 def multi_get(
@@ -57,6 +69,7 @@ def multi_get(
     read_seq: int | None = None,
     merge: MergeOperator | None = None,
     last_seq: int | None = None,
+    known: Known = Known(),  # noqa: B008
 ) -> DataFrame:
     """pos, key, value for each requested key, in the order of pos: one row per request, value null where absent.
 
@@ -68,13 +81,13 @@ def multi_get(
         asked = keys.select("pos", "key")
         own = log.where(F.col("cf") == cf)
         points = own.where(F.col("op") != DELETE_RANGE).join(asked.select("key").distinct(), "key", "left_semi")
-        found = resolve(points, read_seq, merge, own.where(F.col("op") == DELETE_RANGE), last_seq=last_seq)
+        found = resolve(points, read_seq, merge, own.where(F.col("op") == DELETE_RANGE), known.has_merges, last_seq, known.has_ranges)
     else:
         asked = spark.createDataFrame([(i, bytearray(k)) for i, k in enumerate(keys)], "pos int, key binary")
         if len(keys) > IN_LIST:
-            return multi_get(log, asked, cf, read_seq, merge, last_seq)
+            return multi_get(log, asked, cf, read_seq, merge, last_seq, known)
         wanted = F.col("key").isin([binary(k) for k in set(keys)]) if keys else F.lit(False)
-        found = _at(log, cf, wanted, read_seq, merge, last_seq)
+        found = _at(log, cf, wanted, read_seq, merge, last_seq, known)
     value = found.select(F.col("key").alias("f_key"), "value")
     return asked.join(value, F.col("key") == F.col("f_key"), "left").select("pos", "key", "value")
 
@@ -124,18 +137,8 @@ def chunks(state: DataFrame, n: int = 1024):
 
 
 def numbered_chunks(state: DataFrame, n: int) -> DataFrame:
-    """`state` with the number of the chunk of `n` rows in key order that each row falls into.
-
-    Rows are numbered by a count per range partition and a place within it, not by one global window.
-    """
-    ordered = state.repartitionByRange("key").withColumn("__part", F.spark_partition_id())
-    # read twice below, and a second sampling of the ranges might cut them elsewhere: so it is kept
-    placed = durable(ordered.withColumn("__place", F.row_number().over(Window.partitionBy("__part").orderBy("key")) - 1))
-    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))  # one row per partition
-    running = F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    before = sizes.select("__part", F.coalesce(running, F.lit(0)).alias("__before"))
-    numbered = placed.join(F.broadcast(before), "__part")
-    return numbered.withColumn("chunk", F.floor((F.col("__before") + F.col("__place")) / n).cast("long")).drop("__part", "__place", "__before")
+    """`state` with the number of the chunk of `n` rows in key order that each row falls into."""
+    return numbered(state, ["key"], "chunk").withColumn("chunk", F.floor(F.col("chunk") / n).cast("long"))
 
 
 def all_versions(log: DataFrame, read_seq: int | None = None) -> DataFrame:
@@ -147,27 +150,24 @@ def all_versions(log: DataFrame, read_seq: int | None = None) -> DataFrame:
 def as_of(probes: DataFrame, log: DataFrame, merge: MergeOperator | None = None) -> DataFrame:
     """Each probe (probe_id, key, at) with its key's value at sequence `at`; null where absent.
 
-    The log is cut to the probed keys, the state after each record gets the interval in which it holds, and a
-    probe meets the one interval that it falls into by an equi-join on the key.
+    The log is cut to the probed keys, and folded only where a probe asks.
     """
-    keys = probes.select("key").distinct()
+    asked = probes.select("key", "at").distinct()
     ranges = log.where(F.col("op") == DELETE_RANGE)
-    own = log.where(F.col("op") != DELETE_RANGE).join(keys, "key", "left_semi").select(*log.columns)
-    states = running(own.unionByName(ranges), merge)
-    along = Window.partitionBy("cf", "key").orderBy("seq")
-    spans = states.withColumn("until", F.lead("seq").over(along)).select(F.col("key").alias("s_key"), "seq", "until", "value")
-    holds = (F.col("key") == F.col("s_key")) & (F.col("seq") <= F.col("at")) & (F.col("until").isNull() | (F.col("at") < F.col("until")))
-    return probes.join(spans, holds, "left").select("probe_id", "key", "at", "value")
+    own = log.where(F.col("op") != DELETE_RANGE).join(asked.select("key").distinct(), "key", "left_semi").select(*log.columns)
+    places = own.select("cf", "key").distinct().join(asked, "key")
+    found = states_at(own.unionByName(ranges), places, merge).select(F.col("key").alias("s_key"), F.col("at").alias("s_at"), "value")
+    return probes.join(found, (F.col("key") == F.col("s_key")) & (F.col("at") == F.col("s_at")), "left").select("probe_id", "key", "at", "value")
 
 
 def multi_snapshot(log: DataFrame, snapshots: Sequence[int], merge: MergeOperator | None = None) -> DataFrame:
-    """State at each of a few snapshots in one pass over the log: snapshot, key, value."""
-    states = running(log, merge)
-    along = Window.partitionBy("cf", "key").orderBy("seq")
-    spans = states.withColumn("until", F.lead("seq").over(along))
-    holds = F.filter(F.array(*[F.lit(s).cast("long") for s in snapshots]), lambda s: (F.col("seq") <= s) & (F.col("until").isNull() | (s < F.col("until"))))
-    each = spans.withColumn("snapshot", F.explode(holds))
-    return each.where(F.col("value").isNotNull()).select("cf", "snapshot", "key", "value")
+    """State at each of a few snapshots in one pass over the log: snapshot, key, value.
+
+    Each key is folded once per snapshot, not once per record.
+    """
+    points = log.where(F.col("op") != DELETE_RANGE).select("cf", "key").distinct()
+    asked = points.withColumn("at", F.explode(F.array(*[F.lit(int(s)).cast("long") for s in sorted(set(snapshots))]).cast("array<bigint>")))
+    return states_at(log, asked, merge).where(F.col("value").isNotNull()).select("cf", F.col("at").alias("snapshot"), "key", "value")
 
 
 def pack_chunk(rows: DataFrame, by: str) -> DataFrame:
@@ -175,7 +175,7 @@ def pack_chunk(rows: DataFrame, by: str) -> DataFrame:
     u32 = lambda c: F.unhex(F.lpad(F.hex(c.cast("long")), 8, "0"))
     pair = F.concat(u32(F.octet_length("key")), F.col("key"), u32(F.octet_length("value")), F.col("value"))
     listed = rows.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("key", pair.alias("pair")))).alias("pairs"))
-    joined = F.aggregate("pairs", F.lit(bytearray(b"")), lambda acc, x: F.concat(acc, x.pair))
+    joined = F.unhex(F.array_join(F.transform("pairs", lambda x: F.hex(x.pair)), ""))  # one pass over the pairs
     return listed.select(by, F.concat(u32(F.size("pairs")), joined).alias("packed"))
 
 

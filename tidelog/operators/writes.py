@@ -104,20 +104,31 @@ def replay_counts(log: DataFrame) -> DataFrame:
     return log.groupBy("batch_id", "op").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("n_bytes"))
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """`rows` with their place, from 0 on, in the order of the columns `order`, as the column `name`.
+
+    Rows are sorted into ranges by one shuffle; a row's place is its place within its range plus the sizes of the
+    ranges before.  Of equal rows any order may come.
+    """
+    spot = f"{name}_spot"
+    sorted_ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # kept, since it is read twice below, and a second sampling of the ranges might cut them elsewhere
+    placed = durable(sorted_ranges.withColumn(spot, F.monotonically_increasing_id()))
+    part = F.shiftright(spot, 33).alias("part")  # the id's documented form: the partition above 33 bits, the row below
+    sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias("size"))  # one row per range
+    running = F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.broadcast(sizes.select(F.col("part").alias(f"{spot}_part"), F.coalesce(running, F.lit(0)).alias(f"{spot}_before")))
+    found = placed.join(before, F.shiftright(spot, 33) == F.col(f"{spot}_part"))
+    place = F.col(f"{spot}_before") + F.col(spot).bitwiseAND(F.lit((1 << 33) - 1))
+    return found.withColumn(name, place.cast("long")).drop(spot, f"{spot}_part", f"{spot}_before")
+
+
 def assign_sequence(records: DataFrame, order: list[str], last_seq: int = 0) -> DataFrame:
-    """`records` with seq = last_seq + 1, 2, ... in the order of the columns `order`.
+    """`records` with seq = last_seq + 1, 2, ... in the order of the columns `order`, which should order them totally.
 
-    Records are sorted into ranges, counted per range, and numbered within; a global window in one task is avoided.
-    The columns must order the records totally, so that a recomputed range holds the same rows.
+    An own seq may be part of the order; it is replaced.
     """
     if not order:
         raise InvalidArgument("records need an order to be numbered")
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    ordered = records.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    # read twice below, and a second sampling of the ranges might cut them elsewhere: so it is kept
-    placed = durable(ordered.withColumn("__place", inside))
-    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))  # one row per range
-    running = F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    before = sizes.select("__part", F.coalesce(running, F.lit(0)).alias("__before"))
-    numbered = placed.join(F.broadcast(before), "__part")
-    return numbered.withColumn("seq", (F.lit(last_seq) + F.col("__before") + F.col("__place")).cast("long")).drop("__part", "__before", "__place")
+    found = numbered(records, order, "new_seq")
+    return found.drop("seq").withColumnRenamed("new_seq", "seq").withColumn("seq", F.col("seq") + F.lit(last_seq + 1))

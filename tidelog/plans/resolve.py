@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from tidelog.functions.merge import MergeOperator, string_append
 from tidelog.schema import DELETE, DELETE_RANGE, MERGE, PUT, InvalidArgument
 
-#: Up to so many range deletes are broadcast; beyond that they meet the records by key prefix.
+#: Up to so many range deletes are broadcast; beyond that they meet the records by key.
 BROADCAST_RANGES = 5_000
-#: Key bytes that make a bucket where range deletes are not broadcast.
-BUCKET_BYTES = 2
+#: Beyond that, the ends of so many ranges cut the keys into intervals.
+CUTS = 4_096
 
 
 def visible(log: DataFrame, read_seq: int | None = None, last_seq: int | None = None) -> DataFrame:
@@ -29,9 +29,21 @@ def visible(log: DataFrame, read_seq: int | None = None, last_seq: int | None =
     return log.where(F.col("seq") <= read_seq)
 
 
-def _bucket(key: Column) -> Column:
-    """The key's first bytes as a number, short keys padded with zeros: monotonic in the key."""
-    return F.conv(F.rpad(F.hex(F.substring(key, 1, BUCKET_BYTES)), 2 * BUCKET_BYTES, "0"), 16, 10).cast("int")
+def _cuts(ranges: DataFrame) -> list[bytes]:
+    """Up to `CUTS` of the ranges' ends, spread evenly over them in key order, from all of them; a bounded list."""
+    ends = ranges.select(F.explode(F.array("r_lo", "r_hi")).alias("k")).distinct()
+    tile = F.ntile(CUTS // 64).over(Window.partitionBy("part").orderBy("k"))
+    parts = ends.repartitionByRange(64, "k").withColumn("part", F.spark_partition_id()).withColumn("tile", tile)
+    found = parts.groupBy("part", "tile").agg(F.min("k").alias("k")).select("k").collect()
+    return sorted(bytes(r["k"]) for r in found)
+
+
+def _interval(key: Column, cuts: list[bytes]) -> Column:
+    """How many of the sorted `cuts` are at or below the key: by halving, in the JVM."""
+    array = F.array(*[F.lit(bytearray(c)) for c in cuts])
+    steps = F.array(*[F.lit(1 << i) for i in range(len(cuts).bit_length() - 1, -1, -1)])
+    # the largest n with cuts[n - 1] <= key, built from its highest bit down
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when((n + step <= len(cuts)) & (F.get(array, n + step - 1) <= key), n + step).otherwise(n))
 
 
 def hide_ranges(points: DataFrame, ranges: DataFrame, broadcast_ranges: int = BROADCAST_RANGES, within: Column | None = None) -> DataFrame:
@@ -39,8 +51,8 @@ def hide_ranges(points: DataFrame, ranges: DataFrame, broadcast_ranges: int = BR
 
     `within` may narrow the match by a further condition on seq and r_seq.
 
-    The number of ranges is checked first.  A few are broadcast.  Many are spread over the buckets of key
-    prefixes that they touch (65,536 at most) and joined by (cf, bucket), which shuffles both sides.
+    The number of ranges is checked first.  A few are broadcast.  Many are cut at some of their own ends into
+    intervals of the key space that hold about as many ends each, wherever the keys lie, and joined by (cf, interval).
     """
     distinct = ranges.where("key < end_key").select("cf", "key", "end_key", "seq")
     if within is None:
@@ -53,9 +65,15 @@ def hide_ranges(points: DataFrame, ranges: DataFrame, broadcast_ranges: int = BR
         return points
     if n <= broadcast_ranges:
         return points.join(F.broadcast(r), hides, "left_anti")
-    spread = r.withColumn("r_bucket", F.explode(F.sequence(_bucket(F.col("r_lo")), _bucket(F.col("r_hi")))))
-    filed = points.withColumn("bucket", _bucket(F.col("key")))
-    return filed.join(spread, (F.col("bucket") == F.col("r_bucket")) & hides, "left_anti").drop("bucket")
+    filed, spread = _filed(points, r)
+    return filed.join(spread, (F.col("interval") == F.col("r_interval")) & hides, "left_anti").drop("interval")
+
+
+def _filed(points: DataFrame, r: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`points` with their interval, and the ranges with each one that they touch."""
+    cuts = _cuts(r)
+    spread = r.withColumn("r_interval", F.explode(F.sequence(_interval(F.col("r_lo"), cuts), _interval(F.col("r_hi"), cuts))))
+    return points.withColumn("interval", _interval(F.col("key"), cuts)), spread
 
 
 def resolve(
@@ -65,17 +83,20 @@ def resolve(
     ranges: DataFrame | None = None,
     has_merges: bool = True,
     last_seq: int | None = None,
+    has_ranges: bool = True,
 ) -> DataFrame:
     """Current state at `read_seq`: cf, key, value, seq (of the newest record that counts), n_operands.
 
     `ranges` are the range deletes to apply, by default those in `log` itself; pass them if the log was filtered by
-    key.  Set `has_merges` to False where a log is known to hold no merge records: operands are then not gathered.
+    key.  Set `has_merges` to False where a log is known to hold no merge records: operands are then not gathered.  Set
+    `has_ranges` to False where no range deletes are known to be: they are then neither counted nor joined.
     An empty value is a value; keys whose newest barrier is a delete and that have no operand are absent.
     """
     merge = merge or string_append()
     seen = visible(log, read_seq, last_seq)
-    tombs = visible(ranges, read_seq) if ranges is not None else seen.where(F.col("op") == DELETE_RANGE)
-    points = hide_ranges(seen.where(F.col("op") != DELETE_RANGE).select("cf", "key", "op", "seq", "value"), tombs)
+    points = seen.where(F.col("op") != DELETE_RANGE).select("cf", "key", "op", "seq", "value")
+    if has_ranges:
+        points = hide_ranges(points, visible(ranges, read_seq) if ranges is not None else seen.where(F.col("op") == DELETE_RANGE))
     if not has_merges:
         last = points.groupBy("cf", "key").agg(F.max_by(F.struct("op", "value"), "seq").alias("b"), F.max("seq").alias("seq"))
         return last.where(F.col("b.op") == PUT).select("cf", "key", "b.value", "seq", F.lit(0).alias("n_operands"))
@@ -132,8 +153,8 @@ def spell_out_ranges(log: DataFrame) -> DataFrame:
     if n <= BROADCAST_RANGES:
         gone = first.join(F.broadcast(ranges), hit)
     else:
-        spread = ranges.where("r_lo < r_hi").withColumn("r_bucket", F.explode(F.sequence(_bucket(F.col("r_lo")), _bucket(F.col("r_hi")))))
-        gone = first.withColumn("bucket", _bucket(F.col("key"))).join(spread, (F.col("bucket") == F.col("r_bucket")) & hit)
+        filed, spread = _filed(first, ranges.where("r_lo < r_hi"))
+        gone = filed.join(spread, (F.col("interval") == F.col("r_interval")) & hit)
     deletes = gone.select("cf", "key", F.col("r_seq").alias("seq"), F.lit(DELETE).alias("op"), F.lit(None).cast("binary").alias("value"))
     return points.unionByName(deletes)
 
@@ -145,17 +166,65 @@ def intervals(log: DataFrame) -> DataFrame:
     return points.select("cf", "key", "op", "value", "seq", F.lead("seq").over(along).alias("next_seq"))
 
 
+def operands(log: DataFrame, read_seq: int | None = None) -> DataFrame:
+    """cf, key, base (null without one) and operands (oldest first) of each key that has operands above its newest barrier."""
+    seen = visible(log, read_seq)
+    points = hide_ranges(seen.where(F.col("op") != DELETE_RANGE).select("cf", "key", "op", "seq", "value"), seen.where(F.col("op") == DELETE_RANGE))
+    is_merge = F.col("op") == MERGE
+    state = points.groupBy("cf", "key").agg(
+        F.max_by(F.when(~is_merge, F.struct("op", "value", "seq")), F.when(~is_merge, F.col("seq"))).alias("b"),
+        F.collect_list(F.when(is_merge, F.struct("seq", "value"))).alias("all"),
+    )
+    above = F.sort_array(F.filter("all", lambda x: x.seq > F.coalesce(F.col("b.seq"), F.lit(-1))))
+    found = state.select("cf", "key", F.when(F.col("b.op") == PUT, F.col("b.value")).alias("base"), F.transform(above, lambda x: x.value).alias("operands"))
+    return found.where(F.size("operands") > 0)
+
+
+def _runs_of(log: DataFrame) -> DataFrame:
+    """The log's puts, deletes and merges with run, which counts their key's barriers up to them."""
+    along = Window.partitionBy("cf", "key").orderBy("seq")
+    return spell_out_ranges(log).withColumn("run", F.sum((F.col("op") != MERGE).cast("long")).over(along))
+
+
 def running(log: DataFrame, merge: MergeOperator | None = None) -> DataFrame:
     """State after each record: cf, key, seq, op, value (null where the key is absent).
 
-    A barrier starts a new run; operands gather within their run.
+    A barrier starts a new run.  Operators that combine in any grouping are aggregated along the run; for the others
+    each record holds its run's operands up to itself, so the output of a run grows with the square of its length, as its
+    values do.
     """
     merge = merge or string_append()
-    along = Window.partitionBy("cf", "key").orderBy("seq")
-    points = spell_out_ranges(log).withColumn("run", F.sum((F.col("op") != MERGE).cast("long")).over(along))
     in_run = Window.partitionBy("cf", "key", "run").orderBy("seq")
     base = F.first(F.when(F.col("op") == PUT, F.col("value"))).over(in_run)
-    operands = F.collect_list(F.when(F.col("op") == MERGE, F.col("value"))).over(in_run)
-    points = points.withColumn("base", base).withColumn("operands", operands)
+    operand = F.when(F.col("op") == MERGE, F.col("value"))
+    if merge.combine is not None:
+        points = _runs_of(log).withColumn("base", base).withColumn("total", merge.combine(operand).over(in_run)).withColumn("n", F.count(operand).over(in_run))
+        return points.select("cf", "key", "seq", "op", F.when(F.col("n") > 0, merge.finish(F.col("base"), F.col("total"))).otherwise(F.col("base")).alias("value"))
+    points = _runs_of(log).withColumn("base", base).withColumn("operands", F.collect_list(operand).over(in_run))
     value = F.when(F.size("operands") > 0, merge.fold(F.col("base"), F.col("operands"))).otherwise(F.col("base"))
     return points.select("cf", "key", "seq", "op", value.alias("value"))
+
+
+def states_at(log: DataFrame, at: DataFrame, merge: MergeOperator | None = None) -> DataFrame:
+    """The state at some places of a key's history only: cf, key, at, value (null where absent), for distinct (cf, key, at) asked.
+
+    Records and places are sorted along their key once; a place that asks becomes a row among the records, takes the number
+    of its run, and meets the run's operands, which are gathered once per run and folded up to the place.
+    """
+    merge = merge or string_append()
+    none = lambda kind: F.lit(None).cast(kind)
+    points = spell_out_ranges(log).select("cf", "key", "seq", "op", "value", F.lit(0).alias("asks"))
+    asked = at.select("cf", "key", F.col("at").alias("seq"), none("string").alias("op"), none("binary").alias("value"), F.lit(1).alias("asks"))
+    along = Window.partitionBy("cf", "key").orderBy("seq", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    barrier = F.when(F.col("op") != MERGE, F.struct("seq", "op", "value"))
+    rows = points.unionByName(asked).withColumn("b", F.last(barrier, True).over(along)).withColumn("run", F.coalesce(F.col("b.seq"), F.lit(-1)))
+    operand = F.when(F.col("op") == MERGE, F.struct("seq", "value"))
+    runs = rows.groupBy("cf", "key", "run").agg(
+        F.first("b").alias("b"),
+        F.sort_array(F.collect_list(operand)).alias("all"),
+        F.collect_list(F.when(F.col("asks") == 1, F.col("seq"))).alias("ats"),
+    )
+    each = runs.where(F.size("ats") > 0).withColumn("at", F.explode("ats"))
+    each = each.withColumn("ops", F.transform(F.filter("all", lambda x: x.seq <= F.col("at")), lambda x: x.value))
+    base = F.when(F.col("b.op") == PUT, F.col("b.value"))
+    return each.select("cf", "key", "at", F.when(F.size("ops") > 0, merge.fold(base, F.col("ops"))).otherwise(base).alias("value"))

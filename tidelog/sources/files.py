@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import SparkSession
 
 
 class Files:
     def __init__(self, spark: SparkSession):
-        self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        # a classic session's handles: the Python API has no files of its own, so a remote session cannot open a store
+        self._jvm, self._conf, self._gateway = spark._jvm, spark._jsc.hadoopConfiguration(), spark.sparkContext._gateway
 
     def _at(self, path: str):
         p = self._jvm.org.apache.hadoop.fs.Path(path)
@@ -42,20 +46,49 @@ class Files:
             stream.close()
 
     def create(self, path: str, text: str) -> bool:
-        """Write a new file; False if it exists, so that of two writers one wins."""
+        """Write a new file whole or not at all; False if it exists, so that of two writers one wins.
+
+        The text is written aside and then takes its name without replacing another: by a hard link on this machine's
+        own file system, elsewhere by a rename that refuses to overwrite.
+        """
         fs, p = self._at(path)
-        try:
-            stream = fs.create(p, False)
-        except Exception as e:  # the gateway wraps FileAlreadyExistsException
-            if "AlreadyExists" in str(e):
+        aside = f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}"
+        if fs.getUri().getScheme() == "file":
+            local = lambda at: self._jvm.org.apache.hadoop.fs.Path(at).toUri().getPath()
+            try:
+                with open(local(aside), "w", encoding="utf-8") as f:
+                    f.write(text)
+                    f.flush()
+                    os.fsync(f.fileno())
+                os.link(local(aside), local(path))
+            except FileExistsError:
                 return False
-            raise
+            finally:
+                if os.path.exists(local(aside)):
+                    os.unlink(local(aside))
+            return True
+        stream = fs.create(self._jvm.org.apache.hadoop.fs.Path(aside), False)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self._conf)
+        kind = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self._gateway.new_array(kind, 1)
+        how[0] = kind.NONE
+        try:
+            context.rename(self._jvm.org.apache.hadoop.fs.Path(aside), p, how)
+        except Exception as e:  # the gateway wraps FileAlreadyExistsException
+            if "AlreadyExists" in str(e):
+                fs.delete(self._jvm.org.apache.hadoop.fs.Path(aside), False)
+                return False
+            raise
         return True
 
+    def modified_ms(self, path: str) -> int:
+        fs, p = self._at(path)
+        return fs.getFileStatus(p).getModificationTime()
+
     def copy(self, source: str, target: str) -> None:
         fs, p = self._at(source)
         to_fs, to = self._at(target)
