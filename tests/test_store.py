@@ -1,8 +1,15 @@
+import json
+import os
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tests import model
+from tidelog.functions import filters
+from tidelog.operators import compaction
 from tidelog.operators.writes import BatchHandler, WriteBatch, multi_delete, multi_put
+from tidelog.plans import resolve as plans
 from tidelog.schema import InvalidArgument, NotFound
 from tidelog.sources.store import Conflict, Store
 
@@ -170,3 +177,211 @@ def test_batch_replay():
 
     WriteBatch().put(b"a", b"1").delete(b"b").merge(b"c", b"2").single_delete(b"d").delete_range(b"a", b"z").replay(Handler())
     assert seen == [("put", b"a"), ("range", b"a", b"z")]
+
+
+def test_checkpoint_outlives_its_source(spark, store, tmp_path):
+    store.write(multi_put([(b"a", b"1"), (b"b", b"2")]))
+    copy = store.checkpoint(str(tmp_path / "shared"))
+    store.put(b"a", b"changed")
+    store.compact()
+    Store.open(spark, store.path).vacuum()
+    assert model.rows(copy.scan()) == {b"a": b"1", b"b": b"2"} and store.checkpoints() == [copy.path]
+    again = copy.checkpoint(str(tmp_path / "second"))  # of a checkpoint, which owns none of its runs
+    assert model.rows(again.scan()) == {b"a": b"1", b"b": b"2"}
+    copy.compact()
+    assert model.rows(copy.scan()) == {b"a": b"1", b"b": b"2"}
+    store.refresh().release_checkpoint(copy.path)
+    with pytest.raises(InvalidArgument):
+        store.release_checkpoint(copy.path)
+    store.put(b"z", b"1")
+    assert len(store.vacuum()) == 0 and model.rows(store.scan()) == {b"a": b"changed", b"b": b"2", b"z": b"1"}
+
+
+def test_vacuum_spares_a_write_in_flight(spark, store, monkeypatch):
+    """A second handle cleans up while a writer has its run and not yet its manifest."""
+    store.put(b"a", b"1")
+    store.compact()
+    commit, removed = Store._commit, []
+
+    def late(self, **changes):
+        if not removed:
+            removed.append(Store.open(spark, store.path).vacuum())
+        return commit(self, **changes)
+
+    monkeypatch.setattr(Store, "_commit", late)
+    store.put(b"b", b"2")
+    assert len(removed) == 1 and model.rows(Store.open(spark, store.path).scan()) == {b"a": b"1", b"b": b"2"}
+    orphan = os.path.join(store.path, "runs", "000099-orphan")
+    os.mkdir(orphan)
+    assert "000099-orphan" not in store.vacuum() and "000099-orphan" in store.vacuum(orphan_ms=-1) and not os.path.exists(orphan)
+    assert store.scan().count() == 2
+
+
+def test_a_torn_manifest_is_passed_over(spark, store):
+    store.put(b"a", b"1")
+    for text in ("", '{"version": 9', "[]"):
+        with open(f"{store.path}/manifests/{store._highest + 1:012}.json", "w") as f:
+            f.write(text)
+        store = Store.open(spark, store.path)
+        assert model.rows(store.scan())[b"a"] == b"1"
+        store.put(text.encode() or b"empty", b"2")
+        assert Store.open(spark, store.path).get(text.encode() or b"empty") == b"2"
+    store.vacuum()
+    assert Store.open(spark, store.path).scan().count() == 4
+
+
+def test_one_of_two_creators_wins_and_no_file_is_half_written(store):
+    at = f"{store.path}/manifests/x.json"
+    assert store.files.create(at, "first") and not store.files.create(at, "second") and store.files.read(at) == "first"
+    assert [n for n in os.listdir(f"{store.path}/manifests") if n.startswith(".")] == []
+
+
+def test_compaction_leaves_other_runs_alone(spark, store):
+    """Level-1 runs that no new run overlaps keep their files; a delete over an older run below is not lost."""
+    store.create_keyspace("k", run_bytes=1, trigger=2)
+    store.write(multi_put([(b"%02d" % i, b"x" * 50) for i in range(40)], "k"))
+    store.compact("k")
+    before = {p: os.path.getmtime(p) for p in store.live_files()}
+    assert len(before) > 5 and all(r["level"] == 1 for r in store.runs().collect())
+    edges = sorted((bytes(r["smallest_key"]), bytes(r["largest_key"])) for r in store.runs().collect())
+    assert all(a[1] < b[0] for a, b in zip(edges, edges[1:]))
+    store.write(WriteBatch().put(b"01", b"new", "k").merge(b"02", b"more", "k"))
+    store.write(WriteBatch().delete(b"00", "k"))
+    wanted = {bytes(r["key"]): bytes(r["value"]) for r in store.scan("k").collect()}
+    assert store.maybe_compact() == "k"
+    kept = set(store.live_files()) & set(before)
+    assert 0 < len(kept) < len(before) and all(os.path.getmtime(p) == before[p] for p in kept)
+    assert model.rows(store.scan("k")) == wanted and len(wanted) == 39 and wanted[b"02"].endswith(b",more")
+    store.vacuum()
+    assert model.rows(Store.open(spark, store.path).scan("k")) == wanted
+    store.put(b"01", b"newest", "k")
+    with pytest.raises(InvalidArgument):
+        store.compact("k", run_ids=[r["run_id"] for r in store.runs().collect()][:1])
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_levels_against_the_model(spark, store, seed):
+    rng = random.Random(seed)
+    records, held = [], []
+    store.create_keyspace("k", run_bytes=200, trigger=2)
+    for _ in range(5):
+        batch = WriteBatch()
+        for _, op, key, end, value in model.random_records(rng, 12):
+            getattr(batch, op)(*[x for x in ((key, end) if op == "delete_range" else (key, value) if value is not None else (key,))], cf="k")
+            records.append((len(records) + 1, op, key, end, value))
+        store.write(batch)
+        if rng.random() < 0.4:
+            held.append(store.snapshot())
+        store.maybe_compact()
+        assert model.rows(store.scan("k")) == model.apply(records)
+        for s in held:
+            assert model.rows(store.scan("k", read_seq=s)) == model.apply(records, s)
+
+
+def log_of(spark, *records):
+    return model.frame(spark, [(seq, op, key, None, value) for seq, op, key, value in records])
+
+
+def test_a_skip_keeps_merges_and_deletes_below(spark):
+    log = log_of(spark, (1, "put", b"a", b"1"), (2, "merge", b"b", b"x"), (3, "delete", b"c", None), (4, "put", b"d", b"4"), (5, "put", b"z", b"5"))
+    skip = filters.CompactionFilter("s", lambda k, v, ts: F.when(k == F.lit(b"a"), filters.SKIP).otherwise(filters.KEEP), skip_until=lambda k, v: F.lit(b"e"))
+    found = {(bytes(r["key"]), r["op"]) for r in compaction.compact(log, filters=[skip], bottom=False).collect()}
+    assert found == {(b"a", "delete"), (b"b", "merge"), (b"c", "delete"), (b"d", "delete"), (b"z", "put")}
+    whole = {(bytes(r["key"]), r["op"]) for r in compaction.compact(log, filters=[skip]).collect()}
+    assert whole == {(b"z", "put")}  # b is folded into a put, which the skip covers
+
+
+def test_a_time_to_live_spares_what_a_snapshot_reads(spark):
+    old = filters.CompactionFilter("old", lambda k, v, ts: F.when(v.cast("string").startswith("v"), filters.REMOVE).otherwise(filters.KEEP))
+    log = log_of(spark, (1, "put", b"k", b"v"), (2, "merge", b"k", b"x"), (3, "put", b"n", b"v"), (4, "put", b"m", b"w"))
+    after = compaction.compact(log, snapshots=(1,), filters=[old])
+    assert model.rows(plans.resolve(after, 1)) == {b"k": b"v"}
+    assert model.rows(plans.resolve(after)) == {b"k": b"v,x", b"m": b"w"}  # the operand's base is read by the snapshot
+    over = compaction.compact(log_of(spark, (1, "put", b"k", b"a"), (2, "put", b"k", b"v")), snapshots=(1,), filters=[old])
+    assert model.rows(plans.resolve(over, 1)) == {b"k": b"a"} and model.rows(plans.resolve(over)) == {}
+    below = compaction.compact(log_of(spark, (2, "put", b"k", b"v")), filters=[old], bottom=False)
+    assert [(r["op"], r["value"]) for r in below.collect()] == [("delete", None)]
+
+
+def test_a_full_level_stops_writers_until_it_is_compacted(spark, store):
+    store.create_keyspace("k", stop=3)
+    for i in range(3):
+        assert not store.write_stopped("k")
+        store.put(b"%d" % i, b"v", "k")
+    assert store.write_stopped("k") and store.get_property("is-write-stopped", "k") == 1
+    store.put(b"3", b"v", "k")
+    assert [r["level"] for r in store.runs().where("cf = 'k'").orderBy("level").collect()] == [0, 1] and store.scan("k").count() == 4
+
+
+def test_files_of_a_snapshot(spark, store):
+    store.put(b"a", b"1")
+    snap, first = store.snapshot(), store.live_files()
+    store.put(b"b", b"2")
+    assert store.snapshot_live_files(snap) == first and len(store.snapshot_live_files(store.last_seq)) == 2
+    with pytest.raises(InvalidArgument):
+        store.snapshot_live_files(99)
+
+
+def test_rescale(spark, store, tmp_path):
+    store.create_keyspace("sums", merge="counter")
+    store.write(WriteBatch().put(b"a", b"1").put(b"m", b"2").put(b"z", b"3").merge(b"m", b"4", "sums").merge(b"m", b"5", "sums"))
+    snap = store.snapshot()
+    store.delete_range(b"b", b"zz")
+    store.put(b"n", b"6")
+    whole = {s: model.rows(store.scan(read_seq=s)) for s in (snap, store.last_seq)}
+    parts = store.split([(str(tmp_path / "low"), None, b"m"), (str(tmp_path / "high"), b"m", None)])
+    assert [model.rows(p.scan()) for p in parts] == [{b"a": b"1"}, {b"n": b"6"}] and parts[1].get(b"m", "sums") == b"9"
+    assert {k: v for p in parts for k, v in model.rows(p.scan(read_seq=snap)).items()} == whole[snap]
+    ends = [(bytes(r["key"]), bytes(r["end_key"])) for p in parts for r in p.log().where("op = 'delete_range'").collect()]
+    assert ends == [(b"b", b"m"), (b"m", b"zz")]
+    again = Store.union(spark, str(tmp_path / "again"), parts)
+    assert {s: model.rows(again.scan(read_seq=s)) for s in whole} == whole and again.last_seq == store.last_seq and again.get(b"m", "sums") == b"9"
+    with pytest.raises(InvalidArgument):
+        store.split([(str(tmp_path / "low"), None, None)])
+
+
+def test_a_keyspace_in_reverse_order(spark, store):
+    store.create_keyspace("r", order="reverse")
+    store.write(multi_put([(b"%d" % i, b"v") for i in range(6)], "r"))
+    keys = lambda df: [bytes(r["key"]) for r in df.collect()]
+    assert keys(store.chunk(None, 3, "r")) == [b"5", b"4", b"3"] and keys(store.chunk(b"3", 9, "r")) == [b"2", b"1", b"0"]
+    assert keys(store.seek(b"35", "r")) == [b"3"] and keys(store.seek(b"35")) == []
+    store.put(b"4", b"v")
+    assert keys(store.seek(b"35")) == [b"4"] and keys(store.chunk(None, 2)) == [b"4"]
+    with pytest.raises(InvalidArgument):
+        store.create_keyspace("odd", order="sideways")
+
+
+def test_a_closed_store(store):
+    store.put(b"a", b"1")
+    store.close()
+    for call in (store.scan, lambda: store.put(b"a", b"2"), store.live_files, lambda: store.last_seq):
+        with pytest.raises(InvalidArgument):
+            call()
+
+
+def test_operands(spark):
+    log = log_of(spark, (1, "merge", b"a", b"0"), (2, "put", b"a", b"1"), (3, "merge", b"a", b"2"), (4, "merge", b"a", b"3"), (5, "merge", b"b", b"4"), (6, "put", b"c", b"5"), (7, "delete", b"d", None), (8, "merge", b"d", b"6"))
+    found = {bytes(r["key"]): (r["base"] and bytes(r["base"]), [bytes(x) for x in r["operands"]]) for r in plans.operands(log).collect()}
+    assert found == {b"a": (b"1", [b"2", b"3"]), b"b": (None, [b"4"]), b"d": (None, [b"6"])}
+
+
+def test_names_of_keyspaces_and_wrong_ones(spark, store):
+    odd = "a/b=c %?é 'x'"
+    store.create_keyspace(odd)
+    rows = spark.range(6).select(F.when(F.col("id") < 3, odd).otherwise("default").alias("cf"), F.col("id").cast("string").cast("binary").alias("key"), F.lit("put").alias("op"), F.lit(b"v").alias("value"), "id")
+    store.write(rows, ["id"])
+    assert store.scan(odd).count() == 3 and store.scan().count() == 3 and len(store.live_files()) == 2
+    version = store.version
+    with pytest.raises(NotFound):
+        store.write(rows.withColumn("cf", F.lit("nowhere")), ["id"])
+    assert store.version == version and store.refresh().version == version and store.last_seq == 6
+
+
+def test_reads_use_what_the_manifest_counts(spark, store):
+    """No gathering where no run has merges, and no job for range deletes where there are none."""
+    store.write(multi_put([(b"a", b"1"), (b"b", b"2")]))
+    assert "collect_list" not in store.scan()._jdf.queryExecution().toString()
+    store.merge(b"b", b"3")
+    assert "collect_list" in store.scan()._jdf.queryExecution().toString()
+    assert json.loads(store.files.read(f"{store.path}/manifests/{store.version:012}.json"))["runs"][-1]["n_merges"] == 1
