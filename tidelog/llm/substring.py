@@ -39,7 +39,7 @@ from tidelog.llm.pieces import slices
 
 SPAN, GRAM = 20, 8
 #: Anchors that a task holds at once; of pieces it holds `PIECE_BYTES` times as many bytes.
-BUFFER, PIECE_BYTES = 500_000, 100
+BUFFER, PIECE_BYTES = 300_000, 100
 HOT, TABLE_BITS = 4_096, 20
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -273,12 +273,17 @@ def joined(found: list[dict], span: int) -> list[tuple[int, int, int, int]]:
     return [tuple(f) for f in out]
 
 
-def covered(n_words: int, found: list[dict], span: int) -> np.ndarray:
-    """Which of a document's words its factors cover."""
-    gone = np.zeros(n_words, bool)
-    for start, length, *_ in joined(found, span):
-        gone[start : start + length] = True
-    return gone
+def covered(n_words: int, at: np.ndarray, span: int) -> np.ndarray:
+    """Which of a document's words its factors cover, as packed in FACTORS."""
+    edges = np.zeros(n_words + 1, np.int64)
+    np.add.at(edges, at >> 32, 1)
+    np.add.at(edges, (at >> 32) + (at & 0xFFFFFFFF) + span - 1, -1)
+    return np.cumsum(edges)[:-1] > 0
+
+
+def _found(spans: pa.Array) -> list[np.ndarray | None]:
+    """The packed starts of each document's factors; None where it has none."""
+    return [s.values.field(0).to_numpy() if s.is_valid else None for s in spans]
 
 
 def _kept_rows(span: int, keep: str) -> Callable:
@@ -288,11 +293,11 @@ def _kept_rows(span: int, keep: str) -> Callable:
         for batch in batches:
             for part in slices(batch):
                 n_words, n_removed, kept = [], [], []
-                for text, spans in zip(_texts(part.column(1)), part.column(2).to_pylist(), strict=True):
+                for text, found in zip(_texts(part.column(1)), _found(part.column(2)), strict=True):
                     words = (text or b"").split()
                     stay = words
-                    if spans:
-                        gone = covered(len(words), spans, span)
+                    if found is not None:
+                        gone = covered(len(words), found, span)
                         stay = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                     n_words.append(len(words))
                     n_removed.append(len(words) - len(stay))
@@ -300,7 +305,7 @@ def _kept_rows(span: int, keep: str) -> Callable:
                     if keep == "digest":
                         kept.append(hashlib.sha256(text_now).hexdigest())
                     else:
-                        kept.append(None if text is None else text_now.decode() if spans else text.decode())
+                        kept.append(None if text is None else text_now.decode() if found is not None else text.decode())
                 arrays = [part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["rid", "n_words", "n_removed", "kept"])
 
@@ -439,10 +444,10 @@ def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cou
             for part in slices(batch):
                 columns = part.columns[:-1]
                 texts = []
-                for text, spans in zip(part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True):
-                    if spans:
+                for text, found in zip(part.column(at).to_pylist(), _found(part.column(part.num_columns - 1)), strict=True):
+                    if found is not None:
                         words = text.encode().split()
-                        gone = covered(len(words), spans, span).tolist()
+                        gone = covered(len(words), found, span).tolist()
                         text = b" ".join([w for w, g in zip(words, gone, strict=True) if not g]).decode()
                     texts.append(text)
                 columns[at] = pa.array(texts, pa.string())
