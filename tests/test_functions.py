@@ -1,5 +1,6 @@
 import struct
 
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -49,6 +50,32 @@ def test_checksums():
     assert scalar.hash64_of(b"a") != scalar.hash64_of(b"a", 1)
 
 
+def test_codes_of_whole_batches(spark):
+    """Values of all lengths, null and empty ones among them, in slices too."""
+    rng = __import__("random").Random(5)
+    values = [bytes(rng.randrange(256) for _ in range(rng.randrange(0, 70))) for _ in range(120)] + [None, b"", None, b"x" * 3000]
+    signed = lambda n: n - (1 << 64) if n >> 63 else n
+    plain = ((scalar.crc32c, scalar.crc32c_of), (scalar.masked_crc32c, lambda b: scalar.mask_of(scalar.crc32c_of(b))), (scalar.fnv32, scalar.fnv32_of), (scalar.hash64, lambda b: signed(scalar.hash64_of(b))))
+    for code, one in plain:
+        wanted = [None if v is None else one(v) for v in values]
+        assert code.codes(pa.array(values, pa.binary())).to_pylist() == wanted
+        assert code.codes(pa.array(values, pa.binary()).slice(30, 94)).to_pylist() == wanted[30:124]
+        assert code.codes(pa.array([], pa.binary())).to_pylist() == []
+    frame = spark.createDataFrame([(v and bytearray(v),) for v in values], "v binary")
+    found = frame.select("v", scalar.crc32c(F.col("v")).alias("c"), scalar.unmasked_crc32c(scalar.masked_crc32c(F.col("v"))).alias("u")).collect()
+    assert all(r["c"] == r["u"] == (None if r["v"] is None else scalar.crc32c_of(bytes(r["v"]))) for r in found)
+
+
+def test_varints_are_decoded_in_the_engine(spark):
+    numbers = [0, 1, 127, 128, 300, 2**31, 2**62, 2**63 - 1, 2**63, 2**64 - 1] + [3 << 7 * i for i in range(9)]
+    rows = [(bytearray(scalar.varint(n) + b"rest" * (i % 2)), n - (1 << 64) if n >> 63 else n) for i, n in enumerate(numbers)] + [(None, None)]
+    frame = spark.createDataFrame(rows, "c binary, n long")
+    assert all(r["d"] == r["n"] for r in frame.select("n", scalar.decode_varint(F.col("c")).alias("d")).collect())
+    for bad in (b"", b"\x80", b"\xff" * 11, b"\xff" * 9 + b"\x02"):
+        with pytest.raises(Exception, match="not a varint"):
+            spark.createDataFrame([(bytearray(bad),)], "c binary").select(scalar.decode_varint(F.col("c"))).collect()
+
+
 def test_generators():
     g = random.MinimalStandard(1)
     assert [g.next() for _ in range(3)] == [16807, 282475249, 1622650073]

@@ -17,33 +17,56 @@ def feed(spark, path, start, n):
     rows.coalesce(1).write.mode("append").parquet(path)
 
 
-def run(spark, tmp_path, processor, keys=("key",)):
+def run(spark, tmp_path, processor, op, key, value, order):
     stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
-    q = ingest.upsert_parquet(keep_state(stream, processor), str(tmp_path / "out"), str(tmp_path / "check"), list(keys))
+    store = Store.open(spark, str(tmp_path / "state"))
+    q = ingest.state_into_store(keep_state(stream, processor), op, F.expr(key), F.expr(value), order, store, "state", str(tmp_path / "check"))
     q.awaitTermination(120)
     assert q.exception() is None
-    return {tuple(r)[: len(keys)]: tuple(r)[len(keys) :] for r in ingest.latest(spark, str(tmp_path / "out"), list(keys)).collect()}
+    return {k.decode(): v.decode() for k, v in model.rows(store.refresh().scan()).items()}
+
+
+COUNTS = ("put", "key", "string(n)", ["key"])
+LISTS = ("merge", "key", "value", ["key", "seq"])
+MAPS = ("put", "concat_ws(':', key, field)", "value", ["key"])
 
 
 def test_counters_survive_a_restart(spark, tmp_path):
     feed(spark, str(tmp_path / "in"), 0, 40)
-    assert sum(n for (n,) in run(spark, tmp_path, Counter()).values()) == 40
+    assert sum(map(int, run(spark, tmp_path, Counter(), *COUNTS).values())) == 40
     feed(spark, str(tmp_path / "in"), 40, 100)
-    assert run(spark, tmp_path, Counter()) == {("0",): (47,), ("1",): (47,), ("2",): (46,)}
+    assert run(spark, tmp_path, Counter(), *COUNTS) == {"0": "47", "1": "47", "2": "46"}
     held = spark.read.format("statestore").option("stateVarName", "count").load(str(tmp_path / "check"))
     assert sum(r["value"]["n"] for r in held.collect()) == 140
 
 
 def test_lists(spark, tmp_path):
     feed(spark, str(tmp_path / "in"), 0, 9)
-    run(spark, tmp_path, Appender())
+    run(spark, tmp_path, Appender(), *LISTS)
     feed(spark, str(tmp_path / "in"), 9, 3)
-    assert run(spark, tmp_path, Appender())[("0",)] == (["0", "3", "6", "9"],)
+    assert run(spark, tmp_path, Appender(), *LISTS)["0"] == "0,3,6,9"
+    held = spark.read.format("statestore").option("stateVarName", "items").load(str(tmp_path / "check"))
+    assert held.count() == 12
 
 
 def test_maps(spark, tmp_path):
     feed(spark, str(tmp_path / "in"), 0, 12)
-    assert run(spark, tmp_path, Fields(), ("key", "field")) == {(str(k), str(f)): (str(max(i for i in range(12) if i % 3 == k and i % 2 == f)),) for k in range(3) for f in range(2)}
+    wanted = {f"{k}:{f}": str(max(i for i in range(12) if i % 3 == k and i % 2 == f)) for k in range(3) for f in range(2)}
+    assert run(spark, tmp_path, Fields(), *MAPS) == wanted
+    feed(spark, str(tmp_path / "in"), 12, 1)
+    assert run(spark, tmp_path, Fields(), *MAPS) == wanted | {"0:0": "12"}
+    store = Store.open(spark, str(tmp_path / "state"))
+    assert store.log().count() == 7  # a batch adds what it changed
+
+
+def test_each_batch_asks_the_clock(spark, tmp_path):
+    source, asked = str(tmp_path / "log"), []
+    store = Store.open(spark, str(tmp_path / "store"))
+    for i in range(2):
+        model.frame(spark, [(i + 1, "put", b"a", None, b"1")]).coalesce(1).write.mode("append").parquet(source)
+    clock = lambda: asked.append(len(asked)) or asked[-1]
+    ingest.into_store(ingest.replay(spark, source, 1), store, "feed", str(tmp_path / "check"), ["seq"], compact=True, clock=clock).awaitTermination(120)
+    assert asked == [0, 1]
 
 
 def test_time_to_live(spark, tmp_path):

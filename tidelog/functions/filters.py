@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions.scalar import from_fixed_be, from_fixed_le
@@ -22,12 +22,30 @@ KEEP, REMOVE, CHANGE, SKIP = "keep", "remove", "change", "skip"
 
 @dataclass(frozen=True)
 class CompactionFilter:
-    """`decide` gives KEEP, REMOVE, CHANGE or SKIP; `change` the new value; `skip_until` the key a SKIP goes up to."""
+    """`decide` gives KEEP, REMOVE, CHANGE or SKIP; `change` the new value; `skip_until` the key a SKIP goes up to.
+
+    A filter with `left` decides by the value that it leaves, which is computed once a row: null removes.
+    """
 
     name: str
-    decide: Callable[[Column, Column, Column], Column]
+    decide: Callable[[Column, Column, Column], Column] | None = None
     change: Callable[[Column, Column, Column], Column] | None = None
     skip_until: Callable[[Column, Column], Column] | None = None
+    left: Callable[[Column], Column] | None = None
+
+    def decided(self, rows: DataFrame, asked: Column) -> DataFrame:
+        """`rows` (key, value, ts and others) with decision, null where it is not `asked`, and changed values."""
+        key, value, ts = F.col("key"), F.col("value"), F.col("ts")
+        if self.left is not None:
+            marked = rows.withColumn("left_", self.left(value)).withColumn("asked_", F.coalesce(asked, F.lit(False)))
+            kind = F.when(value.isNull() | (F.col("left_") == value), KEEP).when(F.col("left_").isNull(), REMOVE).otherwise(CHANGE)
+            decision = F.when(F.col("asked_"), kind)
+            changed = marked.withColumn("decision", decision).withColumn("value", F.when(F.col("decision") == CHANGE, F.col("left_")).otherwise(value))
+            return changed.drop("left_", "asked_")
+        marked = rows.withColumn("decision", F.when(asked, self.decide(key, value, ts)))
+        if self.change is not None:
+            marked = marked.withColumn("value", F.when(F.col("decision") == CHANGE, self.change(key, value, ts)).otherwise(value))
+        return marked
 
 
 def timestamp_at(offset: int = 0, little: bool = False) -> Callable[[Column], Column]:
@@ -94,11 +112,7 @@ def list_ttl(now_ms: int, ttl_ms: int, unexpired_offset: Callable[[bytes], int]
     def tail(value: Column) -> Column:
         return F.arrow_udf(body, "binary")(value)
 
-    return CompactionFilter(
-        "list_ttl",
-        lambda key, value, ts: F.when(value.isNull(), KEEP).when(tail(value).isNull(), REMOVE).when(tail(value) == value, KEEP).otherwise(CHANGE),
-        lambda key, value, ts: tail(value),
-    )
+    return CompactionFilter("list_ttl", left=tail)
 
 
 @dataclass(frozen=True)

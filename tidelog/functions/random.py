@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+#: The published constants of both generators.
 MODULUS, MULTIPLIER = 2**31 - 1, 16_807
+SHIFTS, STAR, START = (12, 25, 27), 0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15
 
 
 class MinimalStandard:
@@ -32,15 +34,16 @@ class XorShiftStar:
     """64 bits by three shifts (12, 25, 27) and a multiplication."""
 
     def __init__(self, seed: int):
-        self.state = seed or 0x9E3779B97F4A7C15
+        self.state = seed or START
 
     def next(self) -> int:
+        right, left, again = SHIFTS
         x = self.state
-        x ^= x >> 12
-        x ^= x << 25 & 0xFFFFFFFFFFFFFFFF
-        x ^= x >> 27
+        x ^= x >> right
+        x ^= x << left & 0xFFFFFFFFFFFFFFFF
+        x ^= x >> again
         self.state = x
-        return x * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF
+        return x * STAR & 0xFFFFFFFFFFFFFFFF
 
     def uniform(self, n: int) -> int:
         if n <= 0:

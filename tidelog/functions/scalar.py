@@ -1,11 +1,14 @@
 """Scalar functions over bytes and strings.
 
-Those that built-in functions express stay in the JVM.  Byte-serial codes (CRC-32C, FNV, varints) run over Arrow
-batches.
+Those that built-in functions express stay in the JVM.  Byte-serial codes (CRC-32C, FNV, the 64-bit hash) run over
+Arrow batches, position by position for all values of a batch.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,6 +48,7 @@ def parse_u64(text: Column) -> Column:
 
 
 def parse_bool(text: Column) -> Column:
+    """The words for true and false, in any case."""
     low = F.lower(text)
     return F.when(low.isin("true", "1", "yes", "on"), True).when(low.isin("false", "0", "no", "off"), False)
 
@@ -167,31 +171,117 @@ def hash64_of(data: bytes, seed: int = 0) -> int:
     return state ^ state >> 32
 
 
-def _over_bytes(f, out: pa.DataType):
-    def run(data: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else f(bytes(x)) for x in data.cast(pa.binary()).to_pylist()], out)
+def _buffers(data: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes of a binary array, and where each value begins and ends (null: empty)."""
+    whole = data.cast(pa.large_binary())
+    whole = pa.concat_arrays([whole]) if whole.offset else whole
+    edges = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    body = whole.buffers()[2]
+    return np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8), edges[:-1], edges[1:]
+
+
+#: Fewer values than this are not worth a step of the whole batch.
+TOGETHER = 16
+
 
-    return run
+def _serial(step: Callable, scalar_step: Callable, start: int, finish: Callable, kind: type) -> Callable[[Column], Column]:
+    """A byte-serial code over Arrow batches: byte positions are gone through one by one, all values of a batch at once.
 
+    `step` takes the states and the bytes as arrays; the rest of the few longest values goes through `scalar_step`.
+    """
 
-def _arrow(f, kind: T.DataType, out: pa.DataType):
-    run = _over_bytes(f, out)
+    def codes(data: pa.Array) -> pa.Array:
+        body, begin, end = _buffers(data)
+        order = np.argsort(begin - end, kind="stable")  # longest first
+        begin, end = begin[order], end[order]
+        sizes, state, at = end - begin, np.full(len(order), start, np.uint64), 0
+        n = len(order)
+        while (n := int(np.searchsorted(-sizes[:n], -at, side="left"))) >= TOGETHER:
+            state[:n] = step(state[:n], body[begin[:n] + at].astype(np.uint64))
+            at += 1
+        for i in range(n):
+            one = int(state[i])
+            for byte in body[begin[i] + at : end[i]].tolist():
+                one = scalar_step(one, byte)
+            state[i] = one
+        out = np.empty(len(order), np.uint64)
+        out[order] = finish(state)
+        return pa.array(out.astype(kind).astype(np.int64) if kind is np.uint32 else out.view(np.int64), pa.int64(), mask=data.is_null().to_numpy(zero_copy_only=False))
 
     def call(data: Column) -> Column:
-        def body(x: pa.Array) -> pa.Array:
-            return run(x)
+        def run(x: pa.Array) -> pa.Array:
+            return codes(x)
 
-        return F.arrow_udf(body, kind)(data)
+        return F.arrow_udf(run, T.LongType())(data)
 
+    call.codes = codes
     return call
 
 
-_signed64 = lambda n: n - (1 << 64) if n >> 63 else n
-crc32c = _arrow(crc32c_of, T.LongType(), pa.int64())
-masked_crc32c = _arrow(lambda b: mask_of(crc32c_of(b)), T.LongType(), pa.int64())
-fnv32 = _arrow(fnv32_of, T.LongType(), pa.int64())
-hash64 = _arrow(lambda b: _signed64(hash64_of(b)), T.LongType(), pa.int64())
-decode_varint = _arrow(lambda b: _signed64(read_varint(b)[0]), T.LongType(), pa.int64())
+def _u(n: int) -> np.uint64:
+    return np.uint64(n)
+
+
+_CRC_ARRAY = np.array(_CRC, np.uint64)
+
+
+def _crc_steps(state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    return state >> _u(8) ^ _CRC_ARRAY[((state ^ byte) & _u(0xFF)).astype(np.intp)]
+
+
+def _crc_step(state: int, byte: int) -> int:
+    return state >> 8 ^ _CRC[(state ^ byte) & 0xFF]
+
+
+def _fnv_steps(state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    return (state ^ byte) * _u(FNV_PRIME) & _u(U32)
+
+
+def _hash64_steps(state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    state = (state ^ byte) * _u(HASH64_PRIMES[1])
+    return state << _u(31) | state >> _u(33)
+
+
+def _hash64_step(state: int, byte: int) -> int:
+    state = (state ^ byte) * HASH64_PRIMES[1] & U64
+    return (state << 31 | state >> 33) & U64
+
+
+def _hash64_end(state: np.ndarray) -> np.ndarray:
+    first, second = map(_u, HASH64_PRIMES)
+    state = (state ^ state >> _u(33)) * second
+    state = (state ^ state >> _u(29)) * first
+    return state ^ state >> _u(32)
+
+
+def _masks(state: np.ndarray) -> np.ndarray:
+    crc = state ^ _u(U32)
+    return (crc >> _u(15) | crc << _u(17)) + _u(MASK_DELTA) & _u(U32)
+
+
+crc32c = _serial(_crc_steps, _crc_step, U32, lambda s: s ^ _u(U32), np.uint32)
+masked_crc32c = _serial(_crc_steps, _crc_step, U32, _masks, np.uint32)
+fnv32 = _serial(_fnv_steps, lambda s, b: (s ^ b) * FNV_PRIME & U32, FNV_BASIS, lambda s: s, np.uint32)
+hash64 = _serial(_hash64_steps, _hash64_step, HASH64_PRIMES[0], _hash64_end, np.uint64)
+
+
+def unmasked_crc32c(masked: Column) -> Column:
+    """The CRC of a masked one; JVM-side."""
+    turned = F.pmod(masked.cast("long") - F.lit(MASK_DELTA), F.lit(1 << 32))
+    return F.shiftleft(turned, 15).bitwiseAND(F.lit(U32)).bitwiseOR(F.shiftright(turned, 17))
+
+
+def decode_varint(data: Column) -> Column:
+    """The number (as a long, so modulo 2**64) whose varint `data` begins with; an error where none does.  JVM-side, ten bytes at most."""
+    byte = [F.conv(F.hex(F.substring(data, i + 1, 1)), 16, 10).cast("long") for i in range(10)]
+    value, ends = F.lit(0).cast("long"), F.lit(False)
+    for i in reversed(range(10)):  # what follows counts only behind a byte with its high bit set
+        more = byte[i] >= 128
+        low = F.shiftleft(byte[i].bitwiseAND(F.lit(127)), 7 * i)
+        value = F.when(more, low.bitwiseOR(value)).otherwise(low)
+        last = byte[i] <= 1 if i == 9 else F.lit(True)
+        ends = F.when(more, ends).otherwise((F.octet_length(data) > i) & last)
+    return F.when(data.isNotNull(), F.when(ends, value).otherwise(F.raise_error(F.lit("not a varint")).cast("long")))
 
 
 def encode_varint(number: Column) -> Column:

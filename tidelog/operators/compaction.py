@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.functions.filters import CHANGE, REMOVE, SKIP, CompactionFilter
+from tidelog.functions.filters import REMOVE, SKIP, CompactionFilter
 from tidelog.functions.merge import MergeOperator, string_append
 from tidelog.plans.resolve import BROADCAST_RANGES, hide_ranges
 from tidelog.schema import DEFAULT_CF, DELETE, DELETE_RANGE, MERGE, PUT, SINGLE_DELETE
@@ -147,10 +147,7 @@ def _filtered(rows: DataFrame, f: CompactionFilter, reach, whole: bool) -> DataF
     What it removes is gone if `rows` are the `whole` history of their keys, and else is a delete over what is below.
     """
     asked = reach & (F.col("op") == PUT)
-    decided = rows.withColumn("decision", F.when(asked, f.decide(F.col("key"), F.col("value"), F.col("ts"))))
-    if f.change is not None:
-        changed = F.when(F.col("decision") == CHANGE, f.change(F.col("key"), F.col("value"), F.col("ts"))).otherwise(F.col("value"))
-        decided = decided.withColumn("value", changed)
+    decided = f.decided(rows, asked)
     if f.skip_until is not None:
         # each skip removes the puts from its key up to the bound: as a range over what the filter sees
         skips = decided.where(F.col("decision") == SKIP).select(
@@ -173,8 +170,5 @@ def _filtered(rows: DataFrame, f: CompactionFilter, reach, whole: bool) -> DataF
 
 def ttl_view(state: DataFrame, f: CompactionFilter) -> DataFrame:
     """`state` as it would be after a compaction with `f`, read eagerly.  State without ts has a null one."""
-    ts = F.col("ts") if "ts" in state.columns else F.lit(None).cast("timestamp")
-    decided = state.withColumn("decision", f.decide(F.col("key"), F.col("value"), ts)).where(F.col("decision") != REMOVE)
-    if f.change is not None:
-        decided = decided.withColumn("value", F.when(F.col("decision") == CHANGE, f.change(F.col("key"), F.col("value"), ts)).otherwise(F.col("value")))
-    return decided.drop("decision")
+    stamped = state if "ts" in state.columns else state.withColumn("ts", F.lit(None).cast("timestamp"))
+    return f.decided(stamped, F.lit(True)).where(F.col("decision") != REMOVE).select(*state.columns)

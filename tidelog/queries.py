@@ -6,6 +6,7 @@ merges), split into keyspaces, runs or with range deletes where an operator need
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -775,32 +776,40 @@ def store_import(spark, sf_dir):
 # -- streams ------------------------------------------------------------------------------------------------------
 
 
-def _streamed(spark, sf_dir, processor, names: list[str]) -> DataFrame:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE_PROVIDER)
-    at = scratch(spark)
-    source = table(spark, sf_dir, "events")
-    events = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern, since a stream's plain path must be a folder
+def _streamed(spark, sf_dir, processor, op: str, key: str, value: str, order: list[str]) -> DataFrame:
+    """The state that a processor keeps over the events, out of the store that it was streamed into."""
+    at, conf, name = scratch(spark), spark.conf, "spark.sql.streaming.stateStore.providerClass"
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern, since a stream's plain path must be a folder
     rows = events.select(
         F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), F.col("event_type").alias("field"), F.col("event_id").cast("string").alias("value")
     )
-    q = ingest.upsert_parquet(keep_state(rows, processor), f"{at}/out", f"{at}/checkpoint", names)
-    q.awaitTermination()
-    return ingest.latest(spark, f"{at}/out", names)
+    before = conf.get(name, None)
+    conf.set(name, STORE_PROVIDER)  # read when a query starts
+    try:
+        store = Store.open(spark, f"{at}/state")
+        q = ingest.state_into_store(keep_state(rows, processor), op, F.expr(key), F.expr(value), order, store, f"state-{uuid.uuid4().hex[:8]}", f"{at}/checkpoint")
+        q.awaitTermination()
+    finally:
+        conf.set(name, before) if before else conf.unset(name)
+    return store.refresh().scan()
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS n FROM events GROUP BY user_id")
 def stream_value_state(spark, sf_dir):
-    return _streamed(spark, sf_dir, Counter(), ["key"])
+    state = readable(_streamed(spark, sf_dir, Counter(), "put", "key", "string(n)", ["key"]))
+    return state.select("key", F.col("value").cast("long").alias("n"))
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS key, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS elements FROM events GROUP BY user_id")
 def stream_list_state(spark, sf_dir):
-    return _streamed(spark, sf_dir, Appender(), ["key"]).select("key", F.array_join("elements", ",").alias("elements"))
+    state = readable(_streamed(spark, sf_dir, Appender(), "merge", "key", "value", ["key", "seq"]))
+    return state.select("key", F.col("value").alias("elements"))
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS key, event_type AS field, CAST(max(event_id) AS VARCHAR) AS value FROM events GROUP BY user_id, event_type")
 def stream_map_state(spark, sf_dir):
-    return _streamed(spark, sf_dir, Fields(), ["key", "field"])
+    state = readable(_streamed(spark, sf_dir, Fields(), "put", "concat_ws(':', key, field)", "value", ["key"]))
+    return state.select(F.substring_index("key", ":", 1).alias("key"), F.expr("substring(key, instr(key, ':') + 1)").alias("field"), "value")
 
 
 @query(f"SELECT * FROM {resolved()}")

@@ -38,21 +38,22 @@ class Counter(_Keyed):
 
 
 class Appender(_Keyed):
-    """List state: the values seen per key, in the order in which they came."""
+    """List state: the values seen per key, in the order in which they came; a batch's new elements go out."""
 
-    output = "key string, elements array<string>"
+    output = "key string, seq long, value string"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.items = handle.getListState("items", "value string", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[Row]:
-        for row in sorted(rows, key=lambda r: r["seq"]):
-            self.items.appendValue((row["value"],))
-        yield Row(key=key[0], elements=[x[0] for x in self.items.get()])
+        new = sorted(((r["seq"], r["value"]) for r in rows), key=lambda r: r[0])
+        self.items.appendList([(value,) for _, value in new])
+        for seq, value in new:
+            yield Row(key=key[0], seq=seq, value=value)
 
 
 class Fields(_Keyed):
-    """Map state: the newest value per key and field."""
+    """Map state: the newest value per key and field; the fields that a batch set go out."""
 
     output = "key string, field string, value string"
 
@@ -60,15 +61,16 @@ class Fields(_Keyed):
         self.fields = handle.getMapState("fields", "field string", "value string", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[Row]:
-        for row in sorted(rows, key=lambda r: r["seq"]):
-            self.fields.updateValue((row["field"],), (row["value"],))
-        for field, value in self.fields.iterator():
-            yield Row(key=key[0], field=field[0], value=value[0])
+        new = {r["field"]: r["value"] for r in sorted(rows, key=lambda r: r["seq"])}
+        for field, value in new.items():
+            self.fields.updateValue((field,), (value,))
+            yield Row(key=key[0], field=field, value=value)
 
 
 def keep_state(rows: DataFrame, processor: _Keyed, key: str = "key") -> DataFrame:
     """The processor's output over `rows`, a streaming DataFrame or (for a one-off run) a batch one."""
-    if not rows.isStreaming:  # a session that has run no stream yet has no coordinator of state stores
+    if not rows.isStreaming:
+        # a session that has run no stream yet has no coordinator of state stores; only a classic session lets us start it
         rows.sparkSession._jsparkSession.sessionState().streamingQueryManager().stateStoreCoordinator()
     mode = "ProcessingTime" if processor.ttl_ms is not None else "None"
     return rows.groupBy(key).transformWithState(processor, processor.output, "Update", mode)
