@@ -300,3 +300,25 @@ def encode_varint(number: Column) -> Column:
 
 def length_prefixed(data: Column) -> Column:
     return F.concat(encode_varint(F.octet_length(data)), data)
+
+
+def _byte(data: Column, at: Column) -> Column:
+    return F.conv(F.hex(F.substring(data, at + 1, F.lit(1))), 16, 10).cast("int")
+
+
+def _raised(byte: Column) -> Column:
+    return F.unhex(F.lpad(F.hex((byte + 1).cast("long")), 2, "0"))
+
+
+def separator(start: Column, limit: Column) -> Column:
+    """`keys.shortest_separator` over columns."""
+    at = difference_offset(start, limit)
+    own, other = _byte(start, at), _byte(limit, at)
+    short = F.concat(F.substring(start, F.lit(1), at), _raised(own))
+    return F.when((at < F.least(F.octet_length(start), F.octet_length(limit))) & (own < 255) & (own + 1 < other), short).otherwise(start)
+
+
+def successor(key: Column) -> Column:
+    """`keys.short_successor` over columns."""
+    full = (F.length(F.regexp_extract(F.hex(key), "^(?:FF)*", 0)) / 2).cast("int")
+    return F.when(full < F.octet_length(key), F.concat(F.substring(key, F.lit(1), full), _raised(_byte(key, full)))).otherwise(key)

@@ -37,10 +37,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from tidelog import store_queries  # noqa: F401  registers its own
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    from tidelog import store_queries  # noqa: F401
+
     return dict(_oracles)
 
 
@@ -202,14 +206,8 @@ def scan_keyspace_snapshot(spark, sf_dir):
     return readable(reads.scan(spaced_log(spark, sf_dir), "odd", read_seq=4000))
 
 
-@query(f"SELECT key, value FROM {resolved(ORDERS)} WHERE key LIKE '00000%1:%' AND starts_with(key, '000000')")
-def prefix_scan(spark, sf_dir):
-    found = readable(reads.prefix_scan(order_log(spark, sf_dir), b"000000"))
-    return found.where("key like '00000%1:%'").select("key", "value")
-
-
 @query(f"SELECT key, value FROM {resolved(ORDERS)} WHERE starts_with(key, '000000')")
-def prefix_scan_whole(spark, sf_dir):
+def prefix_scan(spark, sf_dir):
     """Every key under the prefix."""
     return readable(reads.prefix_scan(order_log(spark, sf_dir), b"000000").select("key", "value"))
 
@@ -285,19 +283,10 @@ def running_merge(spark, sf_dir):
     return readable(plans.running(event_log(spark, sf_dir)))
 
 
-@query(f"""WITH s AS (SELECT *, lead(seq) OVER (PARTITION BY key ORDER BY seq) AS until FROM {RUNNING})
-SELECT p.o_orderkey AS probe_id, CAST(p.o_custkey AS VARCHAR) AS key, p.o_orderkey % 9000 AS at, s.value FROM orders p
-LEFT JOIN s ON s.key = CAST(p.o_custkey AS VARCHAR) AND s.seq <= p.o_orderkey % 9000 AND (s.until IS NULL OR p.o_orderkey % 9000 < s.until)""")
-def as_of_join(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    probes = o.select(F.col("o_orderkey").alias("probe_id"), F.col("o_custkey").cast("string").cast("binary").alias("key"), (F.col("o_orderkey") % 9000).alias("at"))
-    return readable(reads.as_of(probes, event_log(spark, sf_dir)))
-
-
 @query(f"""WITH s AS (SELECT *, lead(seq) OVER (PARTITION BY key ORDER BY seq) AS until FROM {RUNNING}),
 p AS (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS k, o_orderkey % (SELECT max(event_id) + 2 FROM events) AS t FROM orders)
 SELECT o_orderkey AS probe_id, k AS key, t AS at, s.value FROM p LEFT JOIN s ON s.key = k AND s.seq <= t AND (s.until IS NULL OR t < s.until)""")
-def as_of_join_whole_log(spark, sf_dir):
+def as_of_join(spark, sf_dir):
     """Probe times from before the log's first record to its last."""
     log = event_log(spark, sf_dir)
     times = log.agg((F.max("seq") + 1).alias("times"))
@@ -425,17 +414,25 @@ def compaction_pick(spark, sf_dir):
     return spark.createDataFrame([(DEFAULT_CF, picked)], "cf string, picked string")
 
 
+#: Properties of write buffers, caches and deeper levels, which are always zero.
+ZEROS = (
+    *(f"num-files-at-level{i}" for i in range(2, 7)), "num-running-compactions", "num-running-flushes", "actual-delayed-write-rate", "num-immutable-mem-table",
+    "mem-table-flush-pending", "block-cache-capacity", "block-cache-usage", "cur-size-active-mem-table", "cur-size-all-mem-tables", "size-all-mem-tables",
+    "num-entries-active-mem-table",
+)
+
+
 @query(f"""WITH r AS (SELECT * FROM {RUNS}) SELECT cf, name, CAST(value AS BIGINT) AS value FROM (
 SELECT cf, 'num-files-at-level0' AS name, count(*) FILTER (level = 0) AS value FROM r GROUP BY cf UNION ALL
 SELECT cf, 'num-files-at-level1', count(*) FILTER (level = 1) FROM r GROUP BY cf UNION ALL
-SELECT cf, 'num-files-at-level2', 0 FROM r GROUP BY cf UNION ALL SELECT cf, 'total-sst-files-size', sum(size) FROM r GROUP BY cf UNION ALL
+SELECT cf, 'total-sst-files-size', sum(size) FROM r GROUP BY cf UNION ALL
 SELECT cf, 'estimate-pending-compaction-bytes', coalesce(sum(size) FILTER (level = 0), 0) FROM r GROUP BY cf UNION ALL
 SELECT cf, 'compaction-pending', CASE WHEN count(*) FILTER (level = 0) >= 4 THEN 1 ELSE 0 END FROM r GROUP BY cf UNION ALL
 SELECT cf, 'is-write-stopped', CASE WHEN count(*) FILTER (level = 0) >= 36 THEN 1 ELSE 0 END FROM r GROUP BY cf UNION ALL
-SELECT cf, 'actual-delayed-write-rate', 0 FROM r GROUP BY cf)""")
+SELECT cf, 'live-sst-files-size', sum(size) FROM r GROUP BY cf UNION ALL
+SELECT DISTINCT cf, z.name, 0 FROM r, (VALUES {', '.join(f"('{n}')" for n in ZEROS)}) AS z(name))""")
 def engine_properties(spark, sf_dir):
-    names = ["num-files-at-level0", "num-files-at-level1", "num-files-at-level2", "total-sst-files-size", "estimate-pending-compaction-bytes", "compaction-pending", "is-write-stopped", "actual-delayed-write-rate"]
-    return stats.properties(run_table(spark, sf_dir)).where(F.col("name").isin(names))
+    return stats.properties(run_table(spark, sf_dir))
 
 
 # -- compaction and time to live ----------------------------------------------------------------------------------
@@ -474,20 +471,24 @@ def compact_with_ttl(spark, sf_dir):
     return readable(rows.select("cf", "key", "value"))
 
 
+#: An event's frame in a list, in hexadecimal: length, stamp, number.
+FRAME = "lpad(hex(8 + strlen(CAST(event_id AS VARCHAR))), 8, '0') || lpad(hex(ms), 16, '0') || hex(CAST(event_id AS VARCHAR))"
 STAMPED = "1706659200000 - (o_orderkey % 20) * 86400000"
 
 
-@query(f"""SELECT key FROM (SELECT lpad(CAST(o_custkey AS VARCHAR), 8, '0') || ':' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS key, {STAMPED} AS stamp, o_orderkey FROM orders)
+@query(f"""SELECT key, CASE WHEN o_orderkey % 11 = 0 THEN hex('short') ELSE lpad(hex(stamp), 16, '0') || hex(o_orderpriority) END AS value_hex
+FROM (SELECT lpad(CAST(o_custkey AS VARCHAR), 8, '0') || ':' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS key, {STAMPED} AS stamp, o_orderkey, o_orderpriority FROM orders)
 WHERE o_orderkey % 11 = 0 OR {NOW_MS} - stamp <= {TTL_MS}""")
 def value_ttl_view(spark, sf_dir):
     """Values that begin with an 8-byte stamp; every eleventh is too short to have one and stays."""
     log = order_log(spark, sf_dir)
     stamp = F.lit(NOW_MS) - ((F.col("seq") - 1) % 20) * 86_400_000
     value = F.when((F.col("seq") - 1) % 11 == 0, F.lit("short").cast("binary")).otherwise(F.concat(scalar.fixed_be(stamp, 8), F.col("value")))
-    return readable(compaction.ttl_view(plans.resolve(log.withColumn("value", value), has_merges=False), filters.value_ttl(NOW_MS, TTL_MS)).select("key"))
+    view = compaction.ttl_view(plans.resolve(log.withColumn("value", value), has_merges=False), filters.value_ttl(NOW_MS, TTL_MS))
+    return readable(view.select("key", F.hex("value").alias("value_hex")))
 
 
-@query(f"""WITH e AS (SELECT user_id, event_id, epoch_ms(ts) AS ms FROM events), f AS (SELECT user_id, min(event_id) AS first FROM e WHERE greatest({NOW_MS} - ms, 0) <= {TTL_MS} GROUP BY user_id)
+@query(f"""WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms FROM events), f AS (SELECT user_id, min(event_id) AS first FROM e WHERE greatest({NOW_MS} - ms, 0) <= {TTL_MS} GROUP BY user_id)
 SELECT e.user_id, count(*) AS n_left, min(event_id) AS first_left FROM e JOIN f ON e.user_id = f.user_id AND e.event_id >= f.first GROUP BY e.user_id""")
 def list_ttl_typed(spark, sf_dir):
     """Lists lose their expired prefix and keep all from the first fresh element on."""
@@ -497,19 +498,22 @@ def list_ttl_typed(spark, sf_dir):
     return tail.select("user_id", F.size("es").cast("long").alias("n_left"), F.col("es")[0]["event_id"].alias("first_left"))
 
 
-@query(f"""WITH e AS (SELECT user_id, event_id, epoch_ms(ts) AS ms FROM events), f AS (SELECT user_id, min(event_id) AS first FROM e WHERE greatest({NOW_MS} - ms, 0) <= {TTL_MS} GROUP BY user_id)
-SELECT CAST(e.user_id AS VARCHAR) AS key, CAST(sum(12 + strlen(CAST(event_id AS VARCHAR))) AS BIGINT) AS n_bytes FROM e JOIN f ON e.user_id = f.user_id AND e.event_id >= f.first GROUP BY e.user_id""")
+@query(f"""WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms FROM events), f AS (SELECT user_id, min(event_id) AS first FROM e WHERE greatest({NOW_MS} - ms, 0) <= {TTL_MS} GROUP BY user_id)
+SELECT CAST(e.user_id AS VARCHAR) AS key, string_agg({FRAME}, '' ORDER BY event_id) AS value_hex FROM e JOIN f ON e.user_id = f.user_id AND e.event_id >= f.first GROUP BY e.user_id""")
 def list_ttl_framed(spark, sf_dir):
     """The same on lists of framed bytes, in a compaction."""
-    e = table(spark, sf_dir, "events")
+    rows = compaction.compact(framed_log(spark, sf_dir), merge=merge.string_append(b""), filters=[filters.list_ttl(NOW_MS, TTL_MS)])
+    return readable(rows.select("key", F.hex("value").alias("value_hex")))
+
+
+def framed_log(spark, sf_dir) -> DataFrame:
+    """Each event as an element of its user's list: a frame of length, stamp and number."""
     payload = F.col("event_id").cast("string").cast("binary")
     frame = F.concat(scalar.fixed_be(F.octet_length(payload) + 8, 4), scalar.fixed_be(F.unix_millis(F.col("ts").cast("timestamp")), 8), payload)
-    log = e.select(
+    return table(spark, sf_dir, "events").select(
         F.lit(DEFAULT_CF).alias("cf"), (F.col("event_id") + 1).alias("seq"), F.lit("merge").alias("op"), F.col("user_id").cast("string").cast("binary").alias("key"),
         F.lit(None).cast("binary").alias("end_key"), frame.alias("value"), F.col("ts").cast("timestamp").alias("ts"),
     )
-    rows = compaction.compact(log, merge=merge.string_append(b""), filters=[filters.list_ttl(NOW_MS, TTL_MS)])
-    return readable(rows.select("key", F.octet_length("value").cast("long").alias("n_bytes")))
 
 
 @query(f"""WITH s AS (SELECT key, value FROM {resolved(ORDERS)})
@@ -615,13 +619,15 @@ def starts_with_ignoring_case(spark, sf_dir):
 
 
 SPELT = "(VALUES ('42'), ('+42'), ('-1'), (' 7'), ('18446744073709551615'), ('18446744073709551616'), ('000000000000000000000000012'), ('1.5'), (''), ('+'), ('TRUE'), ('off'), ('0'), ('Yes')) AS t(s)"
+SPELLINGS = "CASE o_orderkey % 6 WHEN 0 THEN '' WHEN 1 THEN '+' WHEN 2 THEN '-' WHEN 3 THEN ' ' WHEN 4 THEN '00' ELSE '+0' END || CAST(o_orderkey AS VARCHAR(20)) || CASE o_orderkey % 5 WHEN 0 THEN 'x' WHEN 1 THEN ' ' WHEN 2 THEN '.0' WHEN 3 THEN '' ELSE '0000000000000' END"
 WORDS = ("42", "+42", "-1", " 7", "18446744073709551615", "18446744073709551616", "000000000000000000000000012", "1.5", "", "+", "TRUE", "off", "0", "Yes")
 
 
 @query(f"""SELECT s, CASE WHEN regexp_full_match(s, '\\+?[0-9]+') AND CAST(ltrim(s, '+') AS HUGEINT) <= 18446744073709551615 THEN CAST(CAST(ltrim(s, '+') AS HUGEINT) AS VARCHAR) END AS number,
-CASE WHEN lower(s) IN ('true', '1', 'yes', 'on') THEN true WHEN lower(s) IN ('false', '0', 'no', 'off') THEN false END AS truth FROM {SPELT}""")
+CASE WHEN lower(s) IN ('true', '1', 'yes', 'on') THEN true WHEN lower(s) IN ('false', '0', 'no', 'off') THEN false END AS truth FROM (SELECT s FROM {SPELT} UNION ALL SELECT {SPELLINGS} FROM orders)""")
 def parse_numbers_and_booleans(spark, sf_dir):
-    t = spark.createDataFrame([(w,) for w in WORDS], "s string")
+    """Odd words, and every order's number in thirty spellings."""
+    t = spark.createDataFrame([(w,) for w in WORDS], "s string").unionAll(table(spark, sf_dir, "orders").select(F.expr(SPELLINGS).alias("s")))
     return t.select("s", scalar.parse_u64(F.col("s")).cast("string").alias("number"), scalar.parse_bool(F.col("s")).alias("truth"))
 
 
@@ -647,20 +653,12 @@ def fixed_width_codes(spark, sf_dir):
     )
 
 
-@query("""SELECT o_orderkey, CASE WHEN v < 128 THEN lpad(hex(v), 2, '0') WHEN v < 16384 THEN hex(v % 128 + 128) || lpad(hex(v // 128), 2, '0')
-WHEN v < 2097152 THEN hex(v % 128 + 128) || hex(v // 128 % 128 + 128) || lpad(hex(v // 16384), 2, '0') END AS code, v AS back FROM (SELECT o_orderkey, o_orderkey % 2000000 AS v FROM orders)""")
-def varint_codes(spark, sf_dir):
-    v = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 2_000_000).alias("v"))
-    coded = v.select("o_orderkey", scalar.encode_varint(F.col("v")).alias("c"))
-    return coded.select("o_orderkey", F.hex("c").alias("code"), scalar.decode_varint(F.col("c")).alias("back"))
-
-
 @query("""WITH n AS (SELECT o_orderkey, 'key' AS kind, o_orderkey AS v FROM orders
 UNION ALL SELECT o_orderkey, 'shifted', (o_orderkey % 127 + 1) << CAST(7 * (o_orderkey % 9) AS INTEGER) FROM orders),
 c AS (SELECT *, list_transform(range(0, 9), lambda i: v >> CAST(7 * i AS INTEGER)) AS rest FROM n)
 SELECT o_orderkey, kind, array_to_string(list_transform(list_filter(range(1, 10), lambda i: i = 1 OR rest[i] > 0),
 lambda i: lpad(hex(rest[i] % 128 + CASE WHEN i < 9 AND rest[i] >= 128 THEN 128 ELSE 0 END), 2, '0')), '') AS code, v AS back FROM c""")
-def varint_codes_whole(spark, sf_dir):
+def varint_codes(spark, sf_dir):
     """Every order key as it is, and numbers of one to nine bytes."""
     k = F.col("o_orderkey")
     o = table(spark, sf_dir, "orders").select(k)
@@ -688,13 +686,24 @@ def checksums(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", scalar.fnv32(name).alias("fnv"), scalar.crc32c(name).alias("crc"))
 
 
-@query()
+_P1, _P2, _M = (f"{n}::UHUGEINT" for n in (*scalar.HASH64_PRIMES, 1 << 64))
+_TURN = f"(xor(a, b) * {_P2}) % {_M}"
+_WIDE = _STEP32.replace("UBIGINT", "UHUGEINT").format(start=str((scalar.HASH64_PRIMES[0]) % (1 << 64)), step=f"({_TURN} * 2147483648::UHUGEINT) % {_M} + ({_TURN}) // 8589934592::UHUGEINT")
+_END = f"(xor(b, b // 536870912::UHUGEINT) * {_P1}) % {_M}"
+
+
+@query(f"""WITH w AS (SELECT s_suppkey, {_WIDE} AS a, CAST({_CRC} AS BIGINT) AS crc FROM supplier),
+x AS (SELECT *, (xor(a, a // 8589934592::UHUGEINT) * {_P2}) % {_M} AS b FROM w), y AS (SELECT *, {_END} AS c FROM x), z AS (SELECT *, xor(c, c // 4294967296::UHUGEINT) AS h FROM y)
+SELECT s_suppkey, CAST(CAST(h AS HUGEINT) - CASE WHEN h >= 9223372036854775808::UHUGEINT THEN 18446744073709551616::HUGEINT ELSE 0 END AS BIGINT) AS hash,
+((crc >> 15) + (crc & 32767) * 131072 + {scalar.MASK_DELTA}) % 4294967296 AS masked, crc FROM z""")
 def hash64_function(spark, sf_dir):
     name = F.col("s_name").cast("binary")
-    return table(spark, sf_dir, "supplier").select("s_suppkey", scalar.hash64(name).alias("hash"), scalar.masked_crc32c(name).alias("masked"))
+    coded = table(spark, sf_dir, "supplier").select("s_suppkey", scalar.hash64(name).alias("hash"), scalar.masked_crc32c(name).alias("masked"))
+    return coded.withColumn("crc", scalar.unmasked_crc32c(F.col("masked")))
 
 
 NAMES = ("000012.log", "000007.sst", "9.blob", "000003.dbtmp", "MANIFEST-000005", "OPTIONS-12", "CURRENT", "LOCK", "IDENTITY", "LOG", "LOG.old.123", "x.sst", "MANIFEST-", "7.txt")
+FILES = "CASE o_orderkey % 7 WHEN 0 THEN 'MANIFEST-' WHEN 1 THEN 'OPTIONS-' ELSE '' END || lpad(CAST(o_orderkey AS VARCHAR(20)), 9, '0') || CASE o_orderkey % 7 WHEN 2 THEN '.log' WHEN 3 THEN '.sst' WHEN 4 THEN '.blob' WHEN 5 THEN '.dbtmp' WHEN 6 THEN '.txt' ELSE '' END"
 KINDS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in filenames.SUFFIXES.items()) + "}"
 
 
@@ -703,9 +712,9 @@ WHEN regexp_full_match(n, 'MANIFEST-[0-9]+') THEN 'descriptor' WHEN regexp_full_
 WHEN regexp_full_match(n, '[0-9]+\\.(log|sst|blob|dbtmp)') THEN CAST({KINDS}[regexp_extract(n, '\\.([a-z]+)$', 1)] AS VARCHAR) END AS kind,
 CASE WHEN regexp_full_match(n, '[0-9]+\\.(log|sst|blob|dbtmp)') THEN CAST(regexp_extract(n, '^[0-9]+') AS BIGINT)
 WHEN regexp_full_match(n, '(MANIFEST|OPTIONS)-[0-9]+') THEN CAST(regexp_extract(n, '[0-9]+$') AS BIGINT)
-WHEN n IN ('CURRENT', 'LOCK', 'IDENTITY', 'LOG', 'LOG.old.123') THEN 0 END AS number FROM (VALUES {', '.join(f"('{n}')" for n in NAMES)}) AS t(n)""")
+WHEN n IN ('CURRENT', 'LOCK', 'IDENTITY', 'LOG', 'LOG.old.123') THEN 0 END AS number FROM (SELECT n FROM (VALUES {', '.join(f"('{n}')" for n in NAMES)}) AS t(n) UNION ALL SELECT {FILES} FROM orders)""")
 def parse_file_names(spark, sf_dir):
-    t = spark.createDataFrame([(n,) for n in NAMES], "name string")
+    t = spark.createDataFrame([(n,) for n in NAMES], "name string").unionAll(table(spark, sf_dir, "orders").select(F.expr(FILES).alias("name")))
     kind, number = filenames.parsed(F.col("name"))
     return t.select("name", kind.alias("kind"), number.alias("number"))
 
@@ -728,16 +737,8 @@ def store_scan(spark, sf_dir):
     return readable(filled_store(spark, sf_dir)[0].scan())
 
 
-@query(f"SELECT * FROM {resolved(where='seq <= 400')}")
-def store_snapshot_after_compaction(spark, sf_dir):
-    store, snapshot = filled_store(spark, sf_dir)
-    store.compact()
-    plain = readable(plans.resolve(event_log(spark, sf_dir), 400)).select("key", "n_operands")
-    return readable(store.scan(read_seq=snapshot).drop("n_operands")).join(plain, "key", "left").select("cf", "key", "value", "seq", "n_operands")
-
-
 @query(f"SELECT cf, key, value, seq FROM {resolved(where='seq <= 400')}")
-def store_scan_at_snapshot_after_compaction(spark, sf_dir):
+def store_snapshot_after_compaction(spark, sf_dir):
     """The store's scan alone."""
     store, snapshot = filled_store(spark, sf_dir)
     store.compact()
@@ -753,14 +754,20 @@ def store_prefix_scan_of_checkpoint(spark, sf_dir):
     return readable(copy.prefix_scan(b"1").select("cf", "key", "value"))
 
 
-@query("SELECT CAST(1 AS BIGINT) AS added, CAST(2 AS BIGINT) AS removed, CAST(2 AS BIGINT) AS vacuumed FROM events LIMIT 1")
+@query(f"""SELECT 'removed' AS change, count(*) AS n_entries, min(seq) AS min_seq, max(seq) AS max_seq FROM ({EVENTS}) WHERE seq <= 400
+UNION ALL SELECT 'removed', count(*), min(seq), max(seq) FROM ({EVENTS}) WHERE seq > 400 UNION ALL SELECT 'added', count(*), min(seq), max(seq) FROM {resolved()}
+UNION ALL SELECT 'vacuumed', 2, 0, 0""")
 def store_incremental_checkpoint(spark, sf_dir):
+    """The runs that a compaction added and removed since a manifest, with what they hold, and how many a vacuum deletes."""
     store, snapshot = filled_store(spark, sf_dir)
     since = store.version
     store.release(snapshot)
+    before = store.runs()
     store.compact()
-    added, removed = store.changed_runs(since)
-    return spark.createDataFrame([(len(added), len(removed), len(store.vacuum()))], "added long, removed long, vacuumed long")
+    changed = dict(zip(("added", "removed"), store.changed_runs(since), strict=True))
+    known = before.unionByName(store.runs()).select("path", "n_entries", "min_seq", "max_seq").collect()  # a row per run
+    rows = [(how, *r[1:]) for how, paths in changed.items() for r in known if r["path"] in paths]
+    return spark.createDataFrame([*rows, ("vacuumed", len(store.vacuum()), 0, 0)], "change string, n_entries long, min_seq long, max_seq long")
 
 
 @query(f"SELECT 'copy' AS cf, key, value FROM {resolved()}")
