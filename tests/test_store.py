@@ -2,6 +2,7 @@ import json
 import os
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,6 +237,32 @@ def test_one_of_two_creators_wins_and_no_file_is_half_written(store):
     assert [n for n in os.listdir(f"{store.path}/manifests") if n.startswith(".")] == []
 
 
+def test_a_rename_takes_a_free_name_only(store):
+    """What other file systems than this machine's own do."""
+    at, asides = f"{store.path}/manifests/y.json", [f"{store.path}/manifests/.{i}" for i in range(2)]
+    for i, aside in enumerate(asides):
+        with open(aside, "w") as f:
+            f.write(str(i))
+    assert store.files._take_name(asides[0], at) and not store.files._take_name(asides[1], at)
+    assert store.files.read(at) == "0" and not os.path.exists(asides[1])
+
+
+def test_a_store_at_a_uri(spark, tmp_path):
+    store = Store.open(spark, f"file://{tmp_path}/store")
+    store.write(multi_put([(b"a", b"1"), (b"b", b"2")]))
+    copy = store.checkpoint(f"file://{tmp_path}/copy")
+    store.compact()
+    store.vacuum()
+    assert model.rows(copy.scan()) == model.rows(Store.open(spark, f"file://{tmp_path}/store", create=False).scan()) == {b"a": b"1", b"b": b"2"}
+
+
+def test_runs_have_bloom_filters_on_keys(spark, store):
+    store.write(spark.range(2000).select(F.sha2(F.col("id").cast("string"), 256).cast("binary").alias("key"), F.lit("put").alias("op"), F.lit(b"v").alias("value"), "id"), ["id"])
+    files = f"{store.live_files()[0]}/*.parquet"
+    found = duckdb.sql(f"SELECT path_in_schema, count(*) FILTER (bloom_filter_offset > 0) FROM parquet_metadata('{files}') GROUP BY ALL").fetchall()
+    assert dict(found)["key"] > 0 and store.get(b"absent") is None and store.scan().count() == 2000
+
+
 def test_compaction_leaves_other_runs_alone(spark, store):
     """Level-1 runs that no new run overlaps keep their files; a delete over an older run below is not lost."""
     store.create_keyspace("k", run_bytes=1, trigger=2)

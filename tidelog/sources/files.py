@@ -72,6 +72,11 @@ class Files:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
+        return self._take_name(aside, path)
+
+    def _take_name(self, aside: str, path: str) -> bool:
+        """Rename a file, or delete it and give False where the name is taken."""
+        fs, p = self._at(path)
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self._conf)
         kind = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
         how = self._gateway.new_array(kind, 1)
