@@ -32,6 +32,8 @@ largest_key binary, min_seq long, max_seq long, n_merges long, n_ranges long"""
 DEFAULT_OPTIONS = {"merge": "string_append", "delimiter": ",", "ttl_kind": "disabled", "ttl_ms": 0, "trigger": compaction.TRIGGER, "codec": "zstd"}
 #: More options: the order of iteration, how many level-0 runs stop writers, and the size of a level-1 run.
 DEFAULT_OPTIONS |= {"order": "bytewise", "stop": stats.STOP_WRITES, "run_bytes": 256 << 20}
+#: Bloom filters on keys, of the size that a file's keys ask for.
+BLOOM = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.adaptive.enabled#key": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
 #: Runs that no manifest ever named may belong to a write in flight; vacuum leaves them for so long.
 ORPHAN_MS = 24 * 3600 * 1000
 
@@ -168,7 +170,7 @@ class Store:
         ordered = rows.withColumn("cf_", F.col("cf")).sortWithinPartitions("cf_", "key", F.desc("seq"))
         watched = ordered.observe(watch, F.count_if(~known).alias("strange"), *[c.alias(k) for k, c in figures.items()])
         out = watched.write.partitionBy("cf_")
-        out.option("compression", codec).option("parquet.bloom.filter.enabled#key", "true").parquet(f"{self.path}/runs/{folder}")
+        out.options(compression=codec, **BLOOM).parquet(f"{self.path}/runs/{folder}")
         seen = watch.get
         if seen["strange"]:
             self.files.delete(f"{self.path}/runs/{folder}")
@@ -449,7 +451,7 @@ class Store:
         folder = self._new_folder(number)
         path = f"{self.path}/runs/{folder}"
         rows = log.repartitionByRange(n_runs, "key").sortWithinPartitions("key", F.desc("seq"))
-        rows.write.option("compression", codec).option("parquet.bloom.filter.enabled#key", "true").parquet(path)
+        rows.write.options(compression=codec, **BLOOM).parquet(path)
         written = self.spark.read.schema(OP_LOG).parquet(path).withColumn("file", F.col("_metadata.file_name"))
         found = written.groupBy("file").agg(*[c.alias(k) for k, c in _figures(F.lit(True)).items()]).orderBy("smallest_key").collect()  # a row per file
         if not found:
