@@ -1,11 +1,13 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests import model
 from tidelog.functions import merge
 from tidelog.operators import compaction, reads
-from tidelog.plans.resolve import resolve
+from tidelog.plans import resolve as plans
+from tidelog.plans.resolve import hide_ranges, resolve
 from tidelog.schema import InvalidArgument
 
 P, D, M, R = "put", "delete", "merge", "delete_range"
@@ -105,3 +107,31 @@ def test_key_filters_reach_the_scan(spark, tmp_path):
     assert "GreaterThanOrEqual(key" in plan and "LessThan(key" in plan
     plan = reads.get(read, b"abc")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(key" in plan
+
+
+@pytest.mark.parametrize("banded", [False, True])
+def test_many_nested_ranges(spark, monkeypatch, banded):
+    """Ranges that lie over each other are not met one by one: of all over a key the newest decides, in each band."""
+    monkeypatch.setattr(plans, "FINE", 2)  # blocks of both steps
+    rng = random.Random(5)
+    text = lambda n: b"%04d" % n
+    ranges = [(cf, text(lo), text(rng.choice([900, rng.randrange(lo, 900)])), rng.randrange(1000)) for cf in "ab" for lo in rng.sample(range(900), 150)]
+    points = [(cf, text(rng.randrange(950)), rng.randrange(1000)) for cf in "abc" for _ in range(400)]
+    band = (lambda seq: F.floor(seq / 400)) if banded else None
+    same = lambda x, y: not banded or x // 400 == y // 400
+    wanted = sorted(p for p in points if not any(cf == p[0] and lo <= p[1] < hi and p[2] < seq and same(p[2], seq) for cf, lo, hi, seq in ranges))
+    r = spark.createDataFrame(ranges, "cf string, key binary, end_key binary, seq long")
+    p = spark.createDataFrame(points, "cf string, key binary, seq long")
+    for few in (1, 5000):
+        found = hide_ranges(p, r, broadcast_ranges=few, band=band)
+        assert sorted((x.cf, bytes(x.key), x.seq) for x in found.collect()) == wanted
+    assert 0 < len(wanted) < len(points)
+
+
+def test_nested_ranges_make_few_rows(spark):
+    """A range makes two rows a level at most, however many ends it lies over, and they make it up."""
+    n = 3000
+    spans = spark.range(n).select(F.col("id").alias("lo"), F.lit(n).cast("long").alias("hi"))
+    made = plans._blocks(spans, n.bit_length(), ["lo", "hi"])
+    figures = made.groupBy("lo").agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr("shiftleft(1L, level)")).alias("size"), F.min(F.expr("shiftleft(i, level)")).alias("first")).collect()
+    assert len(figures) == n and all(r.n <= 2 * n.bit_length() and r.size == n - r.lo and r.first == r.lo for r in figures)

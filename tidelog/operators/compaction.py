@@ -103,8 +103,7 @@ def compact(
     cuts = F.array(*[F.lit(int(s)).cast("long") for s in sorted(set(snapshots))]).cast("array<bigint>")
     band = lambda seq: F.size(F.filter(cuts, lambda s: s < seq))
     # a range delete hides a record for good only where no snapshot stands between the two
-    within = band(F.col("seq")) == band(F.col("r_seq")) if snapshots else None
-    points = hide_ranges(points, ranges, within=within)
+    points = hide_ranges(points, ranges, band=band if snapshots else None)
     is_merge = F.col("op") == MERGE
     state = points.withColumn("band", band(F.col("seq"))).groupBy("cf", "key", "band").agg(
         F.max_by(F.when(~is_merge, F.struct("op", "value", "seq", "ts")), F.when(~is_merge, F.col("seq"))).alias("b"),

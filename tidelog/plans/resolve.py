@@ -8,16 +8,21 @@ Only predicates on cf, key and seq may go below `resolve`; value and op predicat
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.merge import MergeOperator, string_append
 from tidelog.schema import DELETE, DELETE_RANGE, MERGE, PUT, InvalidArgument
+from tidelog.sources.durable import durable
 
 #: Up to so many range deletes are broadcast; beyond that they meet the records by key.
 BROADCAST_RANGES = 5_000
-#: Beyond that, the ends of so many ranges cut the keys into intervals.
+#: Where ranges are spelled out, the ends of so many cut the keys into intervals beyond that.
 CUTS = 4_096
+#: Blocks of more than two to this power of ends are spelled out as such blocks first.
+FINE = 10
 
 
 def visible(log: DataFrame, read_seq: int | None = None, last_seq: int | None = None) -> DataFrame:
@@ -46,27 +51,61 @@ def _interval(key: Column, cuts: list[bytes]) -> Column:
     return F.aggregate(steps, F.lit(0), lambda n, step: F.when((n + step <= len(cuts)) & (F.get(array, n + step - 1) <= key), n + step).otherwise(n))
 
 
-def hide_ranges(points: DataFrame, ranges: DataFrame, broadcast_ranges: int = BROADCAST_RANGES, within: Column | None = None) -> DataFrame:
+def hide_ranges(points: DataFrame, ranges: DataFrame, broadcast_ranges: int = BROADCAST_RANGES, band: Callable[[Column], Column] | None = None) -> DataFrame:
     """`points` without the records that a newer range delete covers.  `ranges` has cf, key, end_key and seq.
 
-    `within` may narrow the match by a further condition on seq and r_seq.
+    `band` may narrow the match to sequence numbers of one band.
 
-    The number of ranges is checked first.  A few are broadcast.  Many are cut at some of their own ends into
-    intervals of the key space that hold about as many ends each, wherever the keys lie, and joined by (cf, interval).
+    The number of ranges is checked first.  A few are broadcast.  Of many, the newest over each key is found first, however
+    they lie over each other, and the records meet that one by their key.
     """
-    distinct = ranges.where("key < end_key").select("cf", "key", "end_key", "seq")
-    if within is None:
-        distinct = distinct.groupBy("cf", "key", "end_key").agg(F.max("seq").alias("seq"))
-    r = distinct.select(F.col("cf").alias("r_cf"), F.col("key").alias("r_lo"), F.col("end_key").alias("r_hi"), F.col("seq").alias("r_seq"))
-    hides = (F.col("cf") == F.col("r_cf")) & (F.col("key") >= F.col("r_lo")) & (F.col("key") < F.col("r_hi")) & (F.col("seq") < F.col("r_seq"))
-    hides = hides if within is None else hides & within
+    by = [] if band is None else ["r_band"]
+    r = ranges.where("key < end_key").select(F.col("cf").alias("r_cf"), F.col("key").alias("r_lo"), F.col("end_key").alias("r_hi"), "seq", *[band(F.col("seq")).alias(b) for b in by])
+    r = r.groupBy("r_cf", "r_lo", "r_hi", *by).agg(F.max("seq").alias("r_seq"))
+    hides = (F.col("cf") == F.col("r_cf")) & (F.col("seq") < F.col("r_seq"))
+    hides = hides if band is None else hides & (band(F.col("seq")) == F.col("r_band"))
     n = r.limit(broadcast_ranges + 1).count()
     if n == 0:
         return points
     if n <= broadcast_ranges:
-        return points.join(F.broadcast(r), hides, "left_anti")
-    filed, spread = _filed(points, r)
-    return filed.join(spread, (F.col("interval") == F.col("r_interval")) & hides, "left_anti").drop("interval")
+        return points.join(F.broadcast(r), hides & (F.col("key") >= F.col("r_lo")) & (F.col("key") < F.col("r_hi")), "left_anti")
+    return points.join(_newest_over(points, r, by), hides & (F.col("key") == F.col("r_key")), "left_anti")
+
+
+def _newest_over(points: DataFrame, r: DataFrame, by: list[str]) -> DataFrame:
+    """r_cf, r_key, r_seq (and `by`): the newest of the ranges over each key of `points`; keys that none covers are absent.
+
+    Ends are numbered in key order, and a key has the number of the last end at or before it.  A range is then an interval of
+    numbers, cut into the few blocks of a power of two that make it up, and a block keeps its newest range only.  Blocks are
+    spelled out in two steps, so the rows grow as the ends times the logarithm of their number.
+    """
+    ends = r.select(F.col("r_cf").alias("cf"), F.explode(F.array("r_lo", "r_hi")).alias("key"), F.lit(1).alias("is_end"))
+    spots = ends.unionByName(points.select("cf", "key", F.lit(0).alias("is_end"))).groupBy("cf", "key").agg(F.max("is_end").alias("is_end"))
+    # kept, since it is read again below, and a second sampling of the ranges might cut them elsewhere
+    placed = durable(spots.repartitionByRange("cf", "key").withColumn("part", F.spark_partition_id()))
+    sizes = placed.groupBy("part").agg(F.sum("is_end").alias("size"))  # one row per range
+    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.sum("is_end").over(Window.partitionBy("part").orderBy("cf", "key"))
+    ranked = placed.withColumn("within", within).join(F.broadcast(sizes.select("part", before.alias("before"))), "part").withColumn("rank", F.col("before") + F.col("within") - 1)
+    end = lambda key, rank: ranked.where("is_end = 1").select(F.col("cf").alias("r_cf"), F.col("key").alias(key), F.col("rank").alias(rank))
+    spans = r.join(end("r_lo", "lo"), ["r_cf", "r_lo"]).join(end("r_hi", "hi"), ["r_cf", "r_hi"])
+    levels = int(sizes.agg(F.sum("size")).first()[0]).bit_length()
+    blocks = _blocks(spans, levels, ["r_seq", *by])
+    newest = lambda rows, *at: rows.groupBy(*at, *by).agg(F.max("r_seq").alias("r_seq"))
+    spelled = lambda up: F.explode(F.expr(f"sequence(shiftleft(i, {up}), shiftleft(i + 1, {up}) - 1)"))
+    coarse = newest(blocks, "level", "i")
+    fine = newest(coarse.select(F.least("level", F.lit(FINE)).alias("level"), spelled(f"greatest(level - {FINE}, 0)").alias("i"), "r_seq", *by), "level", "i")
+    each = newest(fine.select(spelled("level").alias("rank"), "r_seq", *by), "rank")
+    return ranked.join(each, "rank").select(F.col("cf").alias("r_cf"), F.col("key").alias("r_key"), "r_seq", *by)
+
+
+def _blocks(spans: DataFrame, levels: int, kept: list[str]) -> DataFrame:
+    """level, i and `kept`: the blocks of 2^level numbers from i * 2^level on that make up each [lo, hi) of `spans`; at most two a level."""
+    left, right = "shiftright(lo + shiftleft(1L, j) - 1, j)", "shiftright(hi, j)"
+    block = lambda odd, i: f"CASE WHEN {left} < {right} AND {odd} % 2 = 1 THEN named_struct('level', j, 'i', {i}) END"
+    pair = f"array({block(left, left)}, {block(right, f'{right} - 1')})"
+    found = F.expr(f"filter(flatten(transform(sequence(0, {levels}), j -> {pair})), x -> x IS NOT NULL)")
+    return spans.select(F.explode(found).alias("x"), *kept).select("x.level", "x.i", *kept)
 
 
 def _filed(points: DataFrame, r: DataFrame) -> tuple[DataFrame, DataFrame]:
