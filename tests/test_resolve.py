@@ -88,6 +88,18 @@ def test_next_chunk(spark):
     assert [k for p in packed for k, _ in reads.unpack_chunk(bytes(p["packed"]))] == seen
 
 
+def test_chunk_bounds_are_a_cursors_stops(spark, monkeypatch):
+    """The stops are those of chunks that are drawn one after the other, and no row is drawn for them."""
+    log = model.frame(spark, [(i + 1, P, b"%05d" % (i * 7919 % 503), None, b"v") for i in range(503)])
+    state = reads.scan(log).cache()
+    drawn = [(i, len(c), bytes(c[0]["key"]), bytes(c[-1]["key"])) for i, c in enumerate(reads.chunks(state, 50))]
+    monkeypatch.setattr(type(state), "toLocalIterator", None)
+    found = sorted((r.chunk, r.n, bytes(r.first_key), bytes(r.last_key)) for r in reads.chunk_bounds(state, 50).collect())
+    assert found == drawn and len(drawn) == 11
+    with pytest.raises(InvalidArgument):
+        reads.chunk_bounds(state, 0)
+
+
 def test_operators_agree(spark):
     records = [(1, P, b"a", None, b"5"), (2, M, b"a", None, b"7"), (3, M, b"b", None, b"2"), (4, D, b"b", None, None), (5, M, b"b", None, b"1"), (6, P, b"c", None, b"9")]
     log = model.frame(spark, records)

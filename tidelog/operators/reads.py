@@ -125,7 +125,7 @@ def prev_chunk(state: DataFrame, before: bytes | None, n: int) -> DataFrame:
 
 
 def chunks(state: DataFrame, n: int = 1024):
-    """All rows in key order, `n` at a time; the driver holds one partition."""
+    """All rows in key order, `n` at a time, for a reader on the driver, which holds one partition; `chunk_bounds` leaves them where they are."""
     held = []
     for row in state.orderBy("key").toLocalIterator(prefetchPartitions=True):
         held.append(row)
@@ -141,6 +141,17 @@ def numbered_chunks(state: DataFrame, n: int) -> DataFrame:
     return numbered(state, ["key"], "chunk").withColumn("chunk", F.floor(F.col("chunk") / n).cast("long"))
 
 
+def chunk_bounds(state: DataFrame, n: int) -> DataFrame:
+    """One row per chunk of `n` rows in key order: chunk, n, first_key and last_key.
+
+    A cursor's stops: each chunk is what `next_chunk` gives behind the last key of the one before.  No row goes to the driver.
+    """
+    if n < 1:
+        raise InvalidArgument("a chunk has one row at least")
+    bounds = (F.count(F.lit(1)).alias("n"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
+    return numbered_chunks(state.select("key"), n).groupBy("chunk").agg(*bounds)
+
+
 def all_versions(log: DataFrame, read_seq: int | None = None) -> DataFrame:
     """Every record, not resolved: hexadecimal key, seq, op, hexadecimal value."""
     seen = visible(log, read_seq)
