@@ -286,6 +286,19 @@ def test_compaction_leaves_other_runs_alone(spark, store):
         store.compact("k", run_ids=[r["run_id"] for r in store.runs().collect()][:1])
 
 
+def test_few_tasks_write_many_runs(spark, store):
+    """A compaction into very many small runs starts a few tasks, and not one for each run."""
+    store.create_keyspace("k", run_bytes=1)
+    store.write(multi_put([(b"%03d" % i, b"x" * 50) for i in range(200)], "k"))
+    store.compact("k")
+    files = store.live_files()
+    tasks = {p.rsplit("/", 1)[-1].split("-")[1] for p in files}
+    assert len(files) > 20 and len(tasks) <= spark.sparkContext.defaultParallelism
+    edges = sorted((bytes(r["smallest_key"]), bytes(r["largest_key"])) for r in store.runs().collect())
+    assert all(a[1] < b[0] for a, b in zip(edges, edges[1:]))
+    assert all(os.path.getsize(r["path"]) == r["size"] for r in store.runs().collect()) and store.scan("k").count() == 200
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_levels_against_the_model(spark, store, seed):
     rng = random.Random(seed)

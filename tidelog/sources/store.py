@@ -38,6 +38,12 @@ BLOOM = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.adapt
 ORPHAN_MS = 24 * 3600 * 1000
 
 
+#: A task of a compaction writes the runs of about so many bytes, which may be very many small ones.
+TASK_BYTES = 16 << 20
+#: Tasks that list a store's files; by default Spark starts one for each path.
+LISTERS = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": "48"}
+
+
 class Conflict(RuntimeError):
     """Another writer has committed first; read again and retry."""
 
@@ -183,8 +189,11 @@ class Store:
         return entries
 
     def _entry(self, figures: dict, cf: str, place: str, level: int = 0) -> dict:
-        sized = figures | {"cf": cf, "level": level, "path": place, "size": self.files.size(f"{self.path}/runs/{place}")}
-        return sized | {k: bytes(sized[k]).hex() for k in ("smallest_key", "largest_key")}
+        return self._sized(figures | {"size": self.files.size(f"{self.path}/runs/{place}")}, cf, place, level)
+
+    @staticmethod
+    def _sized(figures: dict, cf: str, place: str, level: int) -> dict:
+        return figures | {"cf": cf, "level": level, "path": place} | {k: bytes(figures[k]).hex() for k in ("smallest_key", "largest_key")}
 
     def _numbered(self, entries: list[dict], first: int) -> list[dict]:
         return [e | {"run_id": first + i} for i, e in enumerate(entries)]
@@ -331,7 +340,19 @@ class Store:
         return [r for r in self._manifest["runs"] if (cf is None or r["cf"] == cf) and inside(r)]
 
     def _read(self, runs: Sequence[dict]) -> DataFrame:
-        return self.spark.read.schema(OP_LOG).parquet(*map(self._path, runs)) if runs else empty_log(self.spark)
+        return self._listed(*map(self._path, runs)) if runs else empty_log(self.spark)
+
+    def _listed(self, *paths: str) -> DataFrame:
+        """The records of Parquet files or folders, which are listed now."""
+        conf = self.spark.conf
+        before = {k: conf.get(k, None) for k in LISTERS}
+        try:
+            for k, v in LISTERS.items():
+                conf.set(k, v)
+            return self.spark.read.schema(OP_LOG).parquet(*paths)
+        finally:
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
 
     def log(self, cf: str | None = None, lower: bytes | None = None, upper: bytes | None = None) -> DataFrame:
         """The records of a keyspace (None: of all), without the runs that cannot hold a key of [lower, upper)."""
@@ -440,23 +461,31 @@ class Store:
         active = [*filters, *([f] if (f := config.filter(now_ms or 0)) else [])]
         bottom = not any(compaction.overlaps(r, chosen) for r in rest)
         merged = compaction.compact(self._read(chosen), sorted(set(self._manifest["snapshots"])), self.merge_operator(cf), active, bottom)
-        n_runs = max(1, round(sum(r["size"] for r in chosen) / options["run_bytes"]))
-        runs = self._write_level(as_log(merged), cf, self._manifest["next_run"], n_runs, options["codec"])
+        size = sum(r["size"] for r in chosen)
+        n_runs = max(1, round(size / options["run_bytes"]))
+        n_tasks = max(self.spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+        runs = self._write_level(as_log(merged), cf, self._manifest["next_run"], n_runs, n_tasks, options["codec"])
         gone = {r["run_id"] for r in chosen}
         left = [r for r in self._manifest["runs"] if r["run_id"] not in gone]
         return self._commit(runs=left + runs, next_run=self._manifest["next_run"] + len(runs))
 
-    def _write_level(self, log: DataFrame, cf: str, number: int, n_runs: int, codec: str) -> list[dict]:
-        """Write a log as up to `n_runs` files, cut between keys; a level-1 entry for each.  One aggregate reads their figures."""
+    def _write_level(self, log: DataFrame, cf: str, number: int, n_runs: int, n_tasks: int, codec: str) -> list[dict]:
+        """Write a log as up to `n_runs` files, cut between keys; a level-1 entry for each.  One aggregate reads their figures.
+
+        Up to `n_tasks` tasks write them, each a folder for every cut that it has.
+        """
         folder = self._new_folder(number)
         path = f"{self.path}/runs/{folder}"
-        rows = log.repartitionByRange(n_runs, "key").sortWithinPartitions("key", F.desc("seq"))
-        rows.write.options(compression=codec, **BLOOM).parquet(path)
-        written = self.spark.read.schema(OP_LOG).parquet(path).withColumn("file", F.col("_metadata.file_name"))
-        found = written.groupBy("file").agg(*[c.alias(k) for k, c in _figures(F.lit(True)).items()]).orderBy("smallest_key").collect()  # a row per file
-        if not found:
+        cut = log.repartitionByRange(n_runs, "key").withColumn("cut", F.spark_partition_id())
+        rows = cut.coalesce(min(n_runs, n_tasks)).sortWithinPartitions("cut", "key", F.desc("seq"))
+        rows.write.partitionBy("cut").options(compression=codec, **BLOOM).parquet(path)
+        if not any(n.startswith("cut=") for n in self.files.names(path)):
             self.files.delete(path)
-        entries = [self._entry({k: r[k] for k in _figures(F.lit(True))}, cf, f"{folder}/{r['file']}", level=1) for r in found]
+            return []
+        written = self._listed(path).withColumns({"file": F.col("_metadata.file_name"), "bytes": F.col("_metadata.file_size")})
+        figures = {k: c.alias(k) for k, c in _figures(F.lit(True)).items()} | {"size": F.first("bytes").alias("size")}
+        found = written.groupBy("cut", "file").agg(*figures.values()).orderBy("smallest_key").collect()  # a row per file
+        entries = [self._sized({k: r[k] for k in figures}, cf, f"{folder}/cut={r['cut']}/{r['file']}", level=1) for r in found]
         return self._numbered(entries, number)
 
     def maybe_compact(self, now_ms: int | None = None) -> str | None:
