@@ -299,6 +299,16 @@ def test_few_tasks_write_many_runs(spark, store):
     assert all(os.path.getsize(r["path"]) == r["size"] for r in store.runs().collect()) and store.scan("k").count() == 200
 
 
+def test_a_run_holds_what_a_task_can_sort(spark, store, monkeypatch):
+    """Records that take few bytes are not all sorted by one task."""
+    monkeypatch.setattr("tidelog.sources.store.TASK_ROWS", 20, raising=False)
+    store.write(multi_put([(b"%03d" % i, b"x") for i in range(200)]))
+    store.compact()
+    runs = sorted((bytes(r["smallest_key"]), bytes(r["largest_key"]), r["n_entries"]) for r in store.runs().collect())
+    assert len(runs) >= 8 and max(r[2] for r in runs) <= 40 and all(a[1] < b[0] for a, b in zip(runs, runs[1:]))
+    assert model.rows(store.scan()) == {b"%03d" % i: b"x" for i in range(200)}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_levels_against_the_model(spark, store, seed):
     rng = random.Random(seed)

@@ -40,6 +40,8 @@ ORPHAN_MS = 24 * 3600 * 1000
 
 #: A task of a compaction writes the runs of about so many bytes, which may be very many small ones.
 TASK_BYTES = 16 << 20
+#: A task of a compaction sorts about so many records, and a run has no more, however few bytes they take.
+TASK_ROWS = 1_000_000
 #: Tasks that list a store's files; by default Spark starts one for each path.
 LISTERS = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": "48"}
 
@@ -462,8 +464,9 @@ class Store:
         bottom = not any(compaction.overlaps(r, chosen) for r in rest)
         merged = compaction.compact(self._read(chosen), sorted(set(self._manifest["snapshots"])), self.merge_operator(cf), active, bottom)
         size = sum(r["size"] for r in chosen)
-        n_runs = max(1, round(size / options["run_bytes"]))
-        n_tasks = max(self.spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+        parts = -(-sum(r["n_entries"] for r in chosen) // TASK_ROWS)
+        n_runs = max(1, round(size / options["run_bytes"]), parts)
+        n_tasks = max(self.spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES), parts)
         runs = self._write_level(as_log(merged), cf, self._manifest["next_run"], n_runs, n_tasks, options["codec"])
         gone = {r["run_id"] for r in chosen}
         left = [r for r in self._manifest["runs"] if r["run_id"] not in gone]
