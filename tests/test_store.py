@@ -299,6 +299,21 @@ def test_few_tasks_write_many_runs(spark, store):
     assert all(os.path.getsize(r["path"]) == r["size"] for r in store.runs().collect()) and store.scan("k").count() == 200
 
 
+def test_few_tasks_list_many_runs(spark, store):
+    """A scan of very many runs lists them by a bounded number of tasks; the session's own setting comes back."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    store.create_keyspace("k", run_bytes=1)
+    store.write(multi_put([(b"%03d" % i, b"x" * 50) for i in range(100)], "k"))
+    store.compact("k")
+    assert len(store.live_files()) > 60
+    before, tracker = spark.conf.get(name, None), spark.sparkContext.statusTracker()
+    old = set(tracker.getJobIdsForGroup(None))
+    store.scan("k")
+    jobs = set(tracker.getJobIdsForGroup(None)) - old
+    sizes = [tracker.getStageInfo(s).numTasks for j in jobs for s in tracker.getJobInfo(j).stageIds]
+    assert sizes and max(sizes) <= 48 and spark.conf.get(name, None) == before
+
+
 def test_a_run_holds_what_a_task_can_sort(spark, store, monkeypatch):
     """Records that take few bytes are not all sorted by one task."""
     monkeypatch.setattr("tidelog.sources.store.TASK_ROWS", 20, raising=False)
