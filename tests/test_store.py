@@ -314,6 +314,92 @@ def test_few_tasks_list_many_runs(spark, store):
     assert sizes and max(sizes) <= 48 and spark.conf.get(name, None) == before
 
 
+def test_a_compaction_shuffles_once(spark, store, monkeypatch):
+    """Records are sent to the ranges of their keys as they are read; they are not grouped by a shuffle of its own before."""
+    plans_seen, write_level = [], Store._write_level
+    seen = lambda self, rows, *a: (plans_seen.append(rows._jdf.queryExecution().executedPlan().toString()), write_level(self, rows, *a))[1]
+    monkeypatch.setattr(Store, "_write_level", seen)
+    store.create_keyspace("k", run_bytes=500)
+    store.write(multi_put([(b"%03d" % i, b"old") for i in range(300)], "k"))
+    for op in (b"new", b"newer"):
+        store.write(multi_put([(b"%03d" % i, op) for i in range(0, 300, 2)], "k"))
+        store.write(multi_delete([b"%03d" % i for i in range(0, 300, 3)], "k"))
+        store.compact("k")
+        assert model.rows(store.scan("k")) == {b"%03d" % i: b"old" if i % 2 else op for i in range(300) if i % 3}
+        edges = sorted((bytes(r["smallest_key"]), bytes(r["largest_key"])) for r in store.runs().collect())
+        assert len(edges) > 4 and all(a[1] < b[0] for a, b in zip(edges, edges[1:]))
+    assert len(plans_seen) == 2 and all("rangepartitioning" in p and "hashpartitioning" not in p for p in plans_seen)
+
+
+@pytest.mark.parametrize("kind", ["merges", "ranges", "snapshot", "skip", "strict"])
+def test_runs_are_apart_whatever_is_compacted(spark, store, kind):
+    """Many small runs of a log with operands, range deletes or versions, and where every shuffle has to name all columns."""
+    store.create_keyspace("k", run_bytes=100)
+    wanted = {b"%03d" % i: b"v" for i in range(200)}
+    store.write(multi_put(wanted.items(), "k"))
+    batch, filters_, name = WriteBatch(), [], "spark.sql.requireAllClusterKeysForDistribution"
+    if kind == "snapshot":
+        held = store.snapshot()
+    if kind == "merges":
+        for i in range(0, 200, 5):
+            batch.merge(b"%03d" % i, b"w", "k")
+            wanted[b"%03d" % i] = b"v,w"
+    elif kind == "ranges":
+        batch.delete_range(b"050", b"100", "k")
+        wanted = {k: v for k, v in wanted.items() if not b"050" <= k < b"100"}
+    else:
+        for i in range(0, 200, 5):
+            batch.put(b"%03d" % i, b"w", "k")
+            wanted[b"%03d" % i] = b"w"
+    if kind == "skip":
+        filters_ = [filters.CompactionFilter("s", lambda k, v, ts: F.when(k == F.lit(b"020"), filters.SKIP).otherwise(filters.KEEP), skip_until=lambda k, v: F.lit(b"030"))]
+        wanted = {k: v for k, v in wanted.items() if not b"020" <= k < b"030"}
+    store.write(batch)
+    if kind == "strict":
+        spark.conf.set(name, "true")
+    try:
+        store.compact("k", filters=filters_)
+    finally:
+        spark.conf.unset(name)
+    runs = sorted((bytes(r["smallest_key"]), bytes(r["largest_key"])) for r in store.runs().collect())
+    assert len(runs) > 10 and all(a[1] < b[0] for a, b in zip(runs, runs[1:])) and model.rows(store.scan("k")) == wanted
+    if kind == "snapshot":
+        assert model.rows(store.scan("k", read_seq=held)) == {b"%03d" % i: b"v" for i in range(200)}
+
+
+def test_a_read_of_keys_with_one_record_does_not_group(spark, store):
+    """What a compaction has left with a record per key is read as it stands, until something lies over it or a snapshot holds more."""
+    grouped = lambda at=None: "Aggregate" in store.scan("k", at)._jdf.queryExecution().executedPlan().toString()
+    store.create_keyspace("k", run_bytes=200)
+    store.write(multi_put([(b"%03d" % i, b"a") for i in range(60)], "k"))
+    store.write(WriteBatch().merge(b"001", b"b", "k").delete(b"002", "k").delete_range(b"010", b"020", "k"))
+    wanted = {b"%03d" % i: b"a,b" if i == 1 else b"a" for i in range(60) if i != 2 and not 10 <= i < 20}
+    assert grouped() and model.rows(store.scan("k")) == wanted
+    store.compact("k")
+    assert not grouped() and model.rows(store.scan("k")) == wanted and store.get(b"001", "k") == b"a,b" and store.get(b"002", "k") is None
+    assert not grouped(store.last_seq)
+    snap = store.snapshot()
+    store.put(b"001", b"new", "k")
+    assert grouped() and store.get(b"001", "k") == b"new" and store.get(b"001", "k", snap) == b"a,b"
+    store.compact("k")
+    assert grouped() and model.rows(store.scan("k")) == wanted | {b"001": b"new"} and model.rows(store.scan("k", snap)) == wanted
+    store.release(snap)
+    store.compact("k")
+    assert not grouped() and model.rows(store.scan("k")) == wanted | {b"001": b"new"}
+    assert model.rows(Store.open(spark, store.path).prefix_scan(b"00", "k")) == {k: v for k, v in (wanted | {b"001": b"new"}).items() if k.startswith(b"00")}
+
+
+def test_tasks_share_many_runs(spark, store, monkeypatch):
+    """A file has a cost of its own, so that more runs are written by more tasks."""
+    monkeypatch.setattr("tidelog.sources.store.TASK_RUNS", 10, raising=False)
+    store.create_keyspace("k", run_bytes=1)
+    store.write(multi_put([(b"%03d" % i, b"x" * 50) for i in range(200)], "k"))
+    store.compact("k")
+    runs = [p.rsplit("/", 1)[-1].split("-")[1] for p in store.live_files()]
+    assert len(runs) == 200 and max(map(runs.count, runs)) <= 30
+    assert model.rows(store.scan("k")) == {b"%03d" % i: b"x" * 50 for i in range(200)}
+
+
 def test_a_run_holds_what_a_task_can_sort(spark, store, monkeypatch):
     """Records that take few bytes are not all sorted by one task."""
     monkeypatch.setattr("tidelog.sources.store.TASK_ROWS", 20, raising=False)

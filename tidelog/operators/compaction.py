@@ -39,15 +39,20 @@ def pick(runs: Sequence[dict], triggers: dict[str, int] | None = None) -> dict |
 def with_overlaps(runs: Sequence[dict]) -> list[dict]:
     """Of one keyspace's runs those of level 0 and the level-1 runs whose keys they overlap."""
     fresh = [r for r in runs if r["level"] == 0]
-    return [*fresh, *(r for r in runs if r["level"] > 0 and overlaps(r, fresh))]
+    return [*fresh, *overlapped([r for r in runs if r["level"] > 0], fresh)]
 
 
 def overlaps(run: dict, others: Sequence[dict]) -> bool:
     """Whether a run's keys lie between the smallest and the largest of `others`."""
+    return bool(overlapped([run], others))
+
+
+def overlapped(runs: Sequence[dict], others: Sequence[dict]) -> list[dict]:
+    """Those of `runs` whose keys lie between the smallest and the largest of `others`."""
     if not others:
-        return False
+        return []
     lo, hi = min(bytes(r["smallest_key"]) for r in others), max(bytes(r["largest_key"]) for r in others)
-    return bytes(run["largest_key"]) >= lo and bytes(run["smallest_key"]) <= hi
+    return [r for r in runs if bytes(r["largest_key"]) >= lo and bytes(r["smallest_key"]) <= hi]
 
 
 def overlapping(runs: DataFrame) -> DataFrame:
@@ -88,6 +93,8 @@ def compact(
     merge: MergeOperator | None = None,
     filters: Sequence[CompactionFilter] = (),
     bottom: bool = True,
+    has_merges: bool = True,
+    has_ranges: bool = True,
 ) -> DataFrame:
     """The rewritten log: cf, key, seq, op, value, ts (and end_key for range deletes that a snapshot still needs).
 
@@ -95,17 +102,44 @@ def compact(
     the newest barrier hides what is below it and the operands above it are folded, onto a put where there is
     one.  If `bottom` (no older runs exist) the lowest band loses its deletes and turns chains without a base
     into puts.  Filters see folded values of the highest band only, which no snapshot reads; where an older record of the
-    key may be left below, what they remove becomes a delete.
+    key may be left below, what they remove becomes a delete.  Set `has_merges` or `has_ranges` to False where a log is known
+    to hold no merge records or no range deletes: nothing is then planned for them.  A log that comes partitioned by key is
+    not shuffled again.
     """
     merge = merge or string_append()
     points = log.where(F.col("op") != DELETE_RANGE).select("cf", "key", "seq", "op", "value", "ts")
     ranges = log.where(F.col("op") == DELETE_RANGE).select("cf", "key", "end_key", "seq")
     cuts = F.array(*[F.lit(int(s)).cast("long") for s in sorted(set(snapshots))]).cast("array<bigint>")
-    band = lambda seq: F.size(F.filter(cuts, lambda s: s < seq))
-    # a range delete hides a record for good only where no snapshot stands between the two
-    points = hide_ranges(points, ranges, band=band if snapshots else None)
+    band = lambda seq: F.size(F.filter(cuts, lambda s: s < seq)) if snapshots else F.lit(0)
+    if has_ranges:  # a range delete hides a record for good only where no snapshot stands between the two
+        points = hide_ranges(points, ranges, band=band if snapshots else None)
+    rows = _folded(points, band, merge, bottom) if has_merges else _newest(points, band)
+    top = len(set(snapshots))
+    for f in filters:
+        rows = _filtered(rows, f, F.col("band") == top, whole=bottom and not top)
+    if bottom:
+        rows = rows.where(~((F.col("band") == 0) & F.col("op").isin(DELETE, SINGLE_DELETE)))
+    rows = rows.select("cf", "key", "seq", "op", "value", "ts", F.lit(None).cast("binary").alias("end_key"))
+    needed = ranges.where(band(F.col("seq")) > 0) if bottom else ranges
+    if has_ranges and (top or not bottom):
+        none = lambda kind: F.lit(None).cast(kind)
+        rows = rows.unionByName(
+            needed.select("cf", "key", "seq", F.lit(DELETE_RANGE).alias("op"), none("binary").alias("value"), none("timestamp").alias("ts"), "end_key")
+        )
+    return rows
+
+
+def _newest(points: DataFrame, band) -> DataFrame:
+    """Of records without merges the newest of each key and band."""
+    newest = F.max_by(F.struct("seq", "op", "value", "ts"), "seq").alias("r")
+    state = points.withColumn("band", band(F.col("seq"))).groupBy("key", "cf", "band").agg(newest)
+    return state.select("cf", "key", "band", "r.seq", "r.op", "r.value", "r.ts")
+
+
+def _folded(points: DataFrame, band, merge: MergeOperator, bottom: bool) -> DataFrame:
+    """What is left of each key and band when its operands are folded."""
     is_merge = F.col("op") == MERGE
-    state = points.withColumn("band", band(F.col("seq"))).groupBy("cf", "key", "band").agg(
+    state = points.withColumn("band", band(F.col("seq"))).groupBy("key", "cf", "band").agg(
         F.max_by(F.when(~is_merge, F.struct("op", "value", "seq", "ts")), F.when(~is_merge, F.col("seq"))).alias("b"),
         F.collect_list(F.when(is_merge, F.struct("seq", "value", "ts"))).alias("all"),
     )
@@ -124,20 +158,7 @@ def compact(
     whole = F.struct(F.col("b.seq").alias("seq"), F.col("b.op").alias("op"), F.col("b.value").alias("value"), F.col("b.ts").alias("ts"))
     kept_ops = F.transform("ops", lambda x: F.struct(x.seq.alias("seq"), F.lit(MERGE).alias("op"), x.value.alias("value"), x.ts.alias("ts")))
     out = F.when(chain & (based | lowest), F.array(folded)).when(chain, kept_ops).otherwise(F.array(whole))
-    rows = state.select("cf", "key", "band", F.explode(out).alias("r")).select("cf", "key", "band", "r.seq", "r.op", "r.value", "r.ts")
-    top = len(set(snapshots))
-    for f in filters:
-        rows = _filtered(rows, f, F.col("band") == top, whole=bottom and not top)
-    if bottom:
-        rows = rows.where(~((F.col("band") == 0) & F.col("op").isin(DELETE, SINGLE_DELETE)))
-    rows = rows.select("cf", "key", "seq", "op", "value", "ts", F.lit(None).cast("binary").alias("end_key"))
-    needed = ranges.where(band(F.col("seq")) > 0) if bottom else ranges
-    if top or not bottom:
-        none = lambda kind: F.lit(None).cast(kind)
-        rows = rows.unionByName(
-            needed.select("cf", "key", "seq", F.lit(DELETE_RANGE).alias("op"), none("binary").alias("value"), none("timestamp").alias("ts"), "end_key")
-        )
-    return rows
+    return state.select("cf", "key", "band", F.explode(out).alias("r")).select("cf", "key", "band", "r.seq", "r.op", "r.value", "r.ts")
 
 
 def _filtered(rows: DataFrame, f: CompactionFilter, reach, whole: bool) -> DataFrame:

@@ -27,6 +27,7 @@ class Known(NamedTuple):
 
     has_merges: bool = True
     has_ranges: bool = True
+    single: bool = False
 
 
 def _at(log: DataFrame, cf: str | None, keys, read_seq, merge, last_seq, known: Known = Known()) -> DataFrame:  # noqa: B008
@@ -34,7 +35,7 @@ def _at(log: DataFrame, cf: str | None, keys, read_seq, merge, last_seq, known:
     own = log if cf is None else log.where(F.col("cf") == cf)
     ranges = own.where(F.col("op") == DELETE_RANGE)
     points = own.where(F.col("op") != DELETE_RANGE)
-    return resolve(points if keys is None else points.where(keys), read_seq, merge, ranges, known.has_merges, last_seq, known.has_ranges)
+    return resolve(points if keys is None else points.where(keys), read_seq, merge, ranges, known.has_merges, last_seq, known.has_ranges, known.single)
 
 
 def scan(log: DataFrame, cf: str | None = DEFAULT_CF, read_seq: int | None = None, merge: MergeOperator | None = None, last_seq: int | None = None, known: Known = Known()) -> DataFrame:  # noqa: B008
@@ -81,7 +82,7 @@ def multi_get(
         asked = keys.select("pos", "key")
         own = log.where(F.col("cf") == cf)
         points = own.where(F.col("op") != DELETE_RANGE).join(asked.select("key").distinct(), "key", "left_semi")
-        found = resolve(points, read_seq, merge, own.where(F.col("op") == DELETE_RANGE), known.has_merges, last_seq, known.has_ranges)
+        found = resolve(points, read_seq, merge, own.where(F.col("op") == DELETE_RANGE), known.has_merges, last_seq, known.has_ranges, known.single)
     else:
         asked = spark.createDataFrame([(i, bytearray(k)) for i, k in enumerate(keys)], "pos int, key binary")
         if len(keys) > IN_LIST:

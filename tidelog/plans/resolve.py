@@ -123,12 +123,14 @@ def resolve(
     has_merges: bool = True,
     last_seq: int | None = None,
     has_ranges: bool = True,
+    single: bool = False,
 ) -> DataFrame:
     """Current state at `read_seq`: cf, key, value, seq (of the newest record that counts), n_operands.
 
     `ranges` are the range deletes to apply, by default those in `log` itself; pass them if the log was filtered by
     key.  Set `has_merges` to False where a log is known to hold no merge records: operands are then not gathered.  Set
-    `has_ranges` to False where no range deletes are known to be: they are then neither counted nor joined.
+    `has_ranges` to False where no range deletes are known to be: they are then neither counted nor joined.  Set `single` where
+    a key of a keyspace is known to have one record at most, which is no merge: nothing is then grouped.
     An empty value is a value; keys whose newest barrier is a delete and that have no operand are absent.
     """
     merge = merge or string_append()
@@ -136,6 +138,8 @@ def resolve(
     points = seen.where(F.col("op") != DELETE_RANGE).select("cf", "key", "op", "seq", "value")
     if has_ranges:
         points = hide_ranges(points, visible(ranges, read_seq) if ranges is not None else seen.where(F.col("op") == DELETE_RANGE))
+    if single:
+        return points.where(F.col("op") == PUT).select("cf", "key", "value", "seq", F.lit(0).alias("n_operands"))
     if not has_merges:
         last = points.groupBy("cf", "key").agg(F.max_by(F.struct("op", "value"), "seq").alias("b"), F.max("seq").alias("seq"))
         return last.where(F.col("b.op") == PUT).select("cf", "key", "b.value", "seq", F.lit(0).alias("n_operands"))

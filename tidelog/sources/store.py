@@ -42,6 +42,8 @@ ORPHAN_MS = 24 * 3600 * 1000
 TASK_BYTES = 16 << 20
 #: A task of a compaction sorts about so many records, and a run has no more, however few bytes they take.
 TASK_ROWS = 1_000_000
+#: A task of a compaction writes about so many runs, since a file has its own cost, however small it is.
+TASK_RUNS = 100
 #: Tasks that list a store's files; by default Spark starts one for each path.
 LISTERS = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": "48"}
 
@@ -361,8 +363,9 @@ class Store:
         return self._read(self._picked(cf, lower, upper))
 
     def _known(self, runs: Sequence[dict]) -> reads.Known:
-        """What the manifest counted, so that reads plan nothing for merges and range deletes that are not there."""
-        return reads.Known(any(r["n_merges"] for r in runs), any(r["n_ranges"] for r in runs))
+        """What the manifest says, so that reads plan nothing for merges, range deletes and older records that are not there."""
+        apart = all(r["level"] > 0 and r.get("single", False) for r in runs)  # keys of level 1 do not overlap
+        return reads.Known(any(r["n_merges"] for r in runs), any(r["n_ranges"] for r in runs), apart)
 
     def _how(self, cf: str, read_seq: int | None, runs: Sequence[dict]) -> dict:
         return {"cf": cf, "read_seq": read_seq, "merge": self.merge_operator(cf), "last_seq": self.last_seq, "known": self._known(runs)}
@@ -451,8 +454,8 @@ class Store:
         """
         options = self.options(cf)
         own = [_with_keys(r) for r in self._manifest["runs"] if r["cf"] == cf]
-        chosen = own if run_ids is None else [r for r in own if r["run_id"] in set(run_ids)]
-        rest = [r for r in own if r not in chosen]
+        named = {r["run_id"] for r in own} if run_ids is None else set(run_ids)
+        chosen, rest = [r for r in own if r["run_id"] in named], [r for r in own if r["run_id"] not in named]
         if any(r["level"] == 0 for r in rest) or len({r["run_id"] for r in compaction.with_overlaps(own)} & {r["run_id"] for r in rest}):
             raise InvalidArgument("a compaction takes all of level 0 and what it overlaps")
         if not chosen:
@@ -461,26 +464,39 @@ class Store:
         if config.kind != "disabled" and now_ms is None:
             raise InvalidArgument("a keyspace with a time to live is compacted at an explicit time")
         active = [*filters, *([f] if (f := config.filter(now_ms or 0)) else [])]
-        bottom = not any(compaction.overlaps(r, chosen) for r in rest)
-        merged = compaction.compact(self._read(chosen), sorted(set(self._manifest["snapshots"])), self.merge_operator(cf), active, bottom)
-        size = sum(r["size"] for r in chosen)
-        parts = -(-sum(r["n_entries"] for r in chosen) // TASK_ROWS)
-        n_runs = max(1, round(size / options["run_bytes"]), parts)
-        n_tasks = max(self.spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES), parts)
-        runs = self._write_level(as_log(merged), cf, self._manifest["next_run"], n_runs, n_tasks, options["codec"])
+        bottom = not compaction.overlapped(rest, chosen)
+        snapshots, known = sorted(set(self._manifest["snapshots"])), self._known(chosen)
+        size, n_entries = sum(r["size"] for r in chosen), sum(r["n_entries"] for r in chosen)
+        parts = -(-n_entries // TASK_ROWS)
+        n_runs = min(max(1, round(size / options["run_bytes"]), parts), n_entries)
+        n_tasks = max(self.spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES), parts, -(-n_runs // TASK_RUNS))
+        n_tasks = min(n_runs, n_tasks)
+        single = bottom and not snapshots  # a key then has one record at most
+        # by key from the start where nothing below shuffles again, so that one shuffle serves the folding and the runs
+        ranged = single and not known.has_ranges and all(f.skip_until is None for f in active) and not self._strict()
+        log = self._read(chosen).repartitionByRange(n_tasks, "key") if ranged else self._read(chosen)
+        merged = as_log(compaction.compact(log, snapshots, self.merge_operator(cf), active, bottom, known.has_merges, known.has_ranges))
+        if single:
+            rows = _cut_by_place(merged if ranged else merged.repartitionByRange(n_tasks, "key"), -(-n_entries // n_runs) if n_runs > n_tasks else None)
+        else:
+            rows = merged.repartitionByRange(n_runs, "key").withColumn("cut", F.spark_partition_id()).coalesce(n_tasks)
+        runs = [r | {"single": single} for r in self._write_level(rows, cf, self._manifest["next_run"], options["codec"])]
         gone = {r["run_id"] for r in chosen}
         left = [r for r in self._manifest["runs"] if r["run_id"] not in gone]
         return self._commit(runs=left + runs, next_run=self._manifest["next_run"] + len(runs))
 
-    def _write_level(self, log: DataFrame, cf: str, number: int, n_runs: int, n_tasks: int, codec: str) -> list[dict]:
-        """Write a log as up to `n_runs` files, cut between keys; a level-1 entry for each.  One aggregate reads their figures.
+    def _strict(self) -> bool:
+        """Whether the session has a log by key shuffled again before it is grouped by keyspace and key."""
+        return self.spark.conf.get("spark.sql.requireAllClusterKeysForDistribution", "false") == "true"
+
+    def _write_level(self, rows: DataFrame, cf: str, number: int, codec: str) -> list[dict]:
+        """Write a log that is partitioned by ranges of its keys; a level-1 entry for each file.  One aggregate reads their figures.
 
-        Up to `n_tasks` tasks write them, each a folder for every cut that it has.
+        A task writes a file for each value of `cut` that it has; all records of a key have the same.
         """
         folder = self._new_folder(number)
         path = f"{self.path}/runs/{folder}"
-        cut = log.repartitionByRange(n_runs, "key").withColumn("cut", F.spark_partition_id())
-        rows = cut.coalesce(min(n_runs, n_tasks)).sortWithinPartitions("cut", "key", F.desc("seq"))
+        rows = rows.sortWithinPartitions("cut", "key", F.desc("seq"))
         rows.write.partitionBy("cut").options(compression=codec, **BLOOM).parquet(path)
         if not any(n.startswith("cut=") for n in self.files.names(path)):
             self.files.delete(path)
@@ -603,6 +619,14 @@ class Store:
         return gone
 
 
+def _cut_by_place(log: DataFrame, per_run: int | None) -> DataFrame:
+    """A log with a record per key, partitioned by ranges of keys, with a `cut` for each `per_run` records of a partition (None: one cut)."""
+    if per_run is None:
+        return log.withColumn("cut", F.lit(0))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the row's place in its partition
+    return log.sortWithinPartitions("key").withColumn("cut", F.floor(place / per_run))
+
+
 def _absolute(path: str) -> bool:
     """Whether a run's path is that of another store's run, and not below this one's runs."""
     return path.startswith("/") or ":" in path.split("/")[0]
